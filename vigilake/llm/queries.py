@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, language_id, packing, toxicity, url_filter
+from . import ann, byte_bpe, chat, language_id, packing, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
+    "op8_topk": topk.op8_topk,
     "op9_chat": chat.op9_chat,
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLES = {"op9_chat": chat.OP9_SQL}
+ORACLES = {"op8_topk": topk.OP8_SQL, "op9_chat": chat.OP9_SQL}
