@@ -9,6 +9,7 @@ labels; the same sentence scores then locate what offends.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, held_out, spread, texts_of
 
 #: Labelled documents of each kind that training reads at most, in expectation.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Beginnings of words that count as features besides the words, and the least length of a word that has them.
 STARTS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -71,6 +72,21 @@ class SentenceModel:
         return SentenceModel, (self.weights, self.bias)
 
 
+def _features_of(text: str) -> set[str]:
+    return {f for w in set(text.split()) for f in features(w)}
+
+
+def _telling(texts: list[str], least: int, bits: int = 22) -> dict[str, int]:
+    """Features that so many of the texts have; a table of counts by hash spares memory for the rare ones."""
+    rough, mask = np.zeros(1 << bits, np.int32), (1 << bits) - 1
+    for t in texts:
+        rough[list({hash(f) & mask for f in _features_of(t)})] += 1
+    out: Counter[str] = Counter()
+    for t in texts:
+        out.update(f for f in _features_of(t) if rough[hash(f) & mask] >= least)
+    return {f: n for f, n in out.items() if n >= least}
+
+
 def _softplus(x: float) -> float:
     return float(np.logaddexp(0.0, x))
 
@@ -82,28 +98,26 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     """
     y = np.array(toxic, float)
     share = np.ones(len(y)) if weights is None else np.array(weights, float)
-    bags = [[m.group().split() for m in SENTENCE.finditer(t)] for t in texts]
-    seen = [{f for s in bag for w in s for f in features(w)} for bag in bags]
-    every, bad = Counter(), Counter()
-    for own, label, k in zip(seen, toxic, share, strict=True):
-        every.update(dict.fromkeys(own, k))
-        if label:
-            bad.update(own)
     base = max(float((y * share).sum() / max(share.sum(), 1e-9)), 1e-6)
     scale = float(share[y > 0].mean()) if (y > 0).any() else 1.0
-    kept = sorted(f for f, n in bad.items() if n >= least and n * scale / every[f] >= min(0.9, max(3 * base, 0.3)))
+    kept = _telling([t for t, label in zip(texts, toxic, strict=True) if label], least)
+    every = dict.fromkeys(kept, 0.0)
+    for t, k in zip(texts, share.tolist(), strict=True):
+        for f in _features_of(t).intersection(every):
+            every[f] += k
+    kept = sorted(f for f, n in kept.items() if n * scale / every[f] >= min(0.9, max(3 * base, 0.3)))
     index = {f: i for i, f in enumerate(kept)}
-    sent, feat, owner, quiet = [], [], [], np.zeros(len(texts))
-    for d, bag in enumerate(bags):
-        for words in bag:
-            hits = [index[f] for w in words for f in features(w) if f in index]
+    sent, feat, owner, quiet = array("l"), array("l"), array("l"), np.zeros(len(texts))
+    for d, t in enumerate(texts):
+        for m in SENTENCE.finditer(t):
+            hits = [index[f] for w in m.group().split() for f in features(w) if f in index]
             if hits:
-                sent += [len(owner)] * len(hits)
-                feat += hits
+                sent.extend([len(owner)] * len(hits))
+                feat.extend(hits)
                 owner.append(d)
             else:
                 quiet[d] += 1
-    sent, feat, owner = np.array(sent, int), np.array(feat, int), np.array(owner, int)
+    sent, feat, owner = (np.array(x, np.int64) for x in (sent, feat, owner))
     w, b = np.zeros(len(kept)), -6.0
     m, v, total = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), max(share.sum(), 1e-9)
     for i in range(1, rounds + 1):
