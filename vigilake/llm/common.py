@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,16 @@ def bounded_sample(df: DataFrame, n: int, *key) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*key, F.lit(20_011)), F.lit(1_000_000)) < limit)
 
 
+def kept(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """Rows of `docs`, all columns as they are, whose text `keep` accepts."""
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+
+    return spread(docs).mapInArrow(filtered, docs.schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 

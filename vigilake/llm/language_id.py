@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, spread, texts_of
+from .common import bounded_sample, held_out, kept, spread, texts_of
 
 WINDOW = 256
 #: Labelled documents that training reads at most, in expectation, and windows that it takes from each.
@@ -219,23 +219,24 @@ def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode() for t in texts_of(b)]
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            full = [i for i, t in enumerate(texts) if t]
-            for a, z in _portions([len(texts[i]) for i in full]):
-                if net is None:
-                    break
-                part = full[a:z]
-                p = net.pooled([texts[i] for i in part])
-                for i, row in zip(part, p, strict=True):
-                    best = int(row.argmax())
-                    langs[i], scores[i] = net.labels[best], float(min(1.0, max(0.0, row[best])))
+            langs, scores = _predict(net, [t.encode() for t in texts_of(b)])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     return rows.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
 
 
+def _predict(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    full = [i for i, t in enumerate(texts) if t] if net is not None else []
+    for a, z in _portions([len(texts[i]) for i in full]):
+        part = full[a:z]
+        for i, row in zip(part, net.pooled([texts[i] for i in part]), strict=True):
+            best = int(row.argmax())
+            langs[i], scores[i] = net.labels[best], float(min(1.0, max(0.0, row[best])))
+    return langs, scores
+
+
 def _portions(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     begin = total = 0
     for i, n in enumerate(sizes):
@@ -252,3 +253,19 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
     return identify(docs, net).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """Rows of `docs` whose text is, with a probability of `least`, in a language that their own labels teach.
+
+    A null text and one without a letter go; where no label is learned, nothing else does.
+    """
+    net = fit(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        letters = [t if t and any(map(str.isalpha, t)) else "" for t in texts]
+        if net is None:
+            return [bool(t) for t in letters]
+        return [lang != "und" and p >= least for lang, p in zip(*_predict(net, [t.encode() for t in letters]), strict=True)]
+
+    return kept(docs, keep)

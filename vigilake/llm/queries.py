@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat, language_id, lattice_lm, packing, topk, toxicity, url_filter
+from . import ann, byte_bpe, chat, language_id, lattice_lm, ngram_join, packing, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_lattice_lm": lattice_lm.op7_lattice_lm,
     "op8_topk": topk.op8_topk,
     "op9_chat": chat.op9_chat,
