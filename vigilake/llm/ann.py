@@ -10,6 +10,7 @@ then tells which other leaves the test leaves open, and those are searched in pa
 
 The largest inner product is the smallest distance once every vector is lengthened by a
 coordinate that brings it to the largest norm; a query's own added coordinate is 0.
+Queries of a leaf are verified together, as a product of matrices.
 """
 
 from __future__ import annotations
@@ -98,27 +99,40 @@ def grow(sample: np.ndarray, projection: np.ndarray, norm2: float, depth: int) -
     return tree
 
 
-def search_leaf(tree: Tree, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, query: np.ndarray, own: int, known: float, k: int, stop: float, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k best found in a leaf; `known`: a k-th best score from elsewhere."""
-    base = float(query @ query) + tree.norm2
-    reach = lambda s: stop * max(0.0, base - 2 * s) * (1 + 1e-9) + 1e-12
-    gap = points - tree.project(query[None, :], query=True)[0]
-    gap2 = (gap * gap).sum(axis=1)
-    gap2[ids == own] = np.inf
-    within = np.flatnonzero(gap2 <= (reach(known) if known > -np.inf else np.finfo(float).max))
-    within = within[np.argsort(gap2[within], kind="stable")]
-    at, scores = np.empty(0, np.int64), np.empty(0)
-    for a in range(0, len(within), batch):
-        if known > -np.inf and gap2[within[a]] > reach(known):
-            break
-        part = within[a : a + batch]
-        at = np.concatenate([at, part])
-        scores = np.concatenate([scores, (rows[part] * query).sum(axis=1)])
-        top = best(scores, ids[at], k)
-        at, scores = at[top], scores[top]
-        if len(scores) == k:
-            known = max(known, float(scores[-1]))
-    return at, scores
+def search_leaf(tree: Tree, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, stop: float, width: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, places, scores): for each query what a leaf adds to its k best.
+
+    `known` has a k-th best score of each query, -inf for none. A query without one first verifies its
+    nearest projected neighbours; then all neighbours up to the stopping distance are verified, and those
+    that reach the k-th best are scored exactly.
+    """
+    base2 = (points * points).sum(axis=1)
+    for first in range(0, len(queries), width):
+        q = queries[first : first + width]
+        at = tree.project(q, query=True)
+        gap2 = np.maximum(0, (at * at).sum(axis=1)[:, None] + base2 - 2 * (at @ points.T))
+        rough = q @ rows.T
+        mine = ids == own[first : first + width, None]
+        gap2[mine] = np.inf
+        rough[mine] = -np.inf
+        bound = known[first : first + width].copy()
+        begin = np.flatnonzero(np.isinf(bound)) if len(ids) > k else np.empty(0, np.int64)
+        if len(begin):
+            near = np.argpartition(gap2[begin], min(4 * k, len(ids) - 1), axis=1)[:, : 4 * k]
+            scores = np.take_along_axis(rough[begin], near, axis=1)
+            bound[begin] = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        slack = 1e-9 * (1 + np.abs(bound))
+        with np.errstate(invalid="ignore"):
+            reach = np.where(np.isinf(bound), np.inf, stop * np.maximum(0, (q * q).sum(axis=1) + tree.norm2 - 2 * bound) * (1 + 1e-9) + 1e-9)
+            verified = (gap2 <= reach[:, None]) & (rough >= np.where(np.isinf(bound), -np.inf, bound - slack)[:, None]) & ~mine
+        for i in np.flatnonzero(verified.any(axis=1)):
+            found = np.flatnonzero(verified[i])
+            if len(found) > 4 * k:
+                own_rough = rough[i, found]
+                found = found[own_rough >= np.partition(own_rough, len(found) - k)[len(found) - k] - 1e-9]
+            scores = (rows[found] * q[i]).sum(axis=1)
+            top = best(scores, ids[found], k)
+            yield first + int(i), found[top], scores[top]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, confidence: float = 0.97, leaf_rows: int = 2048, query_rows: int = 8192, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
@@ -171,11 +185,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, c
         if len(own) and len(rows):
             ids, x = rows.vec_id.to_numpy(), matrix(rows.v, width)
             points = tree.project(x)
-            for qid, v, known in zip(own.query_id, own.v, own.known, strict=True):
-                query = np.zeros(width)
-                query[: len(v)] = v[:width]
-                at, scores = search_leaf(tree, ids, x, points, query, qid, known, k, stop)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": scores}))
+            qids = own.query_id.to_numpy()
+            for i, at, scores in search_leaf(tree, ids, x, points, matrix(own.v, width), qids, own.known.to_numpy(float), k, stop):
+                out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at], "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
 
     def over(which: DataFrame) -> DataFrame:
