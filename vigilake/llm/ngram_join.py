@@ -3,13 +3,13 @@
 A document is its set of distinct word n-grams (64-bit hashes). Documents of equal sets are
 one class. Tokens have one global order, rare ones first; two sets of the wanted similarity
 share a token of their prefixes in that order, so prefixes alone decide who can meet.
-Classes whose prefixes begin with the same token are similar and form a group, bounded in
-tokens. The matrix holds the (token, group) pairs of the prefixes; groups that share a token
-meet as a pair of blocks. There each set is first held against the other group's token
-union: unless it shares enough tokens with the union, the group is not opened for it. An
-opened group's members are verified by exact overlap, and a pair of blocks passes on only
-the links that connect something new. Every link between different sets is thus found or
-implied, while copies are never expanded.
+Classes of the same least hash are likely similar and form a group, bounded in tokens. The
+matrix holds the (token, group) pairs of the prefixes: a class is a query to each larger
+group that shares a prefix token with it and has members of a fitting size, so a large group
+is never sent to the small ones. Where a group lies, its token union is built once; a query
+that shares too few tokens with the union does not open it. In an opened group members are
+verified by exact overlap, and only links that connect something new are passed on. Every
+link between different sets is thus found or implied, while copies are never expanded.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .components import connected
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Frequent tokens put last in the order, most. Fewer or more change the work, never the links.
 HOT_TOKENS = 200_000
-#: Bits of the map of documents whose sets are needed again.
+#: Bits of the map of documents whose texts are needed again: a table of at most 65,536 rows.
 MAP_BITS = 22
 #: Hashes that a task counts at once.
 BUFFER = 4_000_000
@@ -110,7 +110,7 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = HOT_TOKENS) -> Order:
 
 
 def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), prefix (packed tokens) for every row of `docs`."""
+    """doc_id, n_shingles, sig (of the set), least (hash), prefix (packed tokens) for every row of `docs`."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,12 +120,13 @@ def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame
                     b.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
                     pa.array([order.prefix(s, percent).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "sig", "prefix"],
+                ["doc_id", "n_shingles", "sig", "least", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, sig binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, sig binary, least long, prefix binary")
 
 
 def _exploded(classes: DataFrame) -> DataFrame:
@@ -135,108 +136,110 @@ def _exploded(classes: DataFrame) -> DataFrame:
         for b in batches:
             tokens = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
             if tokens:
-                at = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column("n").take(pa.array(at)), b.column("group").take(pa.array(at))], ["token", "n", "group"])
-
-    return classes.select("n", "group", "prefix").mapInArrow(each, "token long, n long, group long")
-
-
-def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (place in a, place in b) that connect something new; b None: within a, (earlier, later)."""
-    within, members = b is None, a if b is None else b
-    owner = np.repeat(np.arange(len(members)), [len(s) for s in members])
-    flat = np.concatenate(members)
-    by = np.argsort(flat, kind="stable")
-    union, start = np.unique(flat[by], return_index=True)  # the group's token union, and each token's members
-    start, owner = np.append(start, len(flat)), owner[by]
-    sizes = np.array([len(s) for s in members])
-    parent = list(range(len(a) + (0 if within else len(b))))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, own in enumerate(a):
-        at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-        at = at[union[at] == own]
-        if len(at) < needed(len(own), percent):
-            continue  # the bound: no member can share enough
-        first, count = start[at], start[at + 1] - start[at]
-        places = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        overlap = np.bincount(owner[places], minlength=len(members))
-        good = np.flatnonzero(100 * overlap >= percent * (len(own) + sizes - overlap))
-        for j in good.tolist():
-            if within and j <= i:
-                continue
-            x, y = root(i), root(j if within else len(a) + j)
-            if x != y:
-                parent[y] = x
-                out.append((i, j))
-    return out
-
-
-def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 250_000) -> DataFrame:
+                at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(b.column(c).take(at) for c in ("node", "n", "group"))], ["token", "node", "n", "group"])
+
+    return classes.select("node", "n", "group", "prefix").mapInArrow(each, "token long, node long, n long, group long")
+
+
+class Group:
+    """Sets with the union of their tokens and, for each token, the members that have it."""
+
+    def __init__(self, members: list[np.ndarray], percent: int):
+        self.percent, self.members = percent, members
+        self.sizes = np.array([len(s) for s in members])
+        owner, flat = np.repeat(np.arange(len(members)), self.sizes), np.concatenate(members)
+        by = np.argsort(flat, kind="stable")
+        self.union, start = np.unique(flat[by], return_index=True)
+        self.start, self.owner = np.append(start, len(flat)), owner[by]
+        self.label = np.arange(len(members))
+
+    def similar(self, own: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+        """Places of the members, or of those `outside`, that link with the set `own`."""
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if len(at) < needed(len(own), self.percent):
+            return np.empty(0, np.int64)  # the bound: no member can share enough
+        first, count = self.start[at], self.start[at + 1] - self.start[at]
+        total = int(count.sum())
+        if outside is not None and 4 * int(self.sizes[outside].sum()) < total:
+            flat = np.concatenate([self.members[j] for j in outside])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            overlap = np.bincount(np.repeat(outside, self.sizes[outside])[own[at] == flat], minlength=len(self.sizes))
+        else:
+            places = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
+            overlap = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((overlap > 0) & (100 * overlap >= self.percent * (len(own) + self.sizes - overlap)))
+
+    def within(self) -> list[tuple[int, int]]:
+        """Links among the members that connect something new."""
+        out, label = [], self.label
+        for i, own in enumerate(self.members):
+            outside = np.flatnonzero(label != label[i])
+            if not len(outside):
+                break
+            for j in self.similar(own, outside).tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        return out
+
+    def across(self, own: np.ndarray) -> list[int]:
+        """One member that links with `own` of each component of members."""
+        found = self.similar(own)
+        return found[np.unique(self.label[found], return_index=True)[1]].tolist()
+
+
+def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 1_000_000) -> DataFrame:
     """(a, b): links between classes, named by their least doc_id; enough of them to connect all that is linked."""
-    classes = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("prefix").alias("prefix"))
-    classes = classes.withColumn("anchor", F.xxhash64(F.substring("prefix", 1, 8)))
-    # a group is cut by size: the sum of its tokens over the bound
-    cuts = classes.groupBy("anchor").agg(F.ceil(F.sum("n") / group_tokens).alias("cuts")).filter(F.col("cuts") > 1)
-    grouped = stored(
-        classes.join(cuts, "anchor", "left")
-        .withColumn("group", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.coalesce("cuts", F.lit(1)))))
-        .select("node", "n", "prefix", "group")
-    )
-    # the matrix: a token's groups; tokens of one group alone open nothing
-    cells = _exploded(grouped).repartition("token").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    of_token = Window.partitionBy("token")
-    several = cells.withColumn("_first", F.min("group").over(of_token)).withColumn("_last", F.max("group").over(of_token)).filter(F.col("_first") != F.col("_last"))
-    shared = several.groupBy("token").agg(F.collect_list(F.struct("group", "low", "high")).alias("groups"))
-    one = shared.select("token", F.explode("groups").alias("x"))
-    other = shared.select("token", F.explode("groups").alias("y"))
-    fits = (F.col("x.group") < F.col("y.group")) & (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
-    across = one.join(other, "token").filter(fits).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
-    alone = grouped.groupBy("group").count().filter(F.col("count") > 1).select(F.col("group").alias("g"), F.col("group").alias("h"))
-    pairs = stored(across.unionByName(alone))
-    sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g <> h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
-    wanted = stored(grouped.select("node", "n", "group").join(sides, "group").select("node", "n", "g", "h", "side"))
-
-    # the sets of the documents that take part, found again in the texts by a map of bounded size
-    cell = F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS))
-    words = wanted.select(F.shiftright(cell, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << MAP_BITS}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    marked = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for r in words:
-        marked[r.w] = r.bits
-    flags = np.unpackbits(marked.view(np.uint8), bitorder="little")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = flags[b.column("cell").to_numpy()].astype(bool)
-            if keep.any():
-                own = b.filter(pa.array(keep))
-                found = shingles(texts_of(own), n)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "size", "set"])
-
-    own_cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int")
-    # of rows that share an id, each has its own set; a class is met by those of its size
-    again = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", own_cell.alias("cell")).mapInArrow(sets, "doc_id long, size long, set binary").dropDuplicates(["doc_id", "size", "set"])
-    met = again.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("size") == F.col("n"))).select("g", "h", "side", "node", "set")
-    dealt = met.repartition("g", "h").sortWithinPartitions("g", "h", "side")
+    usable = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
+    classes = usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("least").alias("least"))
+    # a group is cut by size; its name begins with the size, so that names order groups by it
+    sizes = classes.groupBy("least").agg(F.sum("n").alias("tokens"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens))
+    name = F.shiftleft(F.floor(F.log2("tokens")), 56) + F.pmod(F.xxhash64("least", part), F.lit(1 << 56))
+    grouped = stored(classes.join(sizes, "least").select("sig", "node", "n", name.alias("group")))
+    # the matrix: tokens of one group alone open nothing
+    named = grouped.select(F.col("sig").alias("_sig"), "node", "n", "group")
+    cells = _exploded(usable.select("doc_id", "sig", "prefix").join(named, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("_sig"))))
+    several = cells.groupBy("token").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a < _b").select("token")
+    rows = stored(cells.join(several, "token", "left_semi"))
+    spans = rows.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (F.col("g") > F.col("group")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    asked = stored(rows.join(spans, "token").filter(fits).select("node", "n", "g").distinct())
+    # the queries of a group are dealt to chunks of bounded size, each of which gets the group
+    chunks = asked.groupBy("g").agg(F.ceil(F.sum("n") / group_tokens).cast("int").alias("chunks"))
+    members = grouped.groupBy("group").count().join(chunks, F.col("group") == F.col("g"), "left").filter((F.col("count") > 1) | F.col("chunks").isNotNull())
+    members = members.select(F.col("group").alias("g"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+    queries = asked.join(chunks, "g").select("node", "g", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"))
+    at_home = grouped.select("node", F.col("group").alias("g")).join(members, "g").select("node", "g", "chunk", F.lit(0).alias("side"))
+    wanted = stored(at_home.unionByName(queries))
+
+    # the texts of the documents that take part, by a map of bounded size and then by id
+    def cell(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).cast("int")
+
+    marked = wanted.select(F.shiftright(cell("node"), 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << MAP_BITS}) as int) & 63)").alias("bit")).groupBy("_w").agg(F.bit_or("bit").alias("_bits"))
+    again = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftright(cell("doc_id"), 6).alias("_w"))
+    again = again.join(F.broadcast(marked), "_w").filter(F.getbit("_bits", cell("doc_id").bitwiseAND(F.lit(63))) == 1).select("doc_id", "text")
+    met = again.join(wanted, F.col("doc_id") == F.col("node")).select("g", "chunk", "side", "node", "text")
+    dealt = met.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "side", "node")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for block in runs(batches, ["g", "h"]):
+        for block in runs(batches, ["g", "chunk"]):
             side, nodes = block.column("side").to_pylist(), block.column("node").to_pylist()
-            tokens = [np.frombuffer(x, np.uint64) for x in block.column("set").to_pylist()]
-            two = block.column("g")[0] != block.column("h")[0]
-            a, b = ([i for i, s in enumerate(side) if s == k] for k in (0, 1))
-            if two and not (a and b):
+            sets = shingles(texts_of(block), n)
+            own = [i for i, (s, x) in enumerate(zip(side, sets, strict=True)) if s == 0 and len(x)]
+            if not own:
                 continue
-            got = _linked([tokens[i] for i in a], [tokens[i] for i in b] if two else None, percent)
-            left += [nodes[a[i]] for i, _ in got]
-            right += [nodes[(b if two else a)[j]] for _, j in got]
+            group = Group([sets[i] for i in own], percent)
+            got = [(nodes[own[i]], nodes[own[j]]) for i, j in group.within()]
+            for i, (s, x) in enumerate(zip(side, sets, strict=True)):
+                if s == 1 and len(x):
+                    got += [(nodes[i], nodes[own[j]]) for j in group.across(x)]
+            left += [a for a, _ in got]
+            right += [b for _, b in got]
             if len(left) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
                 left, right = [], []
@@ -250,7 +253,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Two documents link when 100 * shared >= percent * united n-grams; component_id is the least doc_id
     that links reach. A null or empty text, or one without words, has no n-grams and links with nothing.
-    Rows that share a doc_id and have n-grams stand for one document; a null doc_id has no component.
+    Of rows that share a doc_id each has its own text's component; a null doc_id has no component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = frequent_tokens(docs, n)
