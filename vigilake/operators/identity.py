@@ -77,11 +77,11 @@ def near_anchors(tracks: DataFrame, anchors: DataFrame, window_us: int, same_cam
     The class must be one of the anchor's group; the threshold depends on whether the camera is the same; the
     next identity must be `margin` farther.
     """
-    a = anchors.select(F.col("class_ids"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
-    a = a.withColumn("class_id", F.explode("class_ids")).drop("class_ids")
+    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
     met = rangejoin.overlapping(tracks, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
     dist = V.cosine_distance(F.col("embedding"), F.col("_v"))
-    near = met.withColumn("dist", dist).filter(F.col("dist") < F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera))
+    most = F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera)
+    near = met.select("track_id", "_gid", dist.alias("dist"), most.alias("_most")).filter("dist < _most")
     return ranked.margin_winners(near, "track_id", "_gid", "dist", 3.0, margin).withColumnRenamed("_gid", "global_id")
 
 

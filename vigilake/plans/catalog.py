@@ -349,10 +349,11 @@ def payload_keys(t: Lake) -> DataFrame:
     return t.events().select("event_id", payload.has_key(F.col("payload"), "k").alias("has_k"), payload.has_key(F.col("payload"), "z").alias("has_z"))
 
 
-@query("ordered_lists", "SELECT track_id, list(struct_pack(sample_id, confidence) ORDER BY sample_id, confidence) AS rows FROM sa WHERE track_id % 50 = 0 GROUP BY 1")
+@query("ordered_lists", "SELECT track_id, list(sample_id ORDER BY sample_id) AS sample_ids, list(confidence ORDER BY sample_id, confidence) AS confidences FROM sa WHERE track_id % 50 = 0 GROUP BY 1")
 def ordered_lists(t: Lake) -> DataFrame:
     rows = t.samples().filter("track_id % 50 = 0")
-    return rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "confidence"))).alias("rows"))
+    lists = rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "confidence"))).alias("rows"))
+    return lists.select("track_id", F.col("rows.sample_id").alias("sample_ids"), F.col("rows.confidence").alias("confidences"))
 
 
 @query("gate_classify", """g AS (SELECT *, CASE WHEN class_id = 4 THEN FALSE ELSE TRUE END AS en, CAST(0.2 AS DOUBLE) + class_id * CAST(0.1 AS DOUBLE) AS mc, class_id * CAST(5 AS DOUBLE) AS mb, CASE WHEN camera_id % 3 = 0 THEN NULL ELSE CAST(0.15 AS DOUBLE) END AS mt FROM sa),
