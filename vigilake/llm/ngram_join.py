@@ -263,7 +263,11 @@ def _verified(asked: DataFrame, members: DataFrame, docs: DataFrame, n: int, per
             if not own:
                 continue
             group = Group([sets[i] for i in own], percent)
-            got = [(nodes[own[i]], nodes[own[j]]) for i, j in group.within()] if within else []
+            if within:
+                got = [(nodes[own[i]], nodes[own[j]]) for i, j in group.within()]
+            else:
+                got = []
+                group.label[:] = 0  # members of a cut are connected already
             for i, (s, x) in enumerate(zip(side, sets, strict=True)):
                 if s == 1 and len(x):
                     got += [(nodes[i], nodes[own[j]]) for j in group.across(x)]
