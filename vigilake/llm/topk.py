@@ -3,13 +3,17 @@
 The vectors lie in blocks of bounded size. In each block every dimension is a list sorted by
 value, which a query reads from its better end, all lists in step. What has been read of a
 vector gives its lower bound (its unread parts at the lists' far ends) and its upper bound
-(its unread parts at the lists' present positions). A block is done for a query when nothing
-outside its candidates can reach the k-th best score known, and the candidates' scores are
-then resolved. A first pass over one block a query gives the bound with which the others start.
+(its unread parts at the lists' present positions). Lists are read in step to a few depths, for
+all queries of a block at once: both bounds are then products of matrices. A block is done for
+a query when nothing outside its candidates can reach the k-th best score known, and the
+candidates' scores are then resolved. A first pass over one block a query gives the bound with
+which the others start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,16 +25,53 @@ SCHEMA = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """A block: rows x dims, with each dimension's rows in ascending order of value."""
+    """A block: rows x dims, with each dimension's values also in ascending order."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, order, axis=0)
-        self.place = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
-
-    def search(self, query: np.ndarray, own: int, k: int, known: float, step: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ids, self.rows = ids, rows.astype(float)  # integer sums below 2**53 are exact
+        self.values = np.sort(self.rows, axis=0)
+        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each part after reading every list to `depth`, from its upper and from its lower end.
+
+        Highest: a read part itself, else the list's next value; lowest: a read part itself, else the list's far
+        end. Each has the parts as a positive query component meets them, then as a negative one does.
+        """
+        if depth not in self.bounds:
+            x, v, n = self.rows, self.values, len(self.rows)
+            up, down = v[max(n - 1 - depth, 0)], v[min(depth, n - 1)]
+            self.bounds[depth] = (
+                np.hstack([np.maximum(x, up), np.minimum(x, down)]),
+                np.hstack([np.where(x > up, x, v[0]), np.where(x < down, x, v[-1])]),
+            )
+        return self.bounds[depth]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, depths: int = 4, width: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, places, scores) of the k best rows other than `own` that reach the score `known` of each query."""
+        n, few = len(self.ids), max(4 * k, 64)
+        for first in range(0, len(queries), width):
+            q, at = queries[first : first + width].astype(float), known[first : first + width].copy()
+            signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+            live = self.ids[:, None] != own[None, first : first + width]
+            todo = np.arange(len(q))
+            for depth in [n * i // depths for i in range(1, depths)] if n > few else []:
+                highest, lowest = self.read(depth)
+                low = np.where(live[:, todo], lowest @ signed[todo].T, -np.inf)
+                at[todo] = np.maximum(at[todo], np.partition(low, n - k, axis=0)[n - k])
+                live[:, todo] &= highest @ signed[todo].T >= at[todo]
+                todo = todo[live[:, todo].sum(axis=0) > few]
+                if not len(todo):
+                    break
+            for i in range(len(q)):
+                places = np.flatnonzero(live[:, i])
+                scores = self.rows[places] @ q[i]
+                places, scores = places[scores >= at[i]], scores[scores >= at[i]]
+                top = best(scores, self.ids[places], k)
+                yield first + i, places[top], scores[top].astype(np.int64)
+
+
+def search(self, query: np.ndarray, own: int, k: int, known: float, step: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best rows other than `own` that reach the score `known`."""
         n = len(self.ids)
         live = np.flatnonzero(self.ids != own)
@@ -78,13 +119,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, integers: int =
     def searched(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(rows):
-            lists = SortedLists(rows.vec_id.to_numpy(), matrix(rows.v, width, np.int64))
-            step = max(16, len(rows) // 12)
-            for qid, v, known in zip(own.query_id, own.v, own.known, strict=True):
-                query = np.zeros(width, np.int64)
-                query[: len(v)] = v[:width]
-                at, scores = lists.search(query, qid, k, known, step)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": lists.ids[at], "score": scores}))
+            lists = SortedLists(rows.vec_id.to_numpy(), matrix(rows.v, width))
+            qids = own.query_id.to_numpy()
+            for i, at, scores in lists.search(matrix(own.v, width), qids, own.known.to_numpy(float), k):
+                out.append(pd.DataFrame({"query_id": qids[i], "vec_id": lists.ids[at], "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     def over(which: DataFrame) -> DataFrame:
