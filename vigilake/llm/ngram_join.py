@@ -4,9 +4,9 @@ A document is its set of distinct word n-grams (64-bit hashes). Documents of equ
 one class. Tokens have one global order, rare ones first; two sets of the wanted similarity
 share a token of their prefixes in that order, so prefixes alone decide who can meet.
 Classes of the same least hash are likely similar and form a group, bounded in tokens. The
-matrix holds the (token, group) pairs of the prefixes: a class may be a query to each larger
+matrix holds the (token, group) pairs of the prefixes: a class is a query to each larger
 group that shares a prefix token with it and has members of a fitting size, so a large group
-is never sent to the small ones. Where a group lies, its token union is built once; a query
+is never sent to the small ones, and only if they share enough of their prefixes. Where a group lies, its token union is built once; a query
 that shares too few tokens with the union does not open it. In an opened group members are
 verified by exact overlap, and only links that connect something new are passed on. Every
 link between different sets is thus found or implied, while copies are never expanded.
@@ -15,12 +15,12 @@ link between different sets is thus found or implied, while copies are never exp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs, stored, texts_of
@@ -59,6 +59,22 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def least_shared(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Least number of prefix tokens that a set of n shares with a linked one of low to high tokens.
+
+    Of two sets take the one whose prefix ends first in the order: those of its prefix tokens that the other has lie
+    in the other's prefix too. So the overlap is at most its size without its prefix and what the prefixes share. The
+    overlap that a link needs, less that, is least at the sizes farthest from n; 2 allows for rounding.
+    """
+    small = F.greatest(low, F.ceil(percent * n / 100))
+    large = F.least(high, F.floor(100 * n / percent))
+
+    def at(m: Column) -> Column:
+        return F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100) - 1
+
+    return F.greatest(F.lit(1), F.least(at(small), at(large)))
+
+
 class Order:
     """The global order of tokens: by hash, the frequent ones after all others by ascending frequency."""
 
@@ -190,12 +206,8 @@ class Group:
         return found[np.unique(self.label[found], return_index=True)[1]].tolist()
 
 
-def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 250_000) -> DataFrame:
-    """(a, b): links between classes, named by their least doc_id; enough of them to connect all that is linked.
-
-    First each group is linked within and one class of each group asks each group that it may open. What is
-    not connected then is asked class by class; so a large family of near copies is sent about once.
-    """
+def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 1_000_000) -> DataFrame:
+    """(a, b): links between classes, named by their least doc_id; enough of them to connect all that is linked."""
     usable = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("least").alias("least"))
     # a group is cut by size; its name begins with the size, so that names order groups by it
@@ -208,47 +220,23 @@ def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens
     cells = _exploded(usable.select("doc_id", "sig", "prefix").join(named, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("_sig"))))
     several = cells.groupBy("token").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a < _b").select("token")
     rows = stored(cells.join(several, "token", "left_semi"))
-    members = grouped.select("node", F.col("group").alias("g"))
-    probes = _asked(rows, percent, lambda x: x.groupBy("group", "g").agg(F.min(F.struct("node", "n")).alias("_x")).select("_x.*", "g"))
-    first = stored(_verified(stored(probes), members, docs, n, percent, group_tokens, True))
-    # what the first links leave apart: groups are now cut by component as well
-    component = connected(first)
-    cut = F.xxhash64("group", F.coalesce("component", "node"))
-    rows = stored(rows.join(component, "node", "left").select("token", "node", "n", "group", F.coalesce("component", "node").alias("component"), cut.alias("cut")))
-    members = rows.select("node", F.col("cut").alias("g")).distinct()
-    queries = _asked(rows, percent, lambda x: x.select("node", "n", "g").distinct(), "cut")
-    return first.unionByName(_verified(stored(queries), members, docs, n, percent, group_tokens, False))
-
-
-def _asked(rows: DataFrame, percent: int, chosen: Callable[[DataFrame], DataFrame], key: str = "group") -> DataFrame:
-    """(node, n, g): classes and the groups, by `key`, of at least their own group's size that they may open."""
-    apart = [c for c in ("component",) if c in rows.columns]
-    spans = rows.groupBy("token", F.col("group").alias("_group"), F.col(key).alias("g"), *(F.col(c).alias(f"_{c}") for c in apart)).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (F.col("_group") > F.col("group")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    for c in apart:
-        fits &= F.col(c) != F.col(f"_{c}")
-    return chosen(rows.join(spans, "token").filter(fits))
-
-
-def _verified(asked: DataFrame, members: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int, within: bool) -> DataFrame:
-    """(a, b): links of the classes `asked` (node, n, g) with the members (node, g) of their groups, and of those among one another."""
+    spans = rows.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (F.col("g") > F.col("group")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    met = rows.join(spans, "token").filter(fits).groupBy("node", "n", "g").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = stored(met.filter(F.col("shared") >= least_shared(F.col("n"), F.col("low"), F.col("high"), percent)).select("node", "n", "g"))
     # the queries of a group are dealt to chunks of bounded size, each of which gets the group
     chunks = asked.groupBy("g").agg(F.ceil(F.sum("n") / group_tokens).cast("int").alias("chunks"))
-    if within:
-        present = members.groupBy("g").agg(F.count("*").alias("_n")).join(chunks, "g", "left").filter((F.col("_n") > 1) | F.col("chunks").isNotNull())
-    else:
-        present = chunks
-    present = present.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+    members = grouped.groupBy("group").count().join(chunks, F.col("group") == F.col("g"), "left").filter((F.col("count") > 1) | F.col("chunks").isNotNull())
+    members = members.select(F.col("group").alias("g"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
     queries = asked.join(chunks, "g").select("node", "g", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"))
-    at_home = members.join(present, "g").select("node", "g", "chunk", F.lit(0).alias("side"))
+    at_home = grouped.select("node", F.col("group").alias("g")).join(members, "g").select("node", "g", "chunk", F.lit(0).alias("side"))
     wanted = stored(at_home.unionByName(queries))
 
     # the texts of the documents that take part, by a map of bounded size and then by id
     def cell(c: str):
         return F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).cast("int")
 
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << MAP_BITS}) as int) & 63)")
-    marked = wanted.select(F.shiftright(cell("node"), 6).alias("_w"), bit.alias("_bit")).groupBy("_w").agg(F.bit_or("_bit").alias("_bits"))
+    marked = wanted.select(F.shiftright(cell("node"), 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << MAP_BITS}) as int) & 63)").alias("bit")).groupBy("_w").agg(F.bit_or("bit").alias("_bits"))
     again = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftright(cell("doc_id"), 6).alias("_w"))
     again = again.join(F.broadcast(marked), "_w").filter(F.getbit("_bits", cell("doc_id").bitwiseAND(F.lit(63))) == 1).select("doc_id", "text")
     met = again.join(wanted, F.col("doc_id") == F.col("node")).select("g", "chunk", "side", "node", "text")
@@ -263,11 +251,7 @@ def _verified(asked: DataFrame, members: DataFrame, docs: DataFrame, n: int, per
             if not own:
                 continue
             group = Group([sets[i] for i in own], percent)
-            if within:
-                got = [(nodes[own[i]], nodes[own[j]]) for i, j in group.within()]
-            else:
-                got = []
-                group.label[:] = 0  # members of a cut are connected already
+            got = [(nodes[own[i]], nodes[own[j]]) for i, j in group.within()]
             for i, (s, x) in enumerate(zip(side, sets, strict=True)):
                 if s == 1 and len(x):
                     got += [(nodes[i], nodes[own[j]]) for j in group.across(x)]
