@@ -107,5 +107,5 @@ def test_lattice_base_score_by_hand(spark):
     total, distinct = len(seen), len(set(seen))
     for i, t in rows:
         tokens = [*(t or "").lower().split(), None]
-        assert math.isclose(out[i].base_score, sum(math.log10((seen.count(w) + 1) / (total + 1) / (distinct + 1)) for w in tokens), rel_tol=1e-9)
+        assert math.isclose(out[i].base_score, sum(math.log10((seen.count(w) + 1) / (total + 1 * (distinct + 1))) for w in tokens), rel_tol=1e-9)
         assert out[i].n_tokens == len(tokens) and out[i].score <= 0
