@@ -77,7 +77,9 @@ def near_anchors(tracks: DataFrame, anchors: DataFrame, window_us: int, same_cam
     The class must be one of the anchor's group; the threshold depends on whether the camera is the same; the
     next identity must be `margin` farther.
     """
-    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
+    # an anchor without a time meets nothing; the condition also keeps a constant array from being folded into explode
+    classes = F.when(F.col("at_us").isNotNull(), F.col("class_ids"))
+    a = anchors.select(F.explode(classes).alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
     met = rangejoin.overlapping(tracks, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
     dist = V.cosine_distance(F.col("embedding"), F.col("_v"))
     most = F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera)
