@@ -520,7 +520,7 @@ def near_anchor_window(t: Lake) -> DataFrame:
     from ..operators import identity
 
     v = t.vectors().filter("vec_id < 200").select("vec_id", (F.col("vec_id") % 20).alias("camera_id"), (F.col("vec_id") * H).alias("at_us"), F.col("v").alias("embedding"), "label")
-    anchors = v.filter("vec_id % 2 = 0").withColumn("class_ids", F.array(F.lit(2), F.lit(7))).withColumn("global_id", F.col("label"))
+    anchors = v.filter("vec_id % 2 = 0").withColumn("class_ids", F.array(F.lit(2), (F.col("vec_id") % 2 + 7).cast("int"))).withColumn("global_id", F.col("label"))
     tracks = v.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("track_id"), "camera_id", F.lit(2).alias("class_id"), F.col("at_us").alias("started_us"), F.col("at_us").alias("ended_us"), "embedding")
     got = identity.near_anchors(tracks, anchors, 20 * H, 0.9, 0.8, 0.01)
     return got.select("track_id", "global_id", F.round("distance", 4).alias("distance"))
