@@ -37,7 +37,7 @@ def got(df):
     return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
 
 
-ODD = [(500, None), (501, [None] * 16), (502, [NAN] * 16), (503, [INF] * 16), (504, []), (None, [0.5] * 16)]
+ODD = [(5500, None), (5501, [None] * 16), (5502, [NAN] * 16), (5503, [INF] * 16), (5504, []), (None, [0.5] * 16)]
 
 
 @pytest.mark.parametrize("block_rows", [64, 5000])
