@@ -108,7 +108,8 @@ def left_with_vehicle(feed: DataFrame, walks: DataFrame) -> DataFrame:
 def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
     """Vehicle rows take in the persons who follow within the settle time; persons inside a vehicle's row go.
 
-    An ordered fold of one camera's rows of four weeks: a visit does not wait for the next four.
+    An ordered fold of the rows of a camera between which something can happen: a row that starts more than the
+    settle time after all earlier ones of its camera have ended neither takes in nor is taken in by any of them.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +131,7 @@ def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
         return frame.assign(ended_us=end)[~gone]
 
     names = feed.columns
-    dealt = feed.withColumn("_span", F.floor(F.col("started_us") / (28 * T.DAY)).cast("long"))
+    dealt = islands.stitched(feed, ["camera_id"], F.col("started_us"), F.col("ended_us"), max(settle_us, 0), "visit_id", "_span")
     return dealt.groupBy("camera_id", "_span").applyInPandas(fold, dealt.schema).select(names)
 
 
