@@ -12,6 +12,7 @@ from . import islands, rangejoin, ranked
 
 GAP_US = 2 * T.MINUTE
 BOOKEND_US, SPLIT_US, DEPARTURE_US, ARRIVAL_US = 40 * T.SECOND, 150 * T.SECOND, 600 * T.SECOND, 2 * T.MINUTE
+UNSEEN_US = 60 * T.SECOND
 VEHICLE_NAMES = ("car", "motorcycle", "bus", "truck")
 
 
@@ -91,18 +92,66 @@ def unclaimed(departures: DataFrame, feed: DataFrame) -> DataFrame:
     return departures.join(taken, ["place", "released_us"], "left_anti")
 
 
+def departure_rows(departures: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows in the columns of the feed `like` for departures that no track witnessed, on the first camera that watches."""
+    rows = departures.filter(F.size("cameras") > 0).select(
+        F.concat_ws(":", F.lit("dep"), "place", F.floor(F.col("released_us") / T.SECOND).cast("long").cast("string")).alias("visit_id"),
+        F.element_at("cameras", 1).alias("camera_id"),
+        F.lit("car").alias("class_name"),
+        F.lit("departure").alias("kind"),
+        (F.col("released_us") - UNSEEN_US).alias("started_us"),
+        F.col("released_us").alias("ended_us"),
+        T.seconds_between(F.col("occupied_us"), F.col("released_us")).alias("visit_s"),
+    )
+    return _shaped(rows, like)
+
+
+def _shaped(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """`rows` in the columns of a feed: counts 0, not verified, no tracks, null what they do not have."""
+    none = {"n_tracks": F.lit(0), "n_observations": F.lit(0), "face_verified": F.lit(False), "track_ids": F.array()}
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else none.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in like.schema))
+
+
 def left_with_vehicle(feed: DataFrame, walks: DataFrame) -> DataFrame:
-    """Persons who left by car ride on the car's row: its span covers both, `left_with` names them.
+    """Persons who left by car ride on the car's row: its span covers both, `left_with` names the last one merged.
 
-    `walks` (walk_id, camera_id, started_us, ended_us, name). A walk takes the first vehicle row that overlaps it.
+    `walks` (walk_id, camera_id, started_us, ended_us, name), merged one after another in the order of walk_id. A walk
+    takes the first vehicle row that overlaps it as the earlier walks left it, visits before departures without a
+    witness; a walk without one becomes a row of its own.
     """
-    w = walks.select("walk_id", "camera_id", F.col("started_us").alias("_s"), F.col("ended_us").alias("_e"), F.col("name").alias("_name"))
-    cars = feed.filter(is_vehicle(F.col("class_name"))).select("visit_id", "camera_id", "started_us", "ended_us")
-    met = rangejoin.overlapping(cars, w, ["camera_id"], (F.col("started_us"), F.col("ended_us")), (F.col("_s"), F.col("_e")), T.HOUR)
-    host = ranked.best(met, ["walk_id"], [F.col("started_us"), F.col("visit_id")])
-    per = host.groupBy("visit_id").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max_by("_name", "_s").alias("left_with"))
-    got = feed.join(per, "visit_id", "left")
-    return got.withColumn("started_us", F.least("started_us", "_s")).withColumn("ended_us", F.greatest("ended_us", "_e")).drop("_s", "_e")
+    out = feed.withColumn("left_with", F.lit(None).cast("string"))
+    w = walks.select(
+        F.concat_ws(":", F.lit("lwv"), F.col("walk_id").cast("string")).alias("visit_id"),
+        "camera_id",
+        F.lit("person").alias("class_name"),
+        F.lit("left_with_vehicle").alias("kind"),
+        "started_us",
+        "ended_us",
+        F.col("name").alias("identity_name"),
+        T.seconds_between(F.col("started_us"), F.col("ended_us")).alias("visit_s"),
+        F.col("walk_id").alias("_walk"),
+    )
+    vehicle = F.coalesce(is_vehicle(F.col("class_name")), F.lit(False))
+    cars = out.filter(vehicle).withColumn("_walk", F.lit(None).cast(w.schema["_walk"].dataType))
+    both = cars.unionByName(_shaped(w.withColumn("left_with", F.col("identity_name")), cars))
+    dealt = islands.stitched(both, ["camera_id"], F.col("started_us"), F.col("ended_us"), 0, "visit_id", "_span")
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        walking = frame._walk.notna().to_numpy()
+        frame = frame.assign(_unseen=frame.visit_id.str.startswith("dep:")).reset_index(drop=True)
+        cars = frame[~walking].sort_values(["_unseen", "started_us", "visit_id"]).index.to_numpy()
+        start, end, name, gone = frame.started_us.to_numpy(copy=True), frame.ended_us.to_numpy(copy=True), frame.left_with.tolist(), np.zeros(len(frame), bool)
+        for i in frame[walking].sort_values(["_walk", "visit_id"]).index.tolist():
+            met = cars[(start[cars] <= end[i]) & (end[cars] >= start[i])]
+            if len(met):
+                h = met[0]
+                start[h], end[h], gone[i] = min(start[h], start[i]), max(end[h], end[i]), True
+                name[h] = name[i] if name[i] is not None else name[h]
+        name = [None if w else x for x, w in zip(name, walking.tolist(), strict=True)]
+        return frame.assign(started_us=start, ended_us=end, left_with=pd.Series(name, dtype=object)).drop(columns="_unseen")[~gone]
+
+    merged = dealt.groupBy("camera_id", "_span").applyInPandas(merge, dealt.schema).select(out.columns)
+    return out.filter(~vehicle).unionByName(merged)
 
 
 def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
@@ -135,13 +184,17 @@ def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
     return dealt.groupBy("camera_id", "_span").applyInPandas(fold, dealt.schema).select(names)
 
 
-def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fetch: int | None = None) -> DataFrame:
-    """Tracks to feed rows: cluster, expand, claim, fold, newest first.
+def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fetch: int | None = None, walks: DataFrame | None = None) -> DataFrame:
+    """Tracks to feed rows: cluster, expand, claim, add what left unclaimed, merge walks to a car, fold, newest first.
 
     `fetch` clusters only so many newest tracks, as a paging reader would; the default takes all.
     """
     rows = tracks if fetch is None else tracks.orderBy(F.col("started_us").desc(), F.col("track_id").desc()).limit(fetch)
-    out = arrival_fold(claimed(expanded(visits(rows), departures), departures))
+    seen = claimed(expanded(visits(rows), departures), departures)
+    out = seen.unionByName(departure_rows(unclaimed(departures, seen), seen))
+    if walks is not None:
+        out = left_with_vehicle(out, walks)
+    out = arrival_fold(out)
     out = out.orderBy(F.col("started_us").desc(), "visit_id")
     return out if limit is None else out.limit(limit)
 

@@ -773,7 +773,13 @@ def arrival_fold(t: Lake) -> DataFrame:
 @query("feed")
 def feed(t: Lake) -> DataFrame:
     gone = t.tracks().filter("class_id IN (2, 7) AND track_id % 3 = 0").select(F.concat(F.lit("P"), (F.col("track_id") % 6).cast("string")).alias("place"), F.col("started_us").alias("occupied_us"), (F.col("ended_us") + T.MINUTE).alias("released_us"), F.array("camera_id").alias("cameras"))
-    return visits.feed(t.tracks(), gone)
+    persons = t.tracks().filter("class_id = 0").select("track_id", "camera_id", "started_us", "ended_us")
+    left = t.tracks().filter("class_id IN (2, 7) AND track_id % 6 = 0 AND identity_name IS NOT NULL").select(F.col("track_id").alias("departure_id"), "camera_id", (F.col("ended_us") + T.MINUTE).alias("closes_us"), "identity_name")
+    moved = t.tracks().filter("class_id IN (2, 7)").select("camera_id", F.col("ended_us").alias("at_us"))
+    spans = visits.walk_to_drive_off(left.select("departure_id", "camera_id", "closes_us"), moved, persons)
+    names = left.select("departure_id", "camera_id", F.col("identity_name").alias("name"))
+    walks = spans.join(names, "departure_id").select(F.col("departure_id").alias("walk_id"), "camera_id", F.col("opens_us").alias("started_us"), F.col("closes_us").alias("ended_us"), "name")
+    return visits.feed(t.tracks(), gone, walks=walks)
 
 
 @query("asof_forward", """m AS (SELECT tr.track_id, rec.recording_id, row_number() OVER (PARTITION BY tr.track_id ORDER BY rec.started_us, rec.recording_id DESC) AS n FROM tr JOIN rec ON tr.camera_id = rec.camera_id AND rec.started_us >= tr.ended_us)
