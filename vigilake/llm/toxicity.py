@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, kept, spread, texts_of
+from .common import bounded_sample, held_out, kept, spread, stored, texts_of
 
 #: Labelled documents of each kind that training reads at most, in expectation.
-SAMPLE = 1500
+SAMPLE = 3000
+#: Features that a task counts before it hands the counts on.
+COUNTED = 200_000
 #: Beginnings of words that count as features besides the words, and the least length of a word that has them.
 STARTS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -105,24 +107,41 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     for t, k in zip(texts, share.tolist(), strict=True):
         for f in _features_of(t).intersection(every):
             every[f] += k
-    kept = sorted(f for f, n in kept.items() if n * scale / every[f] >= min(0.9, max(3 * base, 0.3)))
+    kept = sorted(f for f, n in kept.items() if n * scale / every[f] >= _least_share(base))
     index = {f: i for i, f in enumerate(kept)}
-    sent, feat, owner, quiet = array("l"), array("l"), array("l"), np.zeros(len(texts))
-    for d, t in enumerate(texts):
-        for m in SENTENCE.finditer(t):
-            hits = [index[f] for w in m.group().split() for f in features(w) if f in index]
-            if hits:
-                sent.extend([len(owner)] * len(hits))
-                feat.extend(hits)
-                owner.append(d)
-            else:
-                quiet[d] += 1
+    return _learn(kept, [_bag(t, index) for t in texts], y, share, rounds, rate, decay)
+
+
+def _least_share(base: float) -> float:
+    return min(0.9, max(3 * base, 0.3))
+
+
+def _bag(text: str, index: dict[str, int]) -> tuple[list[list[int]], int]:
+    """The known features of each sentence that has some, and the number of the others."""
+    found, quiet = [], 0
+    for m in SENTENCE.finditer(text):
+        hits = [index[f] for w in m.group().split() for f in features(w) if f in index]
+        if hits:
+            found.append(hits)
+        else:
+            quiet += 1
+    return found, quiet
+
+
+def _learn(kept: list[str], bags: list[tuple[list[list[int]], int]], y: np.ndarray, share: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 2e-5) -> SentenceModel:
+    sent, feat, owner, quiet = array("l"), array("l"), array("l"), np.zeros(len(bags))
+    for d, (found, n) in enumerate(bags):
+        quiet[d] = n
+        for hits in found:
+            sent.extend([len(owner)] * len(hits))
+            feat.extend(hits)
+            owner.append(d)
     sent, feat, owner = (np.array(x, np.int64) for x in (sent, feat, owner))
     w, b = np.zeros(len(kept)), -6.0
     m, v, total = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), max(share.sum(), 1e-9)
     for i in range(1, rounds + 1):
         x = b + np.bincount(sent, w[feat], len(owner)) if len(owner) else np.zeros(0)
-        mass = np.bincount(owner, np.logaddexp(0, x), len(texts)) + quiet * np.logaddexp(0, b)
+        mass = np.bincount(owner, np.logaddexp(0, x), len(bags)) + quiet * np.logaddexp(0, b)
         # d(-log likelihood)/d(mass): 1 for clean documents, -1 / (exp(mass) - 1) for toxic ones
         pull = share * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(mass, 50)), 1e-6), 1.0)
         g = pull[owner] / (1 + np.exp(-x))
@@ -135,10 +154,11 @@ def train(texts: list[str], toxic: list[int], weights: list[float] | None = None
     return SentenceModel({f: float(x) for f, x in zip(kept, w, strict=True) if abs(x) > 1e-3}, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SentenceModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4) -> SentenceModel:
     """A model of the documents with a label; several labels of a document count as toxic if one is.
 
-    About `sample` documents of each kind at most are read; without any toxic one all scores are near 0.
+    About `sample` documents of each kind at most are read; without any toxic one all scores are near 0. Their texts
+    stay in the tasks: the driver gets the telling features and, of each document, its sentences with some.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen, sizes = [], {}
@@ -147,11 +167,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SentenceMod
         sizes[kind] = rows.count()
         chosen.append(bounded_sample(rows, sample, F.col("doc_id")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted((r.text, r._toxic) for r in texts.join(chosen[0].unionByName(chosen[1]), "doc_id").select("text", "_toxic").collect())
-    toxic = [t for _, t in rows]
-    share = {t: sizes[t] / max(1, toxic.count(t)) for t in (0, 1)}
-    weights = [share[t] for t in toxic]
-    return train([t for t, _ in rows], toxic, weights)
+    rows = stored(texts.join(chosen[0].unionByName(chosen[1]), "doc_id").select("text", "_toxic"))
+    n = {r._toxic: r.n for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    share = {t: sizes[t] / max(1, n.get(t, 0)) for t in (0, 1)}
+    mass = {t: share[t] * n.get(t, 0) for t in (0, 1)}
+    base = max(mass[1] / max(mass[0] + mass[1], 1e-9), 1e-6)
+    kept = sorted(r.feature for r in _counted(rows).filter((F.col("n1") >= least) & (F.col("n1") * share[1] / (F.col("n1") * share[1] + F.col("n0") * share[0]) >= _least_share(base))).select("feature").collect())
+    index = {f: i for i, f in enumerate(kept)}
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, quiet = zip(*(_bag(t, index) for t in texts_of(b)), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("_toxic"), pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(quiet, pa.int64())], ["_toxic", "found", "quiet"])
+
+    kind = rows.schema["_toxic"].dataType.simpleString()
+    got = sorted((r._toxic, r.quiet, r.found) for r in rows.mapInArrow(bags, f"_toxic {kind}, found array<array<int>>, quiet bigint").collect())
+    return _learn(kept, [(found, quiet) for _, quiet, found in got], np.array([t for t, *_ in got], float), np.array([share[t] for t, *_ in got], float))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """feature, n0, n1: the clean and the toxic texts that have it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+        def flushed() -> pa.RecordBatch:
+            names = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in seen)], ["feature", "n0", "n1"])
+            for c in seen:
+                c.clear()
+            return out
+
+        for b in batches:
+            for t, label in zip(texts_of(b), b.column("_toxic").to_pylist(), strict=True):
+                seen[1 if label else 0].update(_features_of(t))
+                if len(seen[0]) + len(seen[1]) >= COUNTED:
+                    yield flushed()
+        yield flushed()
+
+    return rows.mapInArrow(counted, "feature string, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def score(docs: DataFrame, model: SentenceModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
