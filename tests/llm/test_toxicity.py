@@ -21,3 +21,11 @@ def test_fit_leaves_texts_in_the_tasks_and_learns_the_same(spark, monkeypatch):
     got = toxicity.fit(docs, labels)
     assert want.weights and got.weights.keys() == want.weights.keys()
     assert all(abs(got.weights[f] - w) < 1e-6 for f, w in want.weights.items()) and abs(got.bias - want.bias) < 1e-6
+
+
+def test_words_are_those_of_the_sentences():
+    model = toxicity.SentenceModel({"=scumbag": 9.0}, -6.0)
+    for mark in ".!?\n":
+        score, found = model.document(f"fine{mark}Scumbag")
+        assert score > 0.9 and [x[:2] for x in found] == [(5, 12)]
+        assert "=scumbag" in toxicity._features_of(f"fine{mark}Scumbag")

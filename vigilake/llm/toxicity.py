@@ -59,7 +59,7 @@ class SentenceModel:
         if not text:
             return 0.0, []
         word, quiet = self.word, _softplus(self.bias)
-        if not any(map(word, set(text.split()))):  # every sentence has the bias alone
+        if not any(map(word, _words(text))):  # every sentence has the bias alone
             n = sum(1 for _ in SENTENCE.finditer(text))
             return 1 - float(np.exp(-n * quiet)), []
         total, found = 0.0, []
@@ -75,7 +75,12 @@ class SentenceModel:
 
 
 def _features_of(text: str) -> set[str]:
-    return {f for w in set(text.split()) for f in features(w)}
+    return {f for w in _words(text) for f in features(w)}
+
+
+def _words(text: str) -> set[str]:
+    """The words of all sentences: the marks of SENTENCE part words too, and a line break does anyway."""
+    return set(text.replace(".", " ").replace("!", " ").replace("?", " ").split())
 
 
 def _telling(texts: list[str], least: int, bits: int = 22) -> dict[str, int]:
