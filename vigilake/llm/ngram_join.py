@@ -6,8 +6,10 @@ share a token of their prefixes in that order, so prefixes alone decide who can
 Classes of the same least hash are likely similar and form a group, bounded in tokens. The
 matrix holds the (token, group) pairs of the prefixes: a class is a query to each larger
 group that shares a prefix token with it and has members of a fitting size, so a large group
-is never sent to the small ones, and only if they share enough of their prefixes. Where a group lies, its token union is built once; a query
-that shares too few tokens with the union does not open it. In an opened group members are
+is never sent to the small ones, and only if they share enough of their prefixes. Most prefix
+tokens occur once; they pass one shuffle, packed to token and class, and end there. Where a
+group lies, its token union is built once; a query that shares too few tokens with the union
+does not open it. In an opened group members are
 verified by exact overlap, and only links that connect something new are passed on. Every
 link between different sets is thus found or implied, while copies are never expanded.
 """
@@ -84,17 +86,29 @@ class Order:
         self.rank = np.empty(len(tokens), np.int64)
         self.rank[np.lexsort((tokens[by], counts[by]))] = np.arange(len(tokens))
 
-    def prefix(self, own: np.ndarray, percent: int) -> np.ndarray:
+    def prefix(self, own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+        """The first tokens of a set in the order, and how many of them are not frequent."""
         size = len(own) - needed(len(own), percent) + 1
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
             hot = self.tokens[at] == own
             if hot.any():
                 cold = own[~hot]
-                if len(cold) >= size:
-                    return cold[:size]
-                return np.concatenate([cold, own[hot][np.argsort(self.rank[at[hot]])]])[:size]
-        return own[:size]
+                if len(cold) < size:
+                    return np.concatenate([cold, own[hot][np.argsort(self.rank[at[hot]])]])[:size], len(cold)
+                own = cold
+        return own[:size], size
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper six bytes of each token. Tokens that they confuse may open a group in vain, they never hide a link."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<i8")
 
 
 def frequent_tokens(docs: DataFrame, n: int, most: int = HOT_TOKENS) -> Order:
@@ -126,36 +140,70 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = HOT_TOKENS) -> Order:
 
 
 def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), least (hash), prefix (packed tokens) for every row of `docs`."""
+    """doc_id, n_shingles, sig (of the set), least (hash), prefix (packed tokens), rare (its tokens that are not frequent)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingles(texts_of(b), n)
+            prefixes = [order.prefix(s, percent) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([order.prefix(s, percent).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([packed(x[0]) if x else None for x in prefixes], pa.binary()),
+                    pa.array([x[1] if x else None for x in prefixes], pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "sig", "least", "prefix"],
+                ["doc_id", "n_shingles", "sig", "least", "prefix", "rare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, sig binary, least long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, sig binary, least long, prefix binary, rare int")
 
 
-def _exploded(classes: DataFrame) -> DataFrame:
-    """(token, node, n, group) of the classes' prefixes."""
+def _exploded(classes: DataFrame, frequent: bool) -> DataFrame:
+    """(token, node, home) of the classes' prefixes: of the frequent tokens or of the others."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+            rare = b.column("rare").to_pylist()
+            tokens = [unpacked(x)[r:] if frequent else unpacked(x)[:r] for x, r in zip(b.column("prefix").to_pylist(), rare, strict=True)]
             if tokens:
                 at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(b.column(c).take(at) for c in ("node", "n", "group"))], ["token", "node", "n", "group"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column("node").take(at), b.column("home").take(at)], ["token", "node", "home"])
+
+    return classes.select("node", "home", "prefix", "rare").mapInArrow(each, "token long, node long, home long")
+
+
+def _shared(cells: DataFrame) -> DataFrame:
+    """The cells of tokens that lie in two groups. home 0 is a group of one class.
+
+    Frequent tokens do not come here, so a token's rows are few against all rows.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((3, 0), np.int64)
+        for last, b in _and_last(batches):
+            if b is not None:
+                rest = np.hstack([rest, np.stack([b.column(c).to_numpy() for c in ("token", "node", "home")])])
+            # a token that ends the batch may go on in the next
+            end = rest.shape[1] if last else int(np.searchsorted(rest[0], rest[0, -1])) if rest.shape[1] else 0
+            token, node, home = own = rest[:, :end]
+            rest = rest[:, end:]
+            if end:
+                start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+                count = np.diff(np.append(start, end))
+                one_home = (np.maximum.reduceat(home, start) == np.minimum.reduceat(home, start)) & (home[start] != 0)
+                own = own[:, np.repeat((count > 1) & ~one_home, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], ["token", "node"])
+
+    return cells.repartition("token").sortWithinPartitions("token").mapInArrow(met, "token long, node long")
+
 
-    return classes.select("node", "n", "group", "prefix").mapInArrow(each, "token long, node long, n long, group long")
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    for b in batches:
+        yield False, b
+    yield True, None
 
 
 class Group:
@@ -211,15 +259,15 @@ def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens
     usable = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("least").alias("least"))
     # a group is cut by size; its name begins with the size, so that names order groups by it
-    sizes = classes.groupBy("least").agg(F.sum("n").alias("tokens"))
+    sizes = classes.groupBy("least").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens))
     name = F.shiftleft(F.floor(F.log2("tokens")), 56) + F.pmod(F.xxhash64("least", part), F.lit(1 << 56))
-    grouped = stored(classes.join(sizes, "least").select("sig", "node", "n", name.alias("group")))
+    grouped = stored(classes.join(sizes, "least").select("sig", "node", "n", name.alias("group"), F.when(F.col("members") == 1, 0).otherwise(name).alias("home")))
     # the matrix: tokens of one group alone open nothing
-    named = grouped.select(F.col("sig").alias("_sig"), "node", "n", "group")
-    cells = _exploded(usable.select("doc_id", "sig", "prefix").join(named, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("_sig"))))
-    several = cells.groupBy("token").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).filter("_a < _b").select("token")
-    rows = stored(cells.join(several, "token", "left_semi"))
+    named = grouped.select(F.col("sig").alias("_sig"), "node", "home")
+    prefixes = usable.select("doc_id", "sig", "prefix", "rare").join(named, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("_sig")))
+    cells = _shared(_exploded(prefixes, False)).unionByName(_exploded(prefixes, True).select("token", "node"))
+    rows = stored(cells.join(grouped.select("node", "n", "group"), "node"))
     spans = rows.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (F.col("g") > F.col("group")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     met = rows.join(spans, "token").filter(fits).groupBy("node", "n", "g").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
