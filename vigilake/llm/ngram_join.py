@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import runs, stored, texts_of
@@ -140,7 +140,7 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = HOT_TOKENS) -> Order:
 
 
 def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), least (hash), prefix (packed tokens), rare (its tokens that are not frequent)."""
+    """doc_id, key (of the text), n_shingles, sig (of the set), least (hash), prefix (packed tokens), rare (its tokens that are not frequent)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,16 +149,17 @@ def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
                     pa.array([packed(x[0]) if x else None for x in prefixes], pa.binary()),
                     pa.array([x[1] if x else None for x in prefixes], pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "sig", "least", "prefix", "rare"],
+                ["doc_id", "key", "n_shingles", "sig", "least", "prefix", "rare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, sig binary, least long, prefix binary, rare int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(signed, "doc_id long, key long, n_shingles long, sig binary, least long, prefix binary, rare int")
 
 
 def _exploded(classes: DataFrame, frequent: bool) -> DataFrame:
@@ -313,6 +314,18 @@ def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens
     return dealt.mapInArrow(verified, "a long, b long").distinct()
 
 
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id; key is the text's hash."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = frequent_tokens(docs, n)
+    signed = stored(signatures(docs, order, n, percent))
+    found = connected(links(signed, docs, n, percent))
+    least = signed.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node"))
+    named = least.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    rows = signed.select("doc_id", "key", "n_shingles", "sig").join(named, "sig", "left")
+    return rows.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -320,23 +333,20 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     that links reach. A null or empty text, or one without words, has no n-grams and links with nothing.
     Of rows that share a doc_id each has its own text's component; a null doc_id has no component.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = frequent_tokens(docs, n)
-    signed = stored(signatures(docs, order, n, percent))
-    found = connected(links(signed, docs, n, percent))
-    least = signed.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node"))
-    named = least.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return _components(docs, n, percent).drop("key")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Of each component the row of the least doc_id, all columns as they are.
 
-    Of rows that share that doc_id one stays; rows without doc_id all do.
+    Of rows that share that doc_id within the component one stays; rows without doc_id all do.
+    Rows that share a doc_id but belong to different components are judged apart.
     """
-    first = join_components(docs, n, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    first = _components(docs, n, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    by = Window.partitionBy("_doc").orderBy("_key")  # the rows of one doc_id that lead a component: one of them stays
+    first = first.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") == 1).drop("_n")
+    kept = docs.join(first, (docs["doc_id"] == first["_doc"]) & (F.xxhash64(docs["text"]) == first["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
