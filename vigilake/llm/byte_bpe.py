@@ -3,9 +3,11 @@
 Short texts are encoded where they lie. A long text is cut into overlapping chunks that
 are dealt over the cluster and pre-tokenised in parallel. Two neighbours are stitched at
 the first position of their overlap that is a pre-token boundary for both: the pattern
-looks at nothing before a position, so from a common boundary on both agree. The pieces
-between stitches start and end at true boundaries and are then encoded; a text in which
-some neighbours never resynchronise (one endless pre-token) is encoded in one piece.
+looks at nothing before a position, so from a common boundary on both agree. A boundary
+after white space does not count: what a run of white space gives to the next pre-token
+depends on what follows, which a piece that ends there would not see. The pieces between
+stitches are encoded where their chunk lies, and only ids meet; chunks that do not
+resynchronise (a pre-token longer than the overlap) are joined to one piece before.
 Decoding concatenates the raw bytes of the ids.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread, texts_of, vocabulary
+from .common import runs, spread, texts_of, vocabulary
 
 #: Characters before a chunk's end whose boundaries the missing rest could still move: a contraction has three.
 MARGIN = 4
@@ -49,6 +51,11 @@ def _pattern(pattern: str | None) -> str:
     return pattern or public_tokenizers.PATTERN
 
 
+def _width(path: str, pattern: str) -> str:
+    """Of ids on their way; two bytes where the vocabulary allows it."""
+    return "<u2" if _encoding(path, pattern).n_vocab <= 1 << 16 else "<u4"
+
+
 def _packed(encoding, text: str) -> bytes:
     return np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
@@ -63,7 +70,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         raise ValueError("overlap must lie between twice the margin and the chunk's length")
     path, pattern = path or vocabulary("byte_bpe_50k.tiktoken"), _pattern(pattern)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    is_long = F.length("text") > chunk_chars
+    is_long = F.length("text") > chunk_chars + overlap
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path, pattern)
@@ -78,7 +85,7 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, size: int, overlap: i
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts_of(b), strict=True):
-                starts = range(0, len(text), size)
+                starts = range(0, max(1, len(text) - overlap), size)
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array([text[s : s + size + overlap] for s in starts], pa.string())],
@@ -91,40 +98,46 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, size: int, overlap: i
         for b in batches:
             heads, tails = [], []
             for idx, n, text in zip(b.column("idx").to_pylist(), b.column("n").to_pylist(), texts_of(b), strict=True):
-                ends = [0, *(m.end() for m in match.finditer(text))]
+                ends = [0, *(e for m in match.finditer(text) if not text[(e := m.end()) - 1].isspace())]
                 base = idx * size
                 heads.append([base + e for e in ends if e <= overlap])
                 tails.append([] if idx == n - 1 else [base + e for e in ends if size <= e <= len(text) - MARGIN])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*b.schema.names, "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("row", "idx", "n")] + [pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["row", "idx", "n", "head", "tail"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by text and chunk. A text's ids are gathered until its last chunk."""
-        encoding, ids, held = _encoding(path, pattern), [], []
+        """Encode pieces whose chunks follow one another; most have one."""
+        encoding, kind, held = _encoding(path, pattern), _width(path, pattern), []
         for b in batches:
-            docs_out, ids_out = [], []
-            for doc, idx, n, text, lost, begin, end in zip(*(b.column(c).to_pylist() for c in ("doc_id", "idx", "n", "text", "lost", "begin", "end")), strict=True):
+            out: list[list] = [[], [], [], []]
+            for row, doc, idx, n, text, begin, end in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "idx", "n", "text", "begin", "end")), strict=True):
                 base = idx * size
-                if lost:
-                    held.append(text[:size])
-                else:
-                    ids.append(_packed(encoding, text[begin - base : None if end is None else end - base]))
-                if idx == n - 1:
-                    docs_out.append(doc)
-                    ids_out.append(_packed(encoding, "".join(held)) if held else b"".join(ids))
-                    ids, held = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(ids_out, pa.binary())], ["doc_id", "ids"])
-
-    cut = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(chunks, "row long, doc_id long, idx int, n int, text string")
-    parted = cut.repartition("row", "idx").mapInArrow(boundaries, "row long, doc_id long, idx int, n int, text string, head array<long>, tail array<long>")
+                last = end is not None or idx == n - 1
+                held.append(text[max(0, (begin or 0) - base) : size if not last else None if end is None else end - base])
+                if last:
+                    for to, x in zip(out, (row, doc, idx, np.array(encoding.encode_ordinary("".join(held)), dtype=kind).tobytes()), strict=True):
+                        to.append(x)
+                    held = []
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["row", "doc_id", "idx", "ids"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _width(path, pattern)
+        for text in runs(batches, ["row"]):
+            ids = np.frombuffer(b"".join(text.column("ids").to_pylist()), kind).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([text.column("doc_id")[0].as_py()], pa.int64()), pa.array([ids], pa.binary())], ["doc_id", "ids"])
+
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(chunks, "row long not null, doc_id long, idx int not null, n int, text string").repartition("row", "idx")
     order = Window.partitionBy("row").orderBy("idx")
     synced = (
-        parted.withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
-        .withColumn("begin", F.coalesce(F.lag("end").over(order), F.lit(0)))
-        .withColumn("lost", F.max(F.col("end").isNull() & (F.col("idx") < F.col("n") - 1)).over(Window.partitionBy("row")))
-        .select("row", "doc_id", "idx", "n", "text", "begin", "end", "lost")
-        .sortWithinPartitions("row", "idx")
+        dealt.mapInArrow(boundaries, "row long not null, idx int not null, n int, head array<long>, tail array<long>")
+        .withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
+        .withColumn("begin", F.lag("end").over(order))
+        .withColumn("piece", F.count("begin").over(order))
+        .select("row", "idx", "begin", "end", "piece", ((F.col("begin").isNotNull() | (F.col("idx") == 0)) & (F.col("end").isNotNull() | (F.col("idx") == F.col("n") - 1))).alias("alone"))
     )
-    return synced.mapInArrow(pieces, "doc_id long, ids binary")
+    schema = "row long, doc_id long, idx int, ids binary"
+    alone = dealt.join(synced.filter("alone"), ["row", "idx"]).mapInArrow(pieces, schema)
+    several = dealt.join(synced.filter("not alone"), ["row", "idx"]).repartition("row", "piece").sortWithinPartitions("row", "idx").mapInArrow(pieces, schema)
+    return alone.unionByName(several).repartition("row").sortWithinPartitions("row", "idx").mapInArrow(joined, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

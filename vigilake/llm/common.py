@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,19 +24,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly over the cluster ahead of heavy per-row work.
+    """`df`, dealt evenly over the cluster where it has too few partitions to keep the cores busy with per-row work.
 
-    A Parquet file's row groups can be much larger than a split, so that a scan of
-    few row groups keeps few cores busy. Round robin has no key, hence no hot key.
+    Many partitions stay as they are, so a large table is not shuffled. Round robin has no key, hence no hot key.
     """
-    return df.repartition(max(shuffle_partitions(df.sparkSession), 1))
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only a session without one gets its own."""
+    """Use the shared folder that the cluster names. Only a session on one machine may go without: it gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            place = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(place)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
