@@ -2,21 +2,21 @@
 
 A normal (2-stable) projection to m dimensions turns a squared distance D into D times a
 chi-square variable of m degrees of freedom. A kd-tree over the projected vectors, fitted to
-a bounded sample, deals all vectors to its leaves. A query meets its projected neighbours in
-ascending projected distance and verifies each by its true score. It stops when the next
-projected distance is so large that a vector nearer than the k-th best found would lie
-beyond it with probability 1 - confidence at most. The home leaf comes first; its k-th best
-then tells which other leaves the test leaves open, and those are searched in parallel.
+a bounded sample, deals all vectors to its leaves. In a leaf a query takes its projected
+neighbours a few at a time in ascending projected distance and verifies each by its true
+score. It stops when the next projected distance is so large that a vector nearer than the
+k-th best found so far would lie beyond it with probability 1 - confidence at most. The home
+leaf comes first; its k-th best then tells which other leaves the test leaves open, and those
+are walked in parallel, each from that bound on.
 
 The largest inner product is the smallest distance once every vector is lengthened by a
 coordinate that brings it to the largest norm; a query's own added coordinate is 0.
-Queries of a leaf are verified together, as a product of matrices.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import best, block_of, first_copies, matrix, ranked, usable
-from .common import bounded_sample
+from .common import bounded_sample, stored
 
 SCHEMA = "query_id long, vec_id long, score double"
-#: Vectors that the tree is fitted to at most, in expectation; every vector is indexed.
-SAMPLE = 16_384
+#: Vectors that the tree is fitted to at most, in expectation, and their numbers; every vector is indexed.
+SAMPLE, SAMPLE_CELLS = 16_384, 4_000_000
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -99,43 +99,60 @@ def grow(sample: np.ndarray, projection: np.ndarray, norm2: float, depth: int) -
     return tree
 
 
-def search_leaf(tree: Tree, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, stop: float, width: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, places, scores): for each query what a leaf adds to its k best.
+def walked(gap2: np.ndarray, rows: np.ndarray, q: np.ndarray, bound: float, k: int, limit: Callable[[float], float], step: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, scores, how many were verified) of the projected neighbours that one query meets in a leaf.
 
-    `known` has a k-th best score of each query, -inf for none. A query without one first verifies its
-    nearest projected neighbours; then all neighbours up to the stopping distance are verified, and those
-    that reach the k-th best are scored exactly.
+    `gap2` has their squared projected distances, `bound` a k-th best score known (-inf for none), and
+    limit(bound) the projected distance at which the test holds. Of the verified only those that may be
+    among the k best come back.
     """
+    reach = limit(bound)
+    order = np.flatnonzero(gap2 <= reach)
+    ascending = gap2[order]
+    by = np.argsort(ascending)
+    order, ascending = order[by], ascending[by]
+    at, size = 0, step if np.isfinite(bound) else 4 * k
+    places, scores = [], []
+    nearest = np.empty(0)
+    while at < len(order) and ascending[at] <= reach:
+        own = order[at : at + size]
+        found = rows[own] @ q
+        places.append(own)
+        scores.append(found)
+        at, size = at + len(own), step
+        nearest = np.concatenate([nearest, found])
+        if len(nearest) >= k:
+            nearest = np.partition(nearest, len(nearest) - k)[len(nearest) - k :]
+            bound = max(bound, float(nearest[0]))
+            reach = limit(bound)
+    if not places:
+        return np.empty(0, np.int64), np.empty(0), 0
+    # the product above rounds by place; what may count is scored again, row by row, so that equal vectors tie
+    able = np.concatenate(places)[np.concatenate(scores) >= bound - 1e-9 * (1 + abs(bound))] if np.isfinite(bound) else np.concatenate(places)
+    return able, (rows[able] * q).sum(axis=1), at
+
+
+def search_leaf(tree: Tree, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, stop: float, width: int = 512, step: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query, places, scores, how many it verified): for each query what a leaf adds to its k best."""
     base2 = (points * points).sum(axis=1)
     for first in range(0, len(queries), width):
         q = queries[first : first + width]
         at = tree.project(q, query=True)
-        gap2 = np.maximum(0, (at * at).sum(axis=1)[:, None] + base2 - 2 * (at @ points.T))
-        rough = q @ rows.T
-        mine = ids == own[first : first + width, None]
-        gap2[mine] = np.inf
-        rough[mine] = -np.inf
-        bound = known[first : first + width].copy()
-        begin = np.flatnonzero(np.isinf(bound)) if len(ids) > k else np.empty(0, np.int64)
-        if len(begin):
-            near = np.argpartition(gap2[begin], min(4 * k, len(ids) - 1), axis=1)[:, : 4 * k]
-            scores = np.take_along_axis(rough[begin], near, axis=1)
-            bound[begin] = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        slack = 1e-9 * (1 + np.abs(bound))
-        with np.errstate(invalid="ignore"):
-            reach = np.where(np.isinf(bound), np.inf, stop * np.maximum(0, (q * q).sum(axis=1) + tree.norm2 - 2 * bound) * (1 + 1e-9) + 1e-9)
-            verified = (gap2 <= reach[:, None]) & (rough >= np.where(np.isinf(bound), -np.inf, bound - slack)[:, None]) & ~mine
-        for i in np.flatnonzero(verified.any(axis=1)):
-            found = np.flatnonzero(verified[i])
-            if len(found) > 4 * k:
-                own_rough = rough[i, found]
-                found = found[own_rough >= np.partition(own_rough, len(found) - k)[len(found) - k] - 1e-9]
-            scores = (rows[found] * q[i]).sum(axis=1)
-            top = best(scores, ids[found], k)
-            yield first + int(i), found[top], scores[top]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, confidence: float = 0.97, leaf_rows: int = 2048, query_rows: int = 8192, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
+        gaps = np.maximum(0, (at * at).sum(axis=1)[:, None] + base2 - 2 * (at @ points.T))
+        gaps[ids == own[first : first + width, None]] = np.nan  # a query does not meet itself
+        q2 = (q * q).sum(axis=1)
+        for i in range(len(q)):
+
+            def limit(bound: float, i: int = i) -> float:
+                return stop * max(0.0, q2[i] + tree.norm2 - 2 * bound) * (1 + 1e-9) + 1e-9 if np.isfinite(bound) else np.inf
+
+            with np.errstate(invalid="ignore"):
+                places, scores, n = walked(gaps[i], rows, q[i], float(known[first + i]), k, limit, step)
+            top = best(scores, ids[places], k)
+            yield first + i, places[top], scores[top], n
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 24, confidence: float = 0.85, leaf_rows: int = 2048, query_rows: int = 32_768, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: nearest other rows of each query by inner product, best first.
 
     Both tables have vec_id and embedding. Ties go to the smaller vec_id. Vectors that are null, empty,
@@ -144,13 +161,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, c
     if dims % 2:
         raise ValueError("dims must be even")
     nonzero = F.exists("v", lambda c: c != 0)
-    clean = usable(vectors).filter(nonzero)
+    clean = stored(usable(vectors).filter(nonzero))
     asked = usable(queries).filter(nonzero).withColumnRenamed("vec_id", "query_id")
     shape = clean.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("norm2")).first()
     if not shape.n:
         return ranked(asked.sparkSession.createDataFrame([], SCHEMA), k)
     width, stop = shape.d, chi_square_quantile(confidence, dims)
-    chosen = bounded_sample(clean, sample, F.col("vec_id")).select("v").collect()
+    chosen = bounded_sample(clean, min(sample, SAMPLE_CELLS // width), F.col("vec_id")).select("v").collect()
     depth = max(0, min(math.ceil(math.log2(max(1, shape.n / leaf_rows))), int(math.log2(max(1, len(chosen) / 16)))))
     projection = np.random.default_rng(seed).normal(size=(width + 1, dims))
     tree = grow(matrix([r.v for r in chosen], width), projection, shape.norm2, depth)
@@ -178,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, c
             yield f.iloc[rows].assign(leaf=np.concatenate(lists) if len(rows) else np.zeros(0, "int32"))
 
     data = first_copies(clean, k + 1).mapInPandas(placed, "vec_id long, v array<double>, leaf int")
-    data = data.withColumn("sub", block_of(subs, "vec_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    data = data.withColumn("sub", block_of(subs, "vec_id"))
 
     def searched(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -186,14 +203,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 8, c
             ids, x = rows.vec_id.to_numpy(), matrix(rows.v, width)
             points = tree.project(x)
             qids = own.query_id.to_numpy()
-            for i, at, scores in search_leaf(tree, ids, x, points, matrix(own.v, width), qids, own.known.to_numpy(float), k, stop):
+            for i, at, scores, _ in search_leaf(tree, ids, x, points, matrix(own.v, width), qids, own.known.to_numpy(float), k, stop):
                 out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at], "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
 
     def over(which: DataFrame) -> DataFrame:
-        dealt = which.withColumn("part", block_of(parts, "query_id")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
+        """A leaf goes to the parts of the queries that open it, and to no other."""
+        dealt = which.withColumn("part", block_of(parts, "query_id"))
+        met = data.join(dealt.groupBy("leaf").agg(F.collect_set("part").alias("_parts")), "leaf").withColumn("part", F.explode("_parts")).drop("_parts")
         keys = ["leaf", "sub", "part"]
-        return dealt.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(searched, SCHEMA)
+        return dealt.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))).groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(searched, SCHEMA)
 
     nothing = F.lit(float("-inf"))
     columns = "query_id long, v array<double>, known double, leaf int"
