@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, integers: int | None = None) -> DataFrame:
     """vec_id, v (array<double>; array<long> of floor(integers * x) if given) of vectors without null or non-finite parts.
 
-    Rows without id go. Of rows that repeat an id, the smallest vector stays.
+    Rows without id go. An id names one vector: rows that repeat it are one, the smallest.
     """
     x = F.col("embedding").cast("array<double>")
     whole = F.size(x) > 0

@@ -1,13 +1,14 @@
 """Exact top-k by inner product with sorted access alone (no random access) and bounds.
 
-The vectors lie in blocks of bounded size. In each block every dimension is a list sorted by
-value, which a query reads from its better end, all lists in step. What has been read of a
-vector gives its lower bound (its unread parts at the lists' far ends) and its upper bound
-(its unread parts at the lists' present positions). Lists are read in step to a few depths, for
-all queries of a block at once: both bounds are then products of matrices. A block is done for
-a query when nothing outside its candidates can reach the k-th best score known, and the
-candidates' scores are then resolved. A first pass over one block a query gives the bound with
-which the others start.
+The vectors lie in blocks of bounded size, by the nearest of a few pivot vectors. In a block
+every dimension is a list sorted by value, which a query reads step by step from its better
+end, all lists at one depth. Of a vector it knows the sum of the parts it has read; with the
+lists' present positions for the unread parts that is an upper bound, with their far ends a
+lower bound. While the present positions alone add up to the k-th best score known, a vector
+of which nothing was read could still qualify and reading goes on; after that the vectors
+whose upper bound falls short are dropped, until few are left or the lists end, and the scores
+of those are resolved. A block whose list heads cannot reach the known score is not read. The
+block nearest to a query comes first and gives the score with which the others start.
 """
 
 from __future__ import annotations
@@ -20,123 +21,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import best, block_of, first_copies, matrix, ranked, usable
+from .common import bounded_sample, stored
 
 SCHEMA = "query_id long, vec_id long, score long"
+#: Pivots at most.
+PIVOTS = 256
 
 
 class SortedLists:
-    """A block: rows x dims, with each dimension's values also in ascending order."""
+    """A block: rows x dims, and each dimension as a list from its lower end and one from its upper end."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows.astype(float)  # integer sums below 2**53 are exact
-        self.values = np.sort(self.rows, axis=0)
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """What is known of each part after reading every list to `depth`, from its upper and from its lower end.
-
-        Highest: a read part itself, else the list's next value; lowest: a read part itself, else the list's far
-        end. Each has the parts as a positive query component meets them, then as a negative one does.
-        """
-        if depth not in self.bounds:
-            x, v, n = self.rows, self.values, len(self.rows)
-            up, down = v[max(n - 1 - depth, 0)], v[min(depth, n - 1)]
-            self.bounds[depth] = (
-                np.hstack([np.maximum(x, up), np.minimum(x, down)]),
-                np.hstack([np.where(x > up, x, v[0]), np.where(x < down, x, v[-1])]),
-            )
-        return self.bounds[depth]
-
-    def search(self, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, depths: int = 4, width: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        self.ids, self.rows, self.heads = ids, rows, np.stack([rows.min(axis=0), rows.max(axis=0)]).astype(float)
+        self.lists: tuple | None = None
+        self.masks: dict[int, np.ndarray] = {}
+        self.multiplied = 0  # read parts and resolved rows, to be held against rows x dims a query
+
+    def _opened(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, values, where each row stands) of both lists of every dimension, made when first read."""
+        if self.lists is None:
+            order = np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32)
+            values = np.take_along_axis(self.rows.T, order, axis=1).astype(float)
+            stand = np.empty_like(order)
+            np.put_along_axis(stand, order, np.broadcast_to(np.arange(len(self.ids), dtype=np.int32), order.shape), axis=1)
+            self.lists = (np.stack([order, order[:, ::-1]]).astype(np.int64), np.stack([values, values[:, ::-1]]), np.stack([stand, len(self.ids) - 1 - stand]))
+        return self.lists
+
+    def _unread(self, depth: int) -> np.ndarray:
+        """rows x 2 dims: 1 where a row lies below `depth` in a dimension's upper list, then in its lower list."""
+        if depth not in self.masks:
+            stand = self._opened()[2]
+            self.masks[depth] = (np.concatenate([stand[1], stand[0]]) >= depth).T.astype(float)
+        return self.masks[depth]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, steps: int = 16, width: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, places, scores) of the k best rows other than `own` that reach the score `known` of each query."""
-        n, few = len(self.ids), max(4 * k, 64)
+        n, few, dim = len(self.ids), max(4 * k, 64), np.arange(self.rows.shape[1])
+        step = -(-n // steps)
         for first in range(0, len(queries), width):
-            q, at = queries[first : first + width].astype(float), known[first : first + width].copy()
-            signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-            live = self.ids[:, None] != own[None, first : first + width]
-            todo = np.arange(len(q))
-            for depth in [n * i // depths for i in range(1, depths)] if n > few else []:
-                highest, lowest = self.read(depth)
-                low = np.where(live[:, todo], lowest @ signed[todo].T, -np.inf)
-                at[todo] = np.maximum(at[todo], np.partition(low, n - k, axis=0)[n - k])
-                live[:, todo] &= highest @ signed[todo].T >= at[todo]
-                todo = todo[live[:, todo].sum(axis=0) > few]
-                if not len(todo):
+            asking = queries[first : first + width]
+            q, at_least = asking.astype(float), known[first : first + width]
+            side = (q > 0).astype(int)
+            # sums of doubles are exact below 2**53; beyond, bounds give way by more than their rounding
+            size = np.abs(q) @ np.abs(self.heads).max(axis=0)
+            slack = np.where(size < 2**53, 0.0, size * len(dim) * 2.0**-50)
+            able = (self.heads[side, dim] * q).sum(axis=1) >= at_least - slack
+            live = (self.ids != own[first : first + width, None]) & able[:, None]
+            active = np.flatnonzero(able) if n > few else np.empty(0, np.int64)
+            seen = np.zeros((len(q), n)) if len(active) else None
+            for at in range(0, n - step, step):
+                if not len(active):
                     break
-            for i in range(len(q)):
-                places = np.flatnonzero(live[:, i])
-                scores = self.rows[places] @ q[i]
-                places, scores = places[scores >= at[i]], scores[scores >= at[i]]
-                top = best(scores, self.ids[places], k)
-                yield first + i, places[top], scores[top].astype(np.int64)
-
-
-def search(self, query: np.ndarray, own: int, k: int, known: float, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows other than `own` that reach the score `known`."""
-        n = len(self.ids)
-        live = np.flatnonzero(self.ids != own)
-        used = np.flatnonzero(query)
-        q = query[used]
-        up = q > 0
-        worst = np.where(up, self.values[0, used], self.values[-1, used]) * q
-        at = step
-        while at < n and len(live) > k:
-            # all lists have been read to depth `at`; the frontier is the next value of each
-            front = np.where(up, self.values[n - 1 - at, used], self.values[at, used]) * q
-            place = self.place[np.ix_(live, used)]
-            read = np.where(up, n - 1 - place, place) < at
-            parts = self.rows[np.ix_(live, used)] * q
-            low = np.where(read, parts, worst).sum(axis=1)
-            high = np.where(read, parts, front).sum(axis=1)
-            if len(live) > k:
-                known = max(known, float(np.partition(low, len(low) - k)[len(low) - k]))
-            live = live[high >= known]
-            if len(live) <= max(4 * k, 64):
-                break
-            at += step
-        scores = self.rows[live] @ query
-        live, scores = live[scores >= known], scores[scores >= known]
-        top = best(scores, self.ids[live], k)
-        return live[top], scores[top]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, integers: int = 1024, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
+                places, values, _ = self._opened()
+                end, up = at + step, side[active] == 1
+                for i in active.tolist():
+                    parts = values[side[i], dim, at:end] * q[i][:, None]
+                    seen[i] += np.bincount(places[side[i], dim, at:end].ravel(), parts.ravel(), n)
+                    self.multiplied += parts.size
+                floor = at_least[active].copy()
+                if (blind := np.flatnonzero(np.isneginf(floor))).size and n - 1 >= k:
+                    # the k-th best lower bound stands in for a score not known yet
+                    far = values[side[active[blind]], dim, -1] * q[active[blind]]
+                    low = seen[active[blind]] + (self._unread(end) @ np.hstack([far * up[blind], far * ~up[blind]]).T).T
+                    low[~live[active[blind]]] = -np.inf
+                    floor[blind] = np.partition(low, n - k, axis=1)[:, n - k]
+                floor -= slack[active]
+                front = values[side[active], dim, end] * q[active]
+                # while the present positions alone reach the score, one of which nothing was read could qualify
+                if (ready := np.flatnonzero(front.sum(axis=1) < floor)).size:
+                    who = active[ready]
+                    high = seen[who] + (self._unread(end) @ np.hstack([front * up, front * ~up])[ready].T).T
+                    live[who] &= high >= floor[ready, None]
+                    active = np.setdiff1d(active, who[live[who].sum(axis=1) <= few])
+            for i in np.flatnonzero(able).tolist():
+                found = np.flatnonzero(live[i])
+                scores = self.rows[found] @ asking[i]
+                self.multiplied += self.rows[found].size
+                found, scores = found[scores >= at_least[i]], scores[scores >= at_least[i]]
+                top = best(scores, self.ids[found], k)
+                yield first + i, found[top], scores[top]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, integers: int = 1024, block_rows: int = 32_768, query_rows: int = 32_768, list_rows: int = 4096, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with other rows.
 
     Both tables have vec_id and embedding; a component x counts as floor(integers * x). Ties go to the
-    smaller vec_id, a query has fewer rows only if there are fewer candidates. Vectors that are null,
-    empty or hold null or non-finite parts take no part; a shorter vector counts as ending in zeros.
+    smaller vec_id, a query has fewer rows only if there are fewer candidates. An id names one vector:
+    rows that repeat it are one, the smallest. Vectors that are null, empty or hold null or non-finite parts
+    take no part; a shorter vector counts as ending in zeros. Scores must fit a long.
     """
-    known_rows = first_copies(usable(vectors, integers), k + 1)
-    asked = usable(queries, integers)
-    shape = usable(vectors, integers).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    clean, asked = stored(usable(vectors, integers)), usable(queries, integers)
+    shape = clean.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     n_queries, width = asked.count(), shape.d or 1
-    blocks = max(1, -(-shape.n // block_rows))
+    if not shape.n or not n_queries:
+        return ranked(asked.sparkSession.createDataFrame([], SCHEMA), k)
+    # a block has many lists' rows, so that few copies of queries and rows travel; small tables get more blocks
+    block_rows = min(block_rows, max(shape.n // 64, 2048))
+    chosen = bounded_sample(clean, PIVOTS, F.col("vec_id")).select("v").collect() if shape.n > block_rows else []
+    pivots = matrix([r.v for r in chosen], width) if chosen else np.zeros((1, width))
     parts = max(1, -(-n_queries // query_rows))
-    data = known_rows.withColumn("block", block_of(blocks, "vec_id"))
-    asked = asked.withColumnRenamed("vec_id", "query_id").withColumn("part", block_of(parts, "query_id")).withColumn("home", block_of(blocks, "query_id"))
+
+    def celled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(cell=(matrix(f.v, width) @ pivots.T).argmax(axis=1).astype("int32") if len(f) else np.zeros(0, "int32"))
+
+    data = first_copies(clean, k + 1).mapInPandas(celled, "vec_id long, v array<long>, cell int")
+    asked = asked.withColumnRenamed("vec_id", "query_id").mapInPandas(celled, "query_id long, v array<long>, cell int").withColumn("part", block_of(parts, "query_id"))
+    # cells of more rows than a block are cut; of a cell at most PIVOTS numbers come here
+    sizes = {r.cell: r.n for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    cuts = {c: -(-n // block_rows) for c, n in sizes.items()}
+    names = [(c, i) for c in sorted(cuts) for i in range(cuts[c])]
+    first_of, number = {}, {}
+    for at, (c, i) in enumerate(names):
+        first_of.setdefault(c, at)
+        number[c] = cuts[c]
+    base = F.create_map(*(F.lit(x) for c in first_of for x in (c, first_of[c])))
+    count = F.create_map(*(F.lit(x) for c in number for x in (c, number[c])))
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        cell = F.when(F.map_contains_key(base, F.col("cell")), F.col("cell")).otherwise(F.lit(min(first_of)))
+        return df.withColumn("cell", cell).withColumn("block", (base[F.col("cell")] + F.pmod(F.xxhash64(key, F.lit(97)), count[F.col("cell")])).cast("int")).drop("cell")
+
+    data = placed(data, "vec_id")
+    asked = placed(asked, "query_id").withColumnRenamed("block", "home")
 
     def searched(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(rows):
-            lists = SortedLists(rows.vec_id.to_numpy(), matrix(rows.v, width))
-            qids = own.query_id.to_numpy()
-            for i, at, scores in lists.search(matrix(own.v, width), qids, own.known.to_numpy(float), k):
-                out.append(pd.DataFrame({"query_id": qids[i], "vec_id": lists.ids[at], "score": scores}))
+            asking, qids, known = matrix(own.v, width, np.int64), own.query_id.to_numpy(), own.known.to_numpy(float)
+            ids, x = rows.vec_id.to_numpy(), matrix(rows.v, width, np.int64)
+            for a in range(0, len(ids), list_rows):
+                lists = SortedLists(ids[a : a + list_rows], x[a : a + list_rows])
+                for i, at, scores in lists.search(asking, qids, known, k):
+                    if len(at):
+                        out.append(pd.DataFrame({"query_id": qids[i], "vec_id": lists.ids[at], "score": scores}))
+                    if len(at) == k:
+                        known[i] = max(known[i], float(scores[-1]))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     def over(which: DataFrame) -> DataFrame:
-        """`which` has query_id, v, known, part, block."""
-        spread_rows = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return which.groupBy("block", "part").cogroup(spread_rows.groupBy("block", "part")).applyInPandas(searched, SCHEMA)
+        """`which` has query_id, v, known, part, block; a block goes to the parts that ask it."""
+        met = data.join(which.groupBy("block").agg(F.collect_set("part").alias("_parts")), "block").withColumn("part", F.explode("_parts")).drop("_parts")
+        return which.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInPandas(searched, SCHEMA)
 
     nothing = F.lit(float("-inf"))
     first = over(asked.withColumn("block", F.col("home")).withColumn("known", nothing))
-    bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(nothing).alias("known"))
+    bound = ranked(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(nothing).alias("known"))
     rest = (
         asked.join(bound, "query_id", "left")
         .withColumn("known", F.coalesce("known", nothing))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
         .filter(F.col("block") != F.col("home"))
     )
     return ranked(first.unionByName(over(rest)), k)
@@ -150,9 +184,10 @@ def op8_topk(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH clean AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
