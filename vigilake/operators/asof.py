@@ -15,14 +15,13 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     names = [f"{prefix}{c}" for c in payload]
     packed = F.struct(*(F.col(c).alias(n) for c, n in zip(payload, names, strict=True)))
     own = [c for c in left.columns]
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(None).cast("long").alias("_tie"), F.lit(1 if direction == "backward" else 0).alias("_side"), F.struct(*own).alias("_left"))
-    b = right.filter(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), F.col(tie).cast("long").alias("_tie"), F.lit(0 if direction == "backward" else 1).alias("_side"), packed.alias("_right"))
+    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(None).cast("long").alias("_tie"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
+    b = right.filter(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), F.col(tie).cast("long").alias("_tie"), F.lit(0).alias("_side"), packed.alias("_right"))
     both = a.unionByName(b, allowMissingColumns=True)
     by = Window.partitionBy(*keys)
-    if direction == "backward":
-        found = F.last("_right", ignorenulls=True).over(by.orderBy("_t", "_side", F.col("_tie").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        found = F.first("_right", ignorenulls=True).over(by.orderBy("_t", "_side", F.col("_tie").desc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # a frame that only grows costs one step a row, whichever way time runs
+    t = F.col("_t").asc() if direction == "backward" else F.col("_t").desc()
+    found = F.last("_right", ignorenulls=True).over(by.orderBy(t, "_side", F.col("_tie").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return both.withColumn("_found", found).filter(F.col("_left").isNotNull()).select(*(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_found.{n}").alias(n) for n in names))
 
 

@@ -37,9 +37,11 @@ def matched(readings: DataFrame, gallery: DataFrame, key: str, text: str, most:
     blocks = identity._blocks(known.count())
     a = texts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     b = known.withColumn("_block", F.pmod(F.xxhash64("global_id"), F.lit(blocks)))
-    near = a.join(b, "_block").filter(F.abs(F.length("_t") - F.length("_g")) <= most + margin + 2)
+    short = F.length("_t") < 7  # may lie anywhere in a longer plate
+    # every surplus character costs one: farther in length is neither a match nor a rival
+    near = a.join(b, "_block").filter(short | (F.abs(F.length("_t") - F.length("_g")) <= most + margin))
     whole, part = P.distance(F.col("_t"), F.col("_g")), P.distance(F.col("_t"), F.col("_g"), True)
-    dist = near.withColumn("_whole", whole).withColumn("_part", part).withColumn("dist", F.when(F.length("_t") < 7, F.least("_whole", "_part")).otherwise(F.col("_whole")))
+    dist = near.withColumn("_whole", whole).withColumn("_part", part).withColumn("dist", F.when(short, F.least("_whole", "_part")).otherwise(F.col("_whole")))
     won = ranked.margin_winners(dist, "_t", "global_id", "dist", most + 1e-9, margin)
     return readings.withColumn("_t", P.normalised(F.col(text))).join(won, "_t").select(key, "global_id", "distance")
 
