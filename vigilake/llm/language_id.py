@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, kept, spread, texts_of
+from .common import held_out, kept, spread, texts_of
 
 WINDOW = 256
 #: Labelled documents that training reads at most, in expectation, and windows that it takes from each.
@@ -186,9 +186,17 @@ def train(windows: list[tuple[bytes, str]], hidden: int = 8, epochs: int = 4, ba
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, **options) -> Network | None:
-    """A network from `text` and non-null `lang`; windows lie at places that a hash of the text chooses."""
+    """A network from `text` and non-null `lang`; windows lie at places that a text's length chooses.
+
+    About `sample_docs` rows are read at most, in equal shares of the labels where they have so many; of equal texts
+    one counts.
+    """
     rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    rows = bounded_sample(rows, sample_docs, F.col("text"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample_docs / len(counts) / n) * 1_000_000))))
+    rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(20_011)), F.lit(1_000_000)) < share[F.col("lang")])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +211,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, **options) -> Netwo
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(langs, pa.string())], ["bytes", "lang"])
 
-    found = sorted((bytes(r.bytes), r.lang) for r in rows.mapInArrow(windows, "bytes binary, lang string").collect())
+    found = sorted((bytes(r.bytes), r.lang) for r in rows.mapInArrow(windows, "bytes binary, lang string").distinct().collect())
     return train(found, **options)
 
 

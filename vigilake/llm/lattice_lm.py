@@ -102,6 +102,14 @@ def _logsum(x: np.ndarray) -> np.ndarray:
         return np.log(np.exp(x - safe).sum(axis=0)) + safe
 
 
+def _marked(word: bytes) -> str:
+    return "▁" + word.decode("utf-8", "replace")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 class Lattice:
     """All segmentations of words; `logp` weights the pieces."""
 
@@ -136,21 +144,70 @@ class Lattice:
             alpha[j] = _logsum(np.stack([alpha[j - k - 1] + score[k, j - k - 1] for k in range(m)]))
         return alpha
 
+    def _long(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and character codes of the words whose cells would not fit; `_chunks` leaves them out."""
+        for i, w in enumerate(words):
+            if len(w) * self.pieces.longest >= CELLS // 2 and len(text := _marked(w)) * self.pieces.longest > CELLS:
+                yield i, _codes(text)
+
     def _chunks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places and character codes of words of equal length, after the mark that begins a word."""
-        texts = ["▁" + w.decode("utf-8", "replace") for w in words]
+        texts = [_marked(w) for w in words]
         lengths = np.array([len(t) for t in texts], np.int64)
-        for size in np.unique(lengths):
+        for size in np.unique(lengths[lengths * self.pieces.longest <= CELLS]):
             at = np.flatnonzero(lengths == size)
             width = max(1, CELLS // int(size * min(size, self.pieces.longest)))
             for a in range(0, len(at), width):
                 part = at[a : a + width]
-                codes = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4")
+                codes = _codes("".join(texts[i] for i in part))
                 yield part, codes.reshape(len(part), size)
 
+    def _windows(self, codes: np.ndarray) -> range:
+        """Where the windows of one very long word begin."""
+        return range(0, len(codes), max(self.pieces.longest, CELLS // self.pieces.longest))
+
+    def _window(self, codes: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """piece, score (length - 1, start) and strange of the starts in the window from `a` on."""
+        z = min(len(codes), a + self._windows(codes).step)
+        piece, score, strange = self._cells(codes[None, a : min(len(codes), z + self.pieces.longest - 1)])
+        return piece[:, : z - a, 0], score[:, : z - a, 0], [(parts, where[: z - a, 0]) for parts, where in strange]
+
+    def _long_forward(self, codes: np.ndarray) -> np.ndarray:
+        alpha = np.full(len(codes) + 1, -np.inf)
+        alpha[0] = 0
+        for a in self._windows(codes):
+            _, score, _ = self._window(codes, a)
+            for i in range(score.shape[1]):
+                to = alpha[a + i + 1 : a + i + 1 + len(score)]
+                np.logaddexp(to, alpha[a + i] + score[: len(to), i], out=to)
+        return alpha
+
+    def _long_expected(self, codes: np.ndarray, count: float) -> np.ndarray:
+        size, out = len(codes), np.zeros(len(self.logp))
+        alpha, beta = self._long_forward(codes), np.full(len(codes) + 1, -np.inf)
+        beta[size] = 0
+        for a in reversed(self._windows(codes)):
+            piece, score, strange = self._window(codes, a)
+            for i in range(score.shape[1] - 1, -1, -1):
+                own = beta[a + i + 1 : a + i + 1 + len(score)]
+                beta[a + i] = np.logaddexp.reduce(score[: len(own), i] + own)
+            for k in range(len(score)):
+                n = min(score.shape[1], size - a - k)
+                p = np.exp(alpha[a : a + n] + score[k, :n] + beta[a + k + 1 : a + k + 1 + n] - alpha[-1]) * count
+                own = piece[k, :n]
+                out += np.bincount(own[own >= 0], p[own >= 0], len(out))
+                if k == 0:
+                    for parts, where in strange:
+                        for b in parts:
+                            if b >= 0:
+                                out[b] += p[where[:n]].sum()
+        return out
+
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's probability, summed over all segmentations."""
         out = np.zeros(len(words))
+        for i, codes in self._long(words):
+            out[i] = self._long_forward(codes)[-1]
         for at, codes in self._chunks(words):
             out[at] = self._forward(self._cells(codes)[1])[-1]
         return out
@@ -158,6 +215,8 @@ class Lattice:
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in these words."""
         out = np.zeros(len(self.logp))
+        for i, codes in self._long(words):
+            out += self._long_expected(codes, counts[i])
         for at, codes in self._chunks(words):
             piece, score, strange = self._cells(codes)
             longest, size, n = score.shape
@@ -238,13 +297,14 @@ def fit(docs: DataFrame, path: str | None = None, rounds: int = 2, smoothing: fl
     return Model(counts, int(total.n) + ends, int(total.v) + (ends > 0), ends, logp, path)
 
 
-def score(docs: DataFrame, model: Model, part_docs: int = 3000) -> DataFrame:
+def score(docs: DataFrame, model: Model, part_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row of `docs`.
 
     base_score smooths the words' counts by one; score is the lattice model's. Both count one end a text;
     a null or empty text is its end alone. Repeated rows give a row each.
     """
-    parts = max(1, -(-docs.count() // part_docs))
+    size = docs.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
+    parts = max(1, -(-size // part_bytes))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     path, logp, ends, tokens, types = model.path, model.logp, model.ends, model.tokens, model.types

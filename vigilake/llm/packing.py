@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import spread, texts_of, vocabulary
 
@@ -230,7 +231,11 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int
         if held:
             yield flush()
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(packed, SCHEMA)
+    rows = docs.select("doc_id", "text")
+    dealt = spread(rows)
+    if dealt is not rows:  # rows that were dealt anew come in any order
+        dealt = dealt.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    return dealt.mapInArrow(packed, SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
