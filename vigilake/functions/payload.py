@@ -51,3 +51,8 @@ def slug(text: Column) -> Column:
 def event_key(*parts: Column) -> Column:
     """A stable id of an event from the fields that make it one."""
     return F.sha1(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts)))
+
+
+def class_of_kind(kind: Column) -> Column:
+    """The class by which an identity of a kind is shown first; null for kinds without one."""
+    return F.when(kind == "person", 0).when(kind == "vehicle", 2).when(kind.isin("pet", "animal"), 15)

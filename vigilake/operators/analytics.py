@@ -172,3 +172,9 @@ def extents(samples: DataFrame, keys: list[str]) -> DataFrame:
     out = samples.groupBy(*keys).agg(F.min(cx).alias("min_x"), F.max(cx).alias("max_x"), F.min(cy).alias("min_y"), F.max(cy).alias("max_y"), F.max_by("box", "at_us").alias("last_box"))
     w, h = F.col("last_box.x2") - F.col("last_box.x1"), F.col("last_box.y2") - F.col("last_box.y1")
     return out.withColumn("travel", F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))).withColumn("diagonal", F.hypot(w, h))
+
+
+def finalizer_lag(events: DataFrame, finalized: DataFrame, most_us: int) -> DataFrame:
+    """One row: newest event, newest finalized one, and whether the latter lags by more; null without any."""
+    a, b = events.agg(F.max("at_us").alias("newest_us")), finalized.agg(F.max("at_us").alias("finalized_us"))
+    return a.crossJoin(b).withColumn("lagging", F.col("newest_us") - F.col("finalized_us") > most_us)  # one row each

@@ -221,3 +221,40 @@ def threshold_sweep(nearest_rows: DataFrame, thresholds: list[float]) -> DataFra
     rows = nearest_rows.withColumn("tau", F.explode(F.array(*(F.lit(t) for t in thresholds))))
     within = F.col("dist") < F.col("tau")
     return rows.groupBy("tau").agg(F.count_if(within & F.col("is_right")).alias("correct"), F.count_if(within & ~F.col("is_right")).alias("wrong"), F.count_if(~within).alias("anonymous"))
+
+
+def updated(table: DataFrame, arrays: DataFrame, key: str, ids: str, values: str, column: str) -> DataFrame:
+    """`table` with `column` set for the keys of parallel arrays (ids, values); the keys of all arrays are unique."""
+    rows = arrays.select(F.inline(F.arrays_zip(F.col(ids).alias("a"), F.col(values).alias("b")))).toDF(key, "_new")
+    return table.join(rows.withColumn("_hit", F.lit(True)), key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(table.columns)
+
+
+def detail(tracks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per identity: its label's name or its tracks' own, counts, cameras, whether a face confirmed it, its tracks in time."""
+    rows = tracks.filter(F.col("global_id").isNotNull()).groupBy("global_id").agg(
+        F.count("*").alias("n_tracks"),
+        F.min("identity_name").alias("_own"),
+        F.bool_or(F.coalesce("face_verified", F.lit(False))).alias("face_confirmed"),
+        F.sort_array(F.collect_set("camera_id")).alias("cameras"),
+        F.sort_array(F.collect_list(F.struct("started_us", "track_id", "camera_id", "ended_us"))).alias("tracks"),
+    )
+    return rows.join(labels.select("global_id", "name"), "global_id", "left").withColumn("name", F.coalesce("name", "_own")).drop("_own")
+
+
+def late_named(tracks: DataFrame, won: DataFrame, days: int) -> DataFrame:
+    """Anonymous tracks named by a face found later (track_id, global_id): verified, and kept for the days of the named.
+
+    A track with a name keeps it; a later date already set is never shortened.
+    """
+    found = won.select("track_id", F.col("global_id").alias("_won"))
+    got = tracks.join(found, "track_id", "left").withColumn("_take", F.col("_won").isNotNull() & F.col("global_id").isNull())
+    until = F.when(F.col("_take"), F.greatest("retain_until_us", F.col("ended_us") + days * F.lit(T.DAY))).otherwise(F.col("retain_until_us"))
+    return got.withColumn("retain_until_us", until).withColumn("face_verified", F.col("_take") | F.coalesce("face_verified", F.lit(False))).withColumn("global_id", F.when(F.col("_take"), F.col("_won")).otherwise(F.col("global_id"))).select(tracks.columns)
+
+
+def tar_at_far(dists: DataFrame, probe: str, candidate: str, truth: DataFrame, far: float) -> DataFrame:
+    """One row: the distance below which a share `far` of other pairs lies, and the share of genuine pairs below it."""
+    rows = dists.join(truth.select(F.col(probe), F.col(candidate).alias("_true")), probe).withColumn("_same", F.col(candidate) == F.col("_true"))
+    cut = rows.filter(~F.col("_same")).agg(F.percentile("dist", far).alias("threshold"))
+    hits = rows.filter("_same").crossJoin(F.broadcast(cut))  # one row
+    return hits.agg(F.max("threshold").alias("threshold"), F.avg((F.col("dist") < F.col("threshold")).cast("double")).alias("tar"))

@@ -105,3 +105,9 @@ def nearest_place(points: DataFrame, regions: DataFrame, key: str, reach: float
     gap = G.gap_to_box(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.col("region"))
     near = met.withColumn("gap", gap).filter(F.col("gap") <= reach * F.col("width"))
     return ranked.best(near, [key], [F.col("gap"), F.col("place")]).select(key, "place", "gap")
+
+
+def rematched(rows: DataFrame, found: DataFrame, plate: str) -> DataFrame:
+    """`rows` re-named by the identity that their plate now matches (plate, global_id); others keep theirs."""
+    m = found.filter(F.col("global_id").isNotNull()).select(F.col("plate").alias(plate), F.col("global_id").alias("_new"))
+    return rows.join(m, plate, "left").withColumn("global_id", F.coalesce("_new", "global_id")).select(rows.columns)

@@ -147,3 +147,42 @@ def counted_fields(buckets: DataFrame, path: str) -> DataFrame:
     """Sum of one number in the payloads that have it."""
     value = F.get_json_object("payload", path)
     return buckets.filter(value.isNotNull()).groupBy("camera_id").agg(F.sum(value.cast("long")).alias("n"))
+
+
+def sticky_band(luma: Column, ir_ratio: Column, current: Column, slack: float = 8.0, edges: tuple[int, int, int] = (40, 90, 150)) -> Column:
+    """light_band, but the current band holds while the light is within `slack` of its edges."""
+    low, high = (0, *edges), (*edges, 256)
+    holds = F.lit(False)
+    for name, a, b in zip(("dark", "dim", "normal", "bright"), low, high, strict=True):
+        holds = F.when(current == name, luma.between(a - slack, b + slack)).otherwise(holds)
+    plain = light_band(luma, ir_ratio, edges)
+    return F.when((plain != "ir") & F.coalesce(holds, F.lit(False)), current).otherwise(plain)
+
+
+def light_sample(pixels: DataFrame, keys: list[str], infrared: Column) -> DataFrame:
+    """keys, luma, chroma (mean distance of u and v from grey), ir_ratio of samples (y, u, v)."""
+    grey = (F.abs(F.col("u") - 128) + F.abs(F.col("v") - 128)) / 2
+    return pixels.groupBy(*keys).agg(F.avg("y").alias("luma"), F.avg(grey).alias("chroma"), F.avg(infrared.cast("double")).alias("ir_ratio"))
+
+
+def headlights(samples: DataFrame, keys: list[str], ratio: float, history: int, cooldown_us: int) -> DataFrame:
+    """Samples at night (luma, night) far brighter than the mean of those before, first after a quiet time."""
+    by = Window.partitionBy(*keys).orderBy("at_us")
+    base = F.avg("luma").over(by.rowsBetween(-history, -1))
+    hits = samples.withColumn("_base", base).filter(F.col("night") & (F.col("_base") > 0) & (F.col("luma") > F.col("_base") * ratio))
+    before = F.lag("at_us").over(by)
+    return hits.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("at_us") - F.col("_before") > cooldown_us)).drop("_base", "_before")
+
+
+def checked_changes(changes: DataFrame, allowed: dict[str, tuple[float, float]], cameras: DataFrame) -> DataFrame:
+    """`changes` (camera_id, field, value) with refused: unknown field, unknown camera, not a number, out of range; else null."""
+    low, high = (F.create_map(*(F.lit(x) for k, v in sorted(allowed.items()) for x in (k, v[i]))) for i in (0, 1))
+    known = cameras.select("camera_id", F.lit(True).alias("_known")).distinct()
+    value = F.col("value").try_cast("double")
+    reason = (
+        F.when(~F.col("field").isin(*sorted(allowed)), "unknown field")
+        .when(F.col("_known").isNull(), "unknown camera")
+        .when(value.isNull(), "not a number")
+        .when((value < F.try_element_at(low, F.col("field"))) | (value > F.try_element_at(high, F.col("field"))), "out of range")
+    )
+    return changes.join(known, "camera_id", "left").withColumn("refused", reason).drop("_known")

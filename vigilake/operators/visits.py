@@ -250,3 +250,22 @@ def lost_tracks(samples: DataFrame, tracks: DataFrame, keys: list[str], gap_us:
     rows = rows.filter((F.col("n") >= least_n) & (F.col("ended_us") - F.col("started_us") >= least_us)).withColumn("_id", F.xxhash64(*keys, "run"))
     t = tracks.select(*keys, F.col("started_us").alias("_s"), F.col("ended_us").alias("_e"))
     return rangejoin.semi(rows, t, "_id", keys, (F.col("started_us") - slack_us, F.col("ended_us") + slack_us), (F.col("_s"), F.col("_e")), T.HOUR, anti=True).drop("_id", "run")
+
+
+def members(tracks: DataFrame, asked: DataFrame, ids: str) -> DataFrame:
+    """Tracks whose id lies in one of the arrays `ids` of `asked`; each once."""
+    return tracks.join(asked.select(F.explode(ids).alias("track_id")).distinct(), "track_id", "left_semi")
+
+
+def zone_passes(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """visit_id, kind, n, first_us: the events of a visit's tracks (`track_ids`), by kind."""
+    ids = rows.select("visit_id", F.explode(F.array_distinct("track_ids")).alias("track_id"))
+    return ids.join(events.select("track_id", "kind", "at_us"), "track_id").groupBy("visit_id", "kind").agg(F.count("*").alias("n"), F.min("at_us").alias("first_us"))
+
+
+def event_list(events: DataFrame, tracks: DataFrame, segments: DataFrame, camera: Column) -> DataFrame:
+    """Events with their track's class and the recording of `camera` that covers them."""
+    from . import recordings
+
+    named = events.join(tracks.select("track_id", "class_name"), "track_id", "left").withColumn("_own", F.col("camera_id")).withColumn("camera_id", camera)
+    return recordings.covering_segment(named, segments, "at_us", ["recording_id"]).withColumn("camera_id", F.col("_own")).drop("_own")

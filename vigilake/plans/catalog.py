@@ -800,3 +800,5 @@ def lost_track_runs(t: Lake) -> DataFrame:
 
 for _f in (ordered_lists, iou_pairs, min_over_references, rival_margin, prototype_classify, rank1_dprime, threshold_sweep, near_anchor_window, presence_close_reason):
     query(f"{_f.__name__}_all")(partial(_f, part=WHOLE))
+
+from . import details as _details  # noqa: E402,F401  registers further queries
