@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("packing", pack)]
 
-#: Trained models decide the first two stages; SQL cannot express them. The tests hold each stage against a plain version.
+#: Trained models decide the first two stages; SQL cannot express them. tests/llm/test_methods.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
