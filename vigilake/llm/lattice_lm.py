@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spread, stored, texts_of, vocabulary
+from .common import held_out, shuffle_partitions, spread, stored, texts_of, vocabulary
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIEVE_BITS = 20
@@ -304,7 +304,7 @@ def score(docs: DataFrame, model: Model, part_bytes: int = 16_000_000) -> DataFr
     a null or empty text is its end alone. Repeated rows give a row each.
     """
     size = docs.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    parts = max(1, -(-size // part_bytes))
+    parts = max(1, -(-size // part_bytes), min(shuffle_partitions(docs.sparkSession), -(-size // 1_000_000)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     path, logp, ends, tokens, types = model.path, model.logp, model.ends, model.tokens, model.types
