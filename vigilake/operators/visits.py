@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
-from . import islands, rangejoin, ranked
+from . import asof, islands, rangejoin, ranked
 
 GAP_US = 2 * T.MINUTE
 BOOKEND_US, SPLIT_US, DEPARTURE_US, ARRIVAL_US = 40 * T.SECOND, 150 * T.SECOND, 600 * T.SECOND, 2 * T.MINUTE
@@ -54,11 +54,10 @@ def expanded(rows: DataFrame, departures: DataFrame) -> DataFrame:
     `departures` (place, occupied_us, released_us, cameras) corroborate: the first one of a camera from the
     visit's start to ten minutes after its end. Without it the visit stays whole.
     """
-    d = departures.select(F.explode("cameras").alias("camera_id"), F.col("occupied_us").alias("_since"), F.col("released_us").alias("_left"))
-    v = rows.filter(is_vehicle(F.col("class_name")) & (F.col("ended_us") - F.col("started_us") > SPLIT_US)).select("visit_id", "camera_id", "started_us", "ended_us")
-    met = rangejoin.overlapping(v, d, ["camera_id"], (F.col("started_us"), F.col("ended_us") + DEPARTURE_US), (F.col("_left"), F.col("_left")), T.HOUR)
-    first = met.groupBy("visit_id").agg(F.min_by(F.struct("_since", "_left"), F.struct("_left", "_since")).alias("_d"))
-    got = rows.join(first, "visit_id", "left")
+    d = departures.filter(F.col("released_us").isNotNull()).select(F.explode("cameras").alias("camera_id"), F.col("occupied_us").alias("_since"), F.col("released_us").alias("_left"))
+    near = asof.asof(rows, d.withColumn("_d", F.struct("_since", "_left")).withColumn("_tie", -F.col("_since")), ["camera_id"], "started_us", "_left", ["_d"], "_tie", "forward")
+    fits = is_vehicle(F.col("class_name")) & (F.col("ended_us") - F.col("started_us") > SPLIT_US) & (F.col("_d._left") <= F.col("ended_us") + DEPARTURE_US)
+    got = near.withColumn("_d", F.when(fits, F.col("_d")))
     split = F.col("_d").isNotNull()
     stood = F.when(split, T.seconds_between(F.col("_d._since"), F.col("_d._left")))
     whole = F.struct(F.lit("visit").alias("kind"), F.lit("").alias("suffix"), F.col("started_us").alias("s"), F.col("ended_us").alias("e"), F.col("thumbnail").alias("pic"))
@@ -79,10 +78,16 @@ def expanded(rows: DataFrame, departures: DataFrame) -> DataFrame:
 
 def claimed(feed: DataFrame, departures: DataFrame, slack_us: int = DEPARTURE_US) -> DataFrame:
     """The feed with claimed_place, claimed_us: the departure nearest to a vehicle row's end on a camera that watches."""
-    d = departures.select(F.explode("cameras").alias("camera_id"), F.col("place").alias("claimed_place"), F.col("released_us").alias("claimed_us"))
-    able = feed.filter(F.col("kind").isin("departure", "visit") & is_vehicle(F.col("class_name"))).select("visit_id", "camera_id", "ended_us")
-    near = rangejoin.nearest(able, d.withColumn("_tie", F.xxhash64("claimed_place")), ["camera_id"], "visit_id", "ended_us", "claimed_us", slack_us, ["claimed_place", "claimed_us"], "claimed_place")
-    got = feed.join(near.select("visit_id", "claimed_place", "claimed_us"), "visit_id", "left")
+    d = departures.filter(F.col("released_us").isNotNull()).select(F.explode("cameras").alias("camera_id"), F.col("place").alias("claimed_place"), F.col("released_us").alias("claimed_us"))
+    d = d.groupBy("camera_id", "claimed_us").agg(F.min("claimed_place").alias("claimed_place")).withColumn("_tie", F.lit(0))
+    payload = ["claimed_place", "claimed_us"]
+    both = asof.asof(feed, d, ["camera_id"], "ended_us", "claimed_us", payload, "_tie", "backward", "_b_")
+    both = asof.asof(both, d, ["camera_id"], "ended_us", "claimed_us", payload, "_tie", "forward", "_f_")
+    able = F.col("kind").isin("departure", "visit") & is_vehicle(F.col("class_name"))
+    # the nearer of the last before and the first after; of two as near the smaller place
+    near = lambda p: F.struct(F.abs(F.col(f"{p}claimed_us") - F.col("ended_us")).alias("gap"), F.col(f"{p}claimed_place").alias("claimed_place"), F.col(f"{p}claimed_us").alias("claimed_us"))
+    found = F.array_min(F.filter(F.array(near("_b_"), near("_f_")), lambda x: x["gap"] <= slack_us))
+    got = both.withColumn("_n", F.when(able, found)).select(*feed.columns, F.col("_n.claimed_place").alias("claimed_place"), F.col("_n.claimed_us").alias("claimed_us"))
     return got.withColumn("kind", F.when((F.col("kind") == "visit") & F.col("claimed_place").isNotNull(), "departure").otherwise(F.col("kind")))
 
 
@@ -190,8 +195,9 @@ def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fet
     `fetch` clusters only so many newest tracks, as a paging reader would; the default takes all.
     """
     rows = tracks if fetch is None else tracks.orderBy(F.col("started_us").desc(), F.col("track_id").desc()).limit(fetch)
-    seen = claimed(expanded(visits(rows), departures), departures)
-    out = seen.unionByName(departure_rows(unclaimed(departures, seen), seen))
+    # both are read several times below; a lost part of the cache is computed again
+    seen = claimed(expanded(visits(rows), departures), departures).persist()
+    out = seen.unionByName(departure_rows(unclaimed(departures, seen), seen)).persist()
     if walks is not None:
         out = left_with_vehicle(out, walks)
     out = arrival_fold(out)
