@@ -2,7 +2,8 @@
 
 The fold is plain Python over one message at a time with a small state per camera. Batch runs
 it once per camera with `applyInPandas`; a stream runs the same fold with
-`applyInPandasWithState`, so both give the same rows however the input is cut into batches.
+`applyInPandasWithState`. Both give the same rows where messages arrive in order; a stream
+sorts within a batch only and ends the tracks of a silent camera by processing time.
 """
 
 from __future__ import annotations
