@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from vigilake.functions import times as T
-from vigilake.operators import visits
+from vigilake.operators import islands, visits
 
 SPAN = 28 * T.DAY
 FEED = "visit_id string, camera_id long, class_name string, kind string, started_us long, ended_us long"
@@ -78,3 +78,19 @@ def test_feed_matches_the_order_of_the_reference(spark):
     want = plain_feed(tracks, departures, walks)
     assert {r[3] for r in want} == {"visit", "departure", "left_with_vehicle"} and {r[6] for r in want} == {None, "Bo"}
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_packs_hold_whole_runs_and_few_rows_more_than_asked(spark):
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        at = rng.randint(0, 4000)
+        rows.append((i, i % 2, at, at + rng.randint(0, 12)))
+    df = spark.createDataFrame(rows, "id long, camera_id long, s long, e long")
+    start = df["s"]
+    got = islands.packed(islands.stitched(df, ["camera_id"], start, df["e"], 3, "id"), ["camera_id"], start, "id", rows=10).collect()
+    packs, runs = {}, {}
+    for r in got:
+        packs.setdefault((r.camera_id, r.pack), []).append(r)
+        runs.setdefault((r.camera_id, r.run), []).append(r.pack)
+    assert all(len(set(v)) == 1 for v in runs.values()) and 5 < len(packs) < len(runs)
+    assert all(len(v) < 10 + max(map(len, runs.values())) for v in packs.values())

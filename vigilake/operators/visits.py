@@ -117,6 +117,12 @@ def _shaped(rows: DataFrame, like: DataFrame) -> DataFrame:
     return rows.select(*((F.col(f.name) if f.name in rows.columns else none.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in like.schema))
 
 
+def _dealt(rows: DataFrame, gap_us: int) -> DataFrame:
+    """`rows` with `_pack`: those of a camera that can meet within the gap have one number; islands share it up to a few thousand rows."""
+    start, end = F.col("started_us"), F.col("ended_us")
+    return islands.packed(islands.stitched(rows, ["camera_id"], start, end, gap_us, "visit_id", "_span"), ["camera_id"], start, "visit_id", "_span", name="_pack").drop("_span")
+
+
 def left_with_vehicle(feed: DataFrame, walks: DataFrame) -> DataFrame:
     """Persons who left by car ride on the car's row: its span covers both, `left_with` names the last one merged.
 
@@ -139,7 +145,7 @@ def left_with_vehicle(feed: DataFrame, walks: DataFrame) -> DataFrame:
     vehicle = F.coalesce(is_vehicle(F.col("class_name")), F.lit(False))
     cars = out.filter(vehicle).withColumn("_walk", F.lit(None).cast(w.schema["_walk"].dataType))
     both = cars.unionByName(_shaped(w.withColumn("left_with", F.col("identity_name")), cars))
-    dealt = islands.stitched(both, ["camera_id"], F.col("started_us"), F.col("ended_us"), 0, "visit_id", "_span")
+    dealt = _dealt(both, 0)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         walking = frame._walk.notna().to_numpy()
@@ -155,7 +161,7 @@ def left_with_vehicle(feed: DataFrame, walks: DataFrame) -> DataFrame:
         name = [None if w else x for x, w in zip(name, walking.tolist(), strict=True)]
         return frame.assign(started_us=start, ended_us=end, left_with=pd.Series(name, dtype=object)).drop(columns="_unseen")[~gone]
 
-    merged = dealt.groupBy("camera_id", "_span").applyInPandas(merge, dealt.schema).select(out.columns)
+    merged = dealt.groupBy("camera_id", "_pack").applyInPandas(merge, dealt.schema).select(out.columns)
     return out.filter(~vehicle).unionByName(merged)
 
 
@@ -185,8 +191,8 @@ def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
         return frame.assign(ended_us=end)[~gone]
 
     names = feed.columns
-    dealt = islands.stitched(feed, ["camera_id"], F.col("started_us"), F.col("ended_us"), max(settle_us, 0), "visit_id", "_span")
-    return dealt.groupBy("camera_id", "_span").applyInPandas(fold, dealt.schema).select(names)
+    dealt = _dealt(feed, max(settle_us, 0))
+    return dealt.groupBy("camera_id", "_pack").applyInPandas(fold, dealt.schema).select(names)
 
 
 def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fetch: int | None = None, walks: DataFrame | None = None) -> DataFrame:
