@@ -95,6 +95,7 @@ def test_pairs_and_the_token_bucket(spark):
     df = spark.createDataFrame(pairs, "p int, a int, b int, s int")
     assert {tuple(r) for r in greedy.one_to_one(df, ["p"], "a", "b", ["s"]).collect()} == taken
     sent = [(c, c * 1000 + i, rng.randrange(120_000_000)) for c in range(3) for i in range(40)]
+    sent += [(c, c * 1000 + 100 + i, 300_000_000 * (1 + i % 3) + rng.randrange(20_000_000)) for c in range(2) for i in range(30)]  # after pauses
     want = {}
     for c in range(3):
         tokens, last = 3.0, None
@@ -102,5 +103,7 @@ def test_pairs_and_the_token_bucket(spark):
             tokens = min(3.0, tokens + (0 if last is None else (at - last) * 3 / 60e6))
             last, want[e] = at, tokens >= 1 - 1e-9
             tokens -= want[e]
+    sent.append((1, 9999, None))
+    want[9999] = None
     df = spark.createDataFrame(sent, "channel_id long, event_id long, at_us long")
     assert {r.event_id: r.allowed for r in rules.rate_limited(df, 3).collect()} == want

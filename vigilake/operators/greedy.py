@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 
 def suppressed(items: Column, kind: str, order: list[tuple[Callable[[Column], Column], bool]], clashes: Callable[[Column, Column], Column]) -> Column:
     """Items of an array kept one by one in order unless one kept already clashes.
@@ -50,21 +52,24 @@ def leaders(df: DataFrame, keys: list[str], item: str, weight: str, vector: str,
 
 
 def farthest(df: DataFrame, keys: list[str], item: str, weight: str, vector: str, k: int) -> DataFrame:
-    """keys, item, pick (from 1): the heaviest, then again and again the one farthest from those picked."""
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([weight, item], ascending=[False, True], kind="stable").reset_index(drop=True)
-        m = _matrix(frame[vector])
-        picked, gap = [0], 1 - m @ m[0]
-        while len(picked) < min(k, len(frame)):
-            gap[picked] = -np.inf
-            picked.append(int(np.argmax(gap)))
-            gap = np.minimum(gap, 1 - m @ m[picked[-1]])
-        return frame.loc[picked, [*keys, item]].assign(pick=np.arange(1, len(picked) + 1, dtype="int32"))
+    """keys, item, pick (from 1): the heaviest, then again and again the one farthest from those picked.
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, item]) + ", pick int"
-    return df.select(*keys, item, weight, vector).groupBy(*keys).applyInPandas(choose, schema)
+    Each pick is one aggregation over all rows, so no group has to fit a task; of rows as far the heavier, then the
+    smaller item goes first. `df` is read k times; a repeated item counts as one. A vector of length 0 has distance 1 from all.
+    """
+    rows = df.select(*keys, F.col(item).alias("_item"), F.isnull(weight).alias("_none"), (-F.col(weight)).alias("_w"), V.normalised(F.col(vector)).alias("_v"))
+    order = F.struct("_none", "_w", "_item")
+    best = lambda frame, by: frame.groupBy(*keys).agg(F.min_by(F.struct("_item", "_v"), by).alias("_best"))
+    picks = best(rows, order).select(*keys, F.array("_best").alias("_picks"))
+    for _ in range(k - 1):
+        p = picks.select(*(F.col(c).alias(f"_k_{c}") for c in keys), "_picks")
+        joined = rows.join(p, [rows[c].eqNullSafe(p[f"_k_{c}"]) for c in keys])
+        open_ = joined.filter(~F.exists("_picks", lambda x: x["_item"] == F.col("_item")))
+        gap = F.array_min(F.transform("_picks", lambda x: 1 - V.dot(x["_v"], F.col("_v"))))
+        found = best(open_, F.struct(-gap, order)).select(*(F.col(c).alias(f"_f_{c}") for c in keys), "_best")
+        more = picks.join(found, [picks[c].eqNullSafe(found[f"_f_{c}"]) for c in keys], "left")
+        picks = more.select(*keys, F.when(F.col("_best").isNull(), F.col("_picks")).otherwise(F.concat("_picks", F.array("_best"))).alias("_picks"))
+    return picks.select(*keys, F.posexplode("_picks").alias("_n", "_p")).select(*keys, F.col("_p._item").alias(item), (F.col("_n") + 1).alias("pick"))
 
 
 def distinct_vectors(df: DataFrame, keys: list[str], item: str, order: str, vector: str, least: float) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranked
+from ..functions import times as T
+from . import islands, ranked
 
 
 def dispatched(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -25,22 +28,29 @@ def dispatched(events: DataFrame, rules: DataFrame) -> DataFrame:
 def rate_limited(deliveries: DataFrame, per_minute: int) -> DataFrame:
     """`deliveries` with allowed, by a token bucket of each channel: capacity and refill a minute's worth.
 
-    An ordered fold of one channel; the state is two numbers.
+    An ordered fold whose state is two numbers; it reads sorted rows batch by batch. After a pause of more than a minute
+    the bucket is full whatever came before, so the stretches between pauses are dealt to tasks one by one.
+    A delivery without a time is neither limited nor counted: allowed is null.
     """
-
-    def bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at_us", "event_id"], kind="stable")
-        tokens, last, out = float(per_minute), None, []
-        for at in frame.at_us:
-            if last is not None:
-                tokens = min(float(per_minute), tokens + (at - last) * per_minute / 60e6)
-            last = at
-            out.append(tokens >= 1 - 1e-9)
-            tokens -= 1.0 if out[-1] else 0.0
-        return frame.assign(allowed=out)
+    timed = deliveries.filter(F.col("at_us").isNotNull())
+    runs = islands.stitched(timed, ["channel_id"], F.col("at_us"), F.col("at_us"), T.MINUTE, "event_id", "_run").repartition("channel_id", "_run")
+    opens = F.row_number().over(Window.partitionBy("channel_id", "_run").orderBy("at_us", "event_id")) == 1
+    rows = runs.withColumn("_opens", opens).sortWithinPartitions("channel_id", "_run", "at_us", "event_id", F.col("_opens").desc())
+
+    def bucket(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, last = float(per_minute), 0
+        for frame in frames:
+            out = []
+            for at, opening in zip(frame.at_us, frame._opens, strict=True):
+                tokens = float(per_minute) if opening else min(float(per_minute), tokens + (at - last) * per_minute / T.MINUTE)
+                last = at
+                out.append(tokens >= 1 - 1e-9)
+                tokens -= 1.0 if out[-1] else 0.0
+            yield frame.drop(columns=["_run", "_opens"]).assign(allowed=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in deliveries.dtypes) + ", allowed boolean"
-    return deliveries.groupBy("channel_id").applyInPandas(bucket, schema)
+    done = rows.mapInPandas(bucket, schema)
+    return done.unionByName(deliveries.filter(F.col("at_us").isNull()).withColumn("allowed", F.lit(None).cast("boolean")))
 
 
 def timeline(log: DataFrame, users: DataFrame, before_us: int | None, limit: int, extra: Column | None = None) -> DataFrame:
