@@ -27,6 +27,16 @@ def packed(df: DataFrame, keys: list[str], start: Column, tie: str, run: str = "
     return df.withColumn("_place", place).withColumn(name, F.floor((first - 1) / rows)).drop("_place")
 
 
+def in_order(df: DataFrame, keys: list[str], at: str, tie: str, gap_us: int) -> DataFrame:
+    """`df` for an ordered fold in tasks: each partition sorted by run and time, `_opens` true where a run begins.
+
+    Runs are apart by more than gap_us and dealt one by one, so a busy key takes many tasks where its pauses allow it.
+    """
+    runs = stitched(df, keys, F.col(at), F.col(at), gap_us, tie, "_run").repartition(*keys, "_run")
+    opens = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(at, tie)) == 1
+    return runs.withColumn("_opens", opens).sortWithinPartitions(*keys, "_run", at, tie, F.col("_opens").desc()).drop("_run")
+
+
 def merged(df: DataFrame, keys: list[str], start: Column, end: Column, gap_us: int, tie: str) -> DataFrame:
     """keys, started_us, ended_us, pieces: intervals joined over gaps of at most gap_us."""
     runs = stitched(df.withColumn("_s", start).withColumn("_e", end), keys, F.col("_s"), F.col("_e"), gap_us, tie)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times as T
@@ -33,9 +33,7 @@ def rate_limited(deliveries: DataFrame, per_minute: int) -> DataFrame:
     A delivery without a time is neither limited nor counted: allowed is null.
     """
     timed = deliveries.filter(F.col("at_us").isNotNull())
-    runs = islands.stitched(timed, ["channel_id"], F.col("at_us"), F.col("at_us"), T.MINUTE, "event_id", "_run").repartition("channel_id", "_run")
-    opens = F.row_number().over(Window.partitionBy("channel_id", "_run").orderBy("at_us", "event_id")) == 1
-    rows = runs.withColumn("_opens", opens).sortWithinPartitions("channel_id", "_run", "at_us", "event_id", F.col("_opens").desc())
+    rows = islands.in_order(timed, ["channel_id"], "at_us", "event_id", T.MINUTE)
 
     def bucket(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, last = float(per_minute), 0
@@ -46,7 +44,7 @@ def rate_limited(deliveries: DataFrame, per_minute: int) -> DataFrame:
                 last = at
                 out.append(tokens >= 1 - 1e-9)
                 tokens -= 1.0 if out[-1] else 0.0
-            yield frame.drop(columns=["_run", "_opens"]).assign(allowed=out)
+            yield frame.drop(columns="_opens").assign(allowed=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in deliveries.dtypes) + ", allowed boolean"
     done = rows.mapInPandas(bucket, schema)

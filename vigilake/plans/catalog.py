@@ -800,3 +800,4 @@ for _f in (ordered_lists, iou_pairs, min_over_references, rival_margin, prototyp
     QUERIES[f"{_f.__name__}_all"], ORACLES[f"{_f.__name__}_all"] = QUERIES[_f.__name__], ORACLES[_f.__name__]
 
 from . import details as _details  # noqa: E402,F401  registers further queries
+from . import motion as _motion  # noqa: E402,F401
