@@ -3,8 +3,9 @@
 Every assistant turn becomes an example of its own: all turns before it are context, its
 text is the only trainable part. Turns after the last assistant turn (all turns of a
 conversation without one) form a last example in which nothing is trainable, so that the
-output holds every turn. An example's text repeats its context by definition of the
-method; a conversation's turns meet in one task, as its text is one value in the end.
+output holds every turn. A conversation is joined once and each example is a beginning of
+it; an example's text repeats its context by definition of the method, and a
+conversation's turns meet in one task, as its text is one value in the end.
 """
 
 from __future__ import annotations
@@ -45,32 +46,31 @@ def expand(conversations: DataFrame) -> DataFrame:
     """
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = turns.select(
+    marked = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"), escape(F.col("text")).alias("said"))
+    placed = marked.select(
         "conv_id",
-        "turn",
         "role",
-        "text",
-        F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"),
-        escape(F.col("text")).alias("said"),
-    )
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    seen = marked.select(
-        "conv_id",
-        "role",
-        "head",
-        "said",
         F.row_number().over(by).alias("place"),
-        F.lead("role", 1).over(by).isNull().alias("last"),
-        F.collect_list(F.concat("head", "said", F.lit(END))).over(before).alias("earlier"),
-    ).filter((F.col("role") == "assistant") | F.col("last"))
-    replies = F.col("role") == "assistant"
-    context = F.concat(F.array_join("earlier", ""), "head")
-    return seen.select(
+        F.concat("head", "said", F.lit(END)).alias("chunk"),
+        F.length("said").alias("chars"),
+        F.sum(F.length("head") + F.length("said") + len(END)).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("upto"),
+    )
+    reply = F.struct(F.col("place").alias("target"), F.col("chars").alias("chars"), (F.col("upto") - len(END) - F.col("chars")).alias("start"), F.col("upto").alias("upto"))
+    whole = placed.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "chunk"))), lambda x: x["chunk"]), "").alias("whole"),
+        F.collect_list(F.when(F.col("role") == "assistant", reply)).alias("replies"),
+        (F.max_by("role", "place") == "assistant").alias("answered"),
+        F.max("upto").alias("upto"),
+    )
+    rest = F.array(F.struct(F.lit(None).cast("int").alias("target"), F.lit(0).alias("chars"), F.col("upto").alias("start"), F.col("upto").alias("upto")))
+    examples = whole.select("conv_id", "whole", F.explode(F.when(F.col("answered"), F.col("replies")).otherwise(F.concat("replies", rest))).alias("x"))
+    return examples.select(
         "conv_id",
-        F.when(replies, F.col("place")).alias("target"),
-        F.when(replies, context).otherwise(F.concat(context, "said", F.lit(END))).alias("context"),
-        F.when(replies, F.col("said")).otherwise(F.lit("")).alias("reply"),
-    ).select("*", F.when(F.col("target").isNotNull(), F.concat("context", "reply", F.lit(END))).otherwise(F.col("context")).alias("text"))
+        F.col("x.target").alias("target"),
+        F.substring("whole", F.lit(1), F.col("x.start")).alias("context"),
+        F.substring("whole", F.col("x.start") + 1, F.col("x.chars")).alias("reply"),
+        F.substring("whole", F.lit(1), F.col("x.upto")).alias("text"),
+    )
 
 
 def read_back(examples: DataFrame) -> DataFrame:
