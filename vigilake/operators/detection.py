@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from . import greedy
 
 BOX = "array<struct<x1:double,y1:double,x2:double,y2:double,confidence:double,class_id:int,clipped:boolean>>"
+NAMED_BOX = BOX.removesuffix(">>") + ",detection_id:bigint,class_name:string>>"
 
 
 def gate(enabled: Column, min_confidence: Column, min_box_pct: Column, confidence: Column, size_pct: Column, maintain: Column) -> tuple[Column, Column]:
@@ -95,8 +96,8 @@ def _same(a: Column, b: Column) -> Column:
     return group(a["class_id"]) == group(b["class_id"])
 
 
-def dedup_frame(boxes: Column, any_class: float = 0.8, same_class: float = 0.55, contained: float = 0.70) -> Column:
-    """Boxes (BOX) of a frame, most confident first, each dropped that overlaps one kept: of any class,
+def dedup_frame(boxes: Column, any_class: float = 0.8, same_class: float = 0.55, contained: float = 0.70, kind: str = BOX) -> Column:
+    """Boxes (BOX, or `kind` with more fields after those) of a frame, most confident first, each dropped that overlaps one kept: of any class,
     of its class group by less, or cut by a tile's seam and mostly inside."""
 
     def clashes(held: Column, x: Column) -> Column:
@@ -104,7 +105,26 @@ def dedup_frame(boxes: Column, any_class: float = 0.8, same_class: float = 0.55,
         return (share >= any_class) | (_same(held, x) & (share >= same_class)) | (_same(held, x) & x["clipped"] & (G.containment(x, held) >= contained))
 
     order = [(lambda x: x["confidence"], True), (lambda x: x["x1"], False), (lambda x: x["y1"], False)]
-    return greedy.suppressed(boxes, BOX, order, clashes)
+    return greedy.suppressed(boxes, kind, order, clashes)
+
+
+def published(detections: DataFrame, remap: DataFrame, class_dim: DataFrame, global_rules: DataFrame, camera_rules: DataFrame, maintain: DataFrame) -> DataFrame:
+    """What becomes of each box of a frame: classes replaced, doubles dropped, the rest gated and marked.
+
+    `detections` (camera_id, at_us, detection_id, box, class_id, class_name, confidence, clipped, frame_width,
+    frame_height); `maintain` (camera_id, maintain). Columns: camera_id, at_us, detection_id, class_id, class_name,
+    confidence, size_pct, drop_reason (null: published), birth_eligible. A box cut by a seam may keep a track
+    alive but not begin one. Doubles do not come out. A frame's boxes meet in one task; a null flag is false.
+    """
+    box = [F.col(f"box.{k}").cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")]
+    item = F.struct(*box, F.col("confidence").cast("double").alias("confidence"), F.col("class_id").cast("int").alias("class_id"), F.coalesce("clipped", F.lit(False)).alias("clipped"), F.col("detection_id").cast("long").alias("detection_id"), "class_name")
+    frames = remapped(detections, remap, class_dim).groupBy("camera_id", "at_us").agg(F.max("frame_width").alias("_w"), F.max("frame_height").alias("_h"), F.collect_list(item).alias("_boxes"))
+    single = frames.select("camera_id", "at_us", "_w", "_h", F.explode(dedup_frame(F.col("_boxes"), kind=NAMED_BOX)).alias("_b"))
+    size = G.size_percent(F.col("_b.x2") - F.col("_b.x1"), F.col("_b.y2") - F.col("_b.y1"), F.col("_w"), F.col("_h"))
+    rows = single.select("camera_id", "at_us", "_b.detection_id", "_b.class_id", "_b.class_name", "_b.confidence", "_b.clipped", size.alias("size_pct"))
+    ruled = effective_rules(rows, global_rules, camera_rules).join(maintain.select("camera_id", "maintain"), "camera_id", "left")
+    reason, birth = gate(F.col("enabled"), F.col("min_confidence"), F.col("min_box_pct"), F.col("confidence"), F.col("size_pct"), F.col("maintain"))
+    return ruled.select("camera_id", "at_us", "detection_id", "class_id", "class_name", "confidence", "size_pct", reason.alias("drop_reason"), (birth & ~F.col("clipped")).alias("birth_eligible"))
 
 
 def dedup_tracks(boxes: Column, overlap: float = 0.6, contained: float = 0.7) -> Column:

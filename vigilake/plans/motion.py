@@ -1,4 +1,4 @@
-"""Registered queries: the tracker's publication gates, the embedder's cadence, face landmarks."""
+"""Registered queries: a detector's frames, the tracker's publication gates and movement, live states, the embedder's cadence, face landmarks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import faces
-from ..operators import tracking
-from .catalog import H, query
-from .logical import Lake
+from ..operators import detection, tracking
+from ..sources import tables
+from .catalog import ORACLES, H, query
+from .logical import Lake, sql
 
 
 @query("birth_gate", """SELECT event_id, track_id FROM (SELECT event_id, track_id, bool_or(value > 90) OVER (PARTITION BY track_id ORDER BY at_us, event_id) AS born FROM ev) WHERE born""")
@@ -60,3 +61,94 @@ def frontality(t: Lake) -> DataFrame:
     points = F.array(*(F.struct((F.lit(u) + (e * (3 + i) % 61 - 30) * s).alias("x"), (F.lit(v) + (e * (7 + 2 * i) % 53 - 26) * s).alias("y")) for i, (u, v) in enumerate(faces.TEMPLATE)))
     box = F.struct(*(F.lit(float(c)).alias(n) for c, n in ((0, "x1"), (0, "y1"), (100, "x2"), (120, "y2"))))
     return t.events().select("event_id", F.round(faces.residual(points), 6).alias("residual"), faces.plausible(points, box).alias("plausible"))
+
+
+def _clash_sql(h: str, b: str) -> str:
+    side = lambda k: f"greatest(0.0, least({h}.{k}2, {b}.{k}2) - greatest({h}.{k}1, {b}.{k}1))"
+    area = lambda n: f"({n}.x2 - {n}.x1) * ({n}.y2 - {n}.y1)"
+    group = lambda n: f"CASE WHEN {n}.c IN (2, 3, 5, 7) THEN -1 ELSE {n}.c END"
+    both = f"{side('x')} * {side('y')}"
+    share = f"CASE WHEN {area(h)} + {area(b)} - {both} > 0 THEN {both} / ({area(h)} + {area(b)} - {both}) ELSE 0 END"
+    within = f"CASE WHEN {area(b)} > 0 THEN {both} / ({area(b)}) ELSE 0 END"
+    same = f"{group(h)} = {group(b)}"
+    return f"({share} >= 0.8 OR ({same} AND {share} >= 0.55) OR ({same} AND {b}.clipped AND {within} >= 0.7))"
+
+
+_KEPT = f"list_reduce(bs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda h: {_clash_sql('h', 'x[1]')})) > 0 THEN acc ELSE acc || x END)"
+
+
+def _frames_sql(cls: str, clipped: str) -> str:
+    return f"""b AS (SELECT sample_id AS id, track_id, camera_id, confidence::DOUBLE AS f, x::DOUBLE AS x1, y::DOUBLE AS y1, x::DOUBLE + 3 * size_pct::DOUBLE AS x2, y::DOUBLE + 3 * size_pct::DOUBLE AS y2, CAST({cls} AS INTEGER) AS c, {clipped} AS clipped, CAST(class_id * 2 AS INTEGER) AS was FROM sa),
+    f AS (SELECT camera_id, track_id, count(*) AS before, array_agg([{{'id': id, 'f': f, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'c': c, 'clipped': clipped, 'was': was}}] ORDER BY f DESC, x1, y1, x2, y2, c, clipped, id) AS bs FROM b GROUP BY ALL)"""
+
+
+ORACLES["nms_dedup"] = sql(f"{_frames_sql('class_id * 2', 'false')} SELECT track_id, before, len({_KEPT}) AS after FROM f")
+
+
+@query("frame_sizes", f"{_frames_sql('class_id * 2', 'sample_id % 3 = 0')} SELECT track_id, before, len({_KEPT}) AS after FROM f")
+def frame_sizes(t: Lake) -> DataFrame:
+    frames = _detections(t).groupBy("at_us").agg(F.collect_list(F.struct(*(F.col(f"box.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")), "confidence", "class_id", "clipped")).alias("boxes"))
+    return frames.select(F.col("at_us").alias("track_id"), F.size("boxes").alias("before"), F.size(detection.dedup_frame(F.col("boxes"))).alias("after"))
+
+
+def _detections(t: Lake) -> DataFrame:
+    d = lambda c: F.col(c).cast("double")
+    box = F.struct(d("x").alias("x1"), d("y").alias("y1"), (d("x") + 3 * d("size_pct")).alias("x2"), (d("y") + 3 * d("size_pct")).alias("y2"))
+    cls = (F.col("class_id") * 2).cast("int")
+    return t.samples().select("camera_id", F.col("track_id").alias("at_us"), F.col("sample_id").alias("detection_id"), box.alias("box"), cls.alias("class_id"), F.concat(F.lit("c"), cls.cast("string")).alias("class_name"), d("confidence").alias("confidence"), (F.col("sample_id") % 3 == 0).alias("clipped"), F.lit(800.0).alias("frame_width"), F.lit(600.0).alias("frame_height"))
+
+
+@query("frames_published", f"""{_frames_sql('CASE WHEN class_id = 2 AND camera_id % 3 = 0 THEN 2 ELSE class_id * 2 END', 'sample_id % 3 = 0')},
+    k AS (SELECT camera_id, track_id, unnest({_KEPT}) AS b FROM f),
+    r AS (SELECT camera_id, track_id, b.id AS id, b.c AS c, b.was AS was, b.f AS f, b.clipped AS clipped, 100 * greatest((b.x2 - b.x1) / 800, (b.y2 - b.y1) / 600) AS size_pct, b.c IN (0, 2, 4) AS enabled,
+      CASE WHEN b.c = 8 THEN 1.0 WHEN b.c = 2 AND camera_id = 7 THEN 0.5 ELSE 0.3 END AS conf, CASE WHEN b.c = 2 THEN 4.0 ELSE 0.0 END AS box, CASE WHEN camera_id % 2 = 0 THEN 0.1 END AS keep FROM k)
+    SELECT camera_id, track_id AS at_us, id AS detection_id, c AS class_id, CASE WHEN was <> c THEN 'n' || c ELSE 'c' || c END AS class_name, round(size_pct, 6) AS size_pct,
+      CASE WHEN NOT enabled THEN 'disabled' WHEN box > 0 AND size_pct < box THEN 'size' WHEN f < coalesce(least(keep, conf), conf) THEN 'conf' END AS drop_reason,
+      enabled AND NOT (box > 0 AND size_pct < box) AND f >= coalesce(least(keep, conf), conf) AND f >= conf AND NOT clipped AS birth_eligible FROM r""")
+def frames_published(t: Lake) -> DataFrame:
+    k, cams = F.col("id").cast("int"), t.spark.range(20).select(F.col("id").alias("camera_id"))
+    c = F.col("camera_id")
+    remap = cams.filter(c % 3 == 0).select("camera_id", F.lit(4).alias("from_class"), F.lit(2).alias("to_class"))
+    dim = t.spark.range(4).select((k * 2).alias("class_id"), F.concat(F.lit("n"), (k * 2).cast("string")).alias("class_name"))
+    shared = t.spark.range(4).select((k * 2).alias("class_id"), (k < 3).alias("enabled"), F.lit(0.3).alias("min_confidence"), F.when(k == 1, 4.0).otherwise(0.0).alias("min_box_pct"))
+    own = cams.filter(c == 7).select("camera_id", F.lit(2).alias("class_id"), F.lit(None).cast("boolean").alias("enabled"), F.lit(0.5).alias("min_confidence"), F.lit(None).cast("double").alias("min_box_pct"))
+    keep = cams.select("camera_id", F.when(c % 2 == 0, 0.1).alias("maintain"))
+    got = detection.published(_detections(t), remap, dim, shared, own, keep)
+    return got.select("camera_id", "at_us", "detection_id", "class_id", "class_name", F.round("size_pct", 6).alias("size_pct"), "drop_reason", "birth_eligible")
+
+
+_EXTENT = "sqrt((list_max(list_transform({0}, lambda o: o.x)) - list_min(list_transform({0}, lambda o: o.x))) ** 2 + (list_max(list_transform({0}, lambda o: o.y)) - list_min(list_transform({0}, lambda o: o.y))) ** 2)"
+
+
+@query("displacement", f"""p AS (SELECT event_id, track_id, at_us, CAST(event_id % 97 AS DOUBLE) AS x, value AS y, list_sort(list({{'at': at_us, 'id': event_id, 'x': CAST(event_id % 97 AS DOUBLE), 'y': value}}) OVER (PARTITION BY track_id ORDER BY at_us RANGE BETWEEN {24 * H} PRECEDING AND CURRENT ROW)) AS h FROM ev),
+    m AS (SELECT *, list_sort(list_transform(h, lambda o: o.x))[len(h) // 2 + 1] AS mx, list_sort(list_transform(h, lambda o: o.y))[len(h) // 2 + 1] AS my FROM p),
+    g AS (SELECT *, list_transform(h, lambda o: (o.x - mx) * (o.x - mx) + (o.y - my) * (o.y - my)) AS g, sqrt((x - mx) ** 2 + (y - my) ** 2) > 40 AS away FROM m),
+    w AS (SELECT *, list_position(g, list_max(g)) AS worst, sum(CASE WHEN away THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS back FROM g),
+    e AS (SELECT *, list_filter(h, lambda o, i: i <> worst) AS r FROM w)
+    SELECT event_id, round(CASE WHEN len(h) < 2 THEN 0 WHEN len(h) < 5 THEN {_EXTENT.format('h')} ELSE least({_EXTENT.format('h')}, {_EXTENT.format('r')}) END, 6) AS displacement,
+      CAST(sum(CASE WHEN away THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, back ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS off_streak FROM e""")
+def displacement(t: Lake) -> DataFrame:
+    rows = t.events().select("event_id", "track_id", "at_us", "value")
+    got = tracking.displacement(rows, ["track_id"], "at_us", "event_id", F.col("event_id") % 97, F.col("value"), 24 * H, 20.0)
+    return got.select("event_id", F.round("displacement", 6).alias("displacement"), "off_streak")
+
+
+@query("live_states", f"""s AS (SELECT camera_id % 20 AS camera_id, at_us // 60000000 * 60000000 AS at_us, event_id % 4 <> 0 AND event_id % 9 <> 0 AS r, event_id % 20 AS c, kind <> 'view' AS m FROM ev),
+    a AS (SELECT camera_id, at_us, max(CASE WHEN r AND m THEN at_us END) AS moved, count(*) FILTER (r AND c = 0) AS person_count, min(CASE WHEN c = 0 THEN 0 WHEN c IN (1, 2, 3, 5, 7) THEN 1 WHEN c >= 14 THEN 2 ELSE 3 END) FILTER (r) AS k FROM s GROUP BY 1, 2),
+    l AS (SELECT *, max(moved) OVER (PARTITION BY camera_id ORDER BY at_us) AS last FROM a),
+    b AS (SELECT camera_id, at_us, coalesce(at_us < last + {H}, false) AS motion, person_count, coalesce(['person', 'vehicle', 'animal', 'other'][k + 1], 'none') AS object_class FROM l)
+    SELECT camera_id, at_us, motion, person_count, object_class FROM b QUALIFY row(motion, person_count, object_class) IS DISTINCT FROM lag(row(motion, person_count, object_class)) OVER (PARTITION BY camera_id ORDER BY at_us)""")
+def live_states(t: Lake) -> DataFrame:
+    e = F.col("event_id")
+    rows = t.events().select((F.col("camera_id") % 20).alias("camera_id"), (F.floor(F.col("at_us") / 60_000_000) * 60_000_000).alias("at_us"), F.when(e % 9 != 0, e % 20).alias("class_id"), F.when(F.col("kind") == "view", "Parked").alias("motion_state"), (e % 4 != 0).alias("ever_active"))
+    return tracking.live_states(rows, H)
+
+
+@query("change_feed", """b AS (SELECT track_id, class_id, plate_text, n_observations AS n FROM tr WHERE track_id % 5 <> 0), a AS (SELECT track_id, class_id, CASE WHEN track_id % 7 <> 0 THEN plate_text END AS plate_text, n_observations AS n FROM tr WHERE track_id % 6 <> 0)
+    SELECT track_id, coalesce(a.class_id, b.class_id) AS class_id, CASE WHEN a.track_id IS NULL THEN b.plate_text ELSE a.plate_text END AS plate_text, coalesce(a.n, b.n) AS n, CASE WHEN b.track_id IS NULL THEN 'insert' WHEN a.track_id IS NULL THEN 'delete' ELSE 'update' END AS change
+    FROM a FULL JOIN b USING (track_id) WHERE a.track_id IS NULL OR b.track_id IS NULL OR a.plate_text IS DISTINCT FROM b.plate_text""")
+def change_feed(t: Lake) -> DataFrame:
+    rows = t.tracks().select("track_id", "class_id", "plate_text", F.col("n_observations").alias("n"))
+    before = rows.filter("track_id % 5 <> 0")
+    after = rows.filter("track_id % 6 <> 0").withColumn("plate_text", F.when(F.col("track_id") % 7 != 0, F.col("plate_text")))
+    return tables.changes(before, after, ["track_id"])

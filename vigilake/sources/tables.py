@@ -76,3 +76,18 @@ def doorbell_events(presses: DataFrame) -> DataFrame:
     from ..functions.payload import event_key
 
     return presses.select(event_key(F.col("camera_id"), F.lit("doorbell"), F.col("at_us")).alias("event_key"), "camera_id", F.lit("doorbell").alias("kind"), "at_us", F.lit("{}").alias("payload"))
+
+
+def changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The change feed between two readings of a table: the rows that came, went or changed, with `change`.
+
+    insert and update rows are those of `after`, delete rows those of `before`. Keys name a row; a null key equals
+    a null. Every other column counts, also where it turns null. To apply a feed is one merge by the keys.
+    """
+    others = [c for c in after.columns if c not in keys]
+    a = after.select(F.struct(*keys).alias("_key"), F.struct(*others).alias("_new"), F.lit(True).alias("_now"))
+    b = before.select(F.struct(*keys).alias("_key"), F.struct(*others).alias("_old"), F.lit(True).alias("_then"))
+    both = a.join(b, "_key", "full_outer")
+    kind = F.when(F.col("_then").isNull(), "insert").when(F.col("_now").isNull(), "delete").when(~F.col("_new").eqNullSafe(F.col("_old")), "update")
+    row = F.when(F.col("_now").isNull(), F.col("_old")).otherwise(F.col("_new"))
+    return both.select(F.col("_key.*"), row.alias("_row"), kind.alias("change")).filter("change IS NOT NULL").select(*keys, "_row.*", "change")
