@@ -70,3 +70,19 @@ def test_landmarks(spark):
     assert got["template"][0] < 1e-6 and got["template"][1] and got["turned"][0] < 1e-6
     assert got["mirrored"][0] > 0.05 and not got["mirrored"][1]
     assert got["one place"] == got["four"] == got["none"] == (None, False)
+
+
+def test_displacement_leaves_out_one_wild_point(spark):
+    rows = [(1, i, float(i % 2), 0.0) for i in range(5)] + [(1, 5, 90.0, 0.0), (1, 6, 0.0, 0.0), (2, 0, 0.0, 0.0), (2, 1, 30.0, 40.0)]
+    table = spark.createDataFrame(rows, "track long, at long, x double, y double")
+    got = {(r.track, r.at): (r.displacement, r.off_streak) for r in tracking.displacement(table, ["track"], "at", "at", F.col("x"), F.col("y"), 100, 5.0).collect()}
+    assert got[1, 4] == (1.0, 0) and got[1, 5] == (1.0, 1) and got[1, 6] == (1.0, 0)
+    assert got[2, 0] == (0.0, 0) and got[2, 1] == (50.0, 0)  # the median of two is the upper one
+    assert tracking.displacement(table.limit(0), ["track"], "at", "at", F.col("x"), F.col("y")).count() == 0
+
+
+def test_live_states_hold_motion_and_tell_changes_only(spark):
+    rows = [(1, 0, 2, "active", True), (1, 5, 2, "parked", True), (1, 9, 2, "parked", True), (1, 12, 0, "Parked", True), (1, 13, 0, None, False), (1, 14, None, None, None)]
+    got = tracking.live_states(spark.createDataFrame(rows, "camera_id long, at_us long, class_id int, motion_state string, ever_active boolean"), 9)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, True, 0, "vehicle"), (1, 9, False, 0, "vehicle"), (1, 12, False, 1, "person"), (1, 13, False, 0, "none")]
+    assert tracking.live_states(got.select("camera_id", "at_us").limit(0).selectExpr("*", "0 AS class_id", "'' AS motion_state", "true AS ever_active")).count() == 0
