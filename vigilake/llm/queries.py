@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat, language_id, lattice_lm, ngram_join, packing, topk, toxicity, url_filter
+from . import alignment, ann, byte_bpe, chat, html_extract, language_id, lattice_lm, lexical_search, ngram_join, packing, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_chat": chat.op9_chat,
     "op10_language_id": language_id.op10_language_id,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_html_extract": html_extract.op13_html_extract,
 }
 
-ORACLES = {"op8_topk": topk.OP8_SQL, "op9_chat": chat.OP9_SQL}
+ORACLES = {"op8_topk": topk.OP8_SQL, "op9_chat": chat.OP9_SQL, "op12_lexical_search": lexical_search.OP12_SQL}
