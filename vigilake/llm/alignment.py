@@ -22,15 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, stored, texts_of, vocabulary
 
 #: Words kept in a worker's memory of segmentations; it starts anew when full.
-MEMO_WORDS = 500_000
-#: Bytes of A's packed ids that are aligned at once, about.
-STREAM_BYTES = 1 << 20
+MEMO_WORDS = 400_000
+#: Bytes of text that are encoded and aligned at once; a longer text goes alone.
+PART_BYTES = 2 << 20
 #: White space beside a space, or at a text's end: what it joins depends on both sides.
 ODD_SPACE = re.compile(r"\s | \s|^\s|\s\Z")
 #: Pairs of a slice that is broadcast, about; some 40 bytes each in an executor.
@@ -225,6 +226,17 @@ def documents(packed: list[tuple[bytes, bytes]], len_a: np.ndarray, len_b: np.nd
         yield (int(upto_a[i + 1] - upto_a[i]), int(upto_b[i + 1] - upto_b[i]), int(groups[i + 1] - groups[i]), int(ends[i + 1] - ends[i]), spelt, pairs[own], times[own].astype(np.int32))
 
 
+def parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in stretches of at most `most` bytes of text; a longer text is one of its own."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        spent = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, spent + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def linked(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times of every row of `docs`.
 
@@ -238,27 +250,19 @@ def linked(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
         both, len_a, len_b, names = _tokenizers(path_a, path_b)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = both(texts_of(batch))
-            done: dict[int, tuple] = {}
-            held, size = [], 0
-            for i, packed in enumerate(ids):
-                if packed is not None:
-                    held.append(i)
-                    size += len(packed[0])
-                if held and size >= STREAM_BYTES:
-                    done.update(zip(held, documents([ids[j] for j in held], len_a, len_b, names), strict=True))
-                    held, size = [], 0
-            if held:
-                done.update(zip(held, documents([ids[j] for j in held], len_a, len_b, names), strict=True))
-            out: list[list] = [[] for _ in range(9)]
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                n_a, n_b, n_groups, n_links, spelt, pairs, times = done.get(i, (0, 0, 0, 0, None, [], []))
-                one = (row, doc, n_a, n_b, n_groups, n_links, "" if spelt is None else hashlib.sha256(spelt).hexdigest(), pairs, times)
-                row += 1
-                for to, x in zip(out, one, strict=True):
-                    to.append(x)
-            kinds = (pa.int64(),) * 6 + (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [c.split()[0] for c in ROW.split(", ")])
+            for part in parts(batch, PART_BYTES):
+                ids = both(texts_of(part))
+                held = [i for i, packed in enumerate(ids) if packed is not None]
+                done = dict(zip(held, documents([ids[i] for i in held], len_a, len_b, names), strict=True)) if held else {}
+                out: list[list] = [[] for _ in range(9)]
+                for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                    n_a, n_b, n_groups, n_links, spelt, pairs, times = done.get(i, (0, 0, 0, 0, None, [], []))
+                    one = (row, doc, n_a, n_b, n_groups, n_links, "" if spelt is None else hashlib.sha256(spelt).hexdigest(), pairs, times)
+                    row += 1
+                    for to, x in zip(out, one, strict=True):
+                        to.append(x)
+                kinds = (pa.int64(),) * 6 + (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [c.split()[0] for c in ROW.split(", ")])
 
     return spread(docs.select("doc_id", "text")).mapInArrow(rows, ROW)
 
