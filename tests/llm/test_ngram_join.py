@@ -5,6 +5,7 @@ import random
 import pytest
 
 from vigilake.llm import ngram_join
+from vigilake.llm.common import stored
 
 
 def shingle_set(text, n=5):
@@ -60,9 +61,9 @@ def test_groups_cut_by_size_lose_no_link(spark):
     rows = variants(5, families=4, each=30)
     docs = documents(spark, rows)
     order = ngram_join.frequent_tokens(docs, 5)
-    signed = ngram_join.signatures(docs, order, 5, 80).cache()
+    signed = ngram_join.stored(ngram_join.signatures(docs, order, 5, 80))
     links = ngram_join.links(signed, docs, 5, 80, group_tokens=200)
-    parent = {i: i for i, _ in rows}
+    parent = {r.node: r.node for r in ngram_join.text_classes(signed).collect()}
 
     def root(x):
         while parent[x] != x:
@@ -72,8 +73,11 @@ def test_groups_cut_by_size_lose_no_link(spark):
     for r in links.collect():
         p, q = sorted((root(r.a), root(r.b)))
         parent[q] = p
-    nodes = {r.sig: r.node for r in signed.filter("sig is not null").groupBy("sig").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "node").collect()}
-    mine = sorted((r.doc_id, r.n_shingles, root(nodes[r.sig]) if r.sig is not None else r.doc_id) for r in signed.collect())
+    nodes = {r.sig: (r.node, r.doc) for r in ngram_join.text_classes(signed).collect()}
+    least = {}
+    for node, doc in nodes.values():
+        least[root(node)] = min(doc, least.get(root(node), doc))
+    mine = sorted((r.doc_id, r.n_shingles, least[root(nodes[r.sig][0])] if r.sig is not None else r.doc_id) for r in signed.collect())
     assert mine == brute(rows)
 
 
@@ -94,3 +98,47 @@ def test_empty_table_and_clashing_columns(spark):
     assert got(ngram_join.join_components(docs)) == [(1, 2, 1), (2, 2, 1)]
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+A = " ".join(f"a{i}" for i in range(30))
+B = " ".join(f"b{i}" for i in range(30))
+A2, B2 = A + " more", B + " more"
+
+
+def brute_rows(rows):
+    """(doc_id, component_id) of each row and the components as lists of rows, by links between rows, not ids."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    members = {}
+    for (doc, _), x in zip(rows, label):
+        members.setdefault(x, []).append(doc)
+    return sorted((doc, min(members[x])) for (doc, _), x in zip(rows, label)), label
+
+
+SHARED = [
+    [(5, A), (5, B)],
+    [(5, A), (5, B), (3, A2), (9, B)],
+    [(5, A), (5, B), (3, A2), (9, B), (2, A)],
+    [(5, A), (5, B), (3, A2), (9, B), (2, B2)],
+    [(5, A), (5, B), (3, B2), (9, A2), (2, A2), (1, B)],
+    [(5, A), (5, A), (5, A2), (5, B), (5, B2), (7, ""), (7, ""), (7, "  "), (8, None)],
+]
+
+
+@pytest.mark.parametrize("rows", SHARED)
+def test_rows_that_share_a_doc_id_are_rows_of_their_own(spark, rows):
+    """Components by links between rows; one row of each component stays and nothing else goes."""
+    docs = documents(spark, rows)
+    want, label = brute_rows(rows)
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.join_components(docs).collect()) == want
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect())
+    sets = {i: frozenset(shingle_set(t)) for i, (_, t) in enumerate(rows)}
+    expected = sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == x) for x in set(label))
+    assert sorted(d for d, _ in kept) == expected
+    places = [{label[i] for i in range(len(rows)) if rows[i] == row} for row in kept if shingle_set(row[1])]
+    assert all(len(p) == 1 for p in places) and len(set().union(*places)) == len({x for i, x in enumerate(label) if sets[i]})

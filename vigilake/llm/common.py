@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,16 +66,20 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, n: int, *key) -> DataFrame:
-    """About n rows at most, chosen by a hash of `key`; all rows where there are fewer.
+def below_share(share: float, *key) -> Column:
+    """True for a share of all 64-bit hashes of `key`; a share as small as 1e-15 still means that share."""
+    limit = min(int(share * 2.0**64), 2**64 - 1) - 2**63
+    return F.xxhash64(*key, F.lit(20_011)) <= F.lit(limit)
 
-    Used for fitting only. The choice depends on values alone, so a re-run task makes the same one.
+
+def bounded_sample(df: DataFrame, n: int, *key, total: int | None = None) -> DataFrame:
+    """About n rows at most, chosen by a hash of `key`, which rows do not share; all rows where there are fewer.
+
+    Used for fitting only. The choice depends on values alone, so a re-run task makes the same one. `total` is the
+    number of rows where it is known.
     """
-    total = df.count()
-    if total <= n:
-        return df
-    limit = int(n / total * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(*key, F.lit(20_011)), F.lit(1_000_000)) < limit)
+    total = df.count() if total is None else total
+    return df if total <= n else df.filter(below_share(n / total, *key))
 
 
 def kept(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, spread, texts_of
+from .common import below_share, held_out, kept, spread, texts_of
 
 WINDOW = 256
 #: Labelled documents that training reads at most, in expectation, and windows that it takes from each.
@@ -188,15 +189,15 @@ def train(windows: list[tuple[bytes, str]], hidden: int = 8, epochs: int = 4, ba
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, **options) -> Network | None:
     """A network from `text` and non-null `lang`; windows lie at places that a text's length chooses.
 
-    About `sample_docs` rows are read at most, in equal shares of the labels where they have so many; of equal texts
-    one counts.
+    About `sample_docs` different texts are read at most, in equal shares of the labels where they have so many. None
+    without a usable row; a label of which the sample has nothing is an error.
     """
     rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()}
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample_docs / len(counts) / n) * 1_000_000))))
-    rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(20_011)), F.lit(1_000_000)) < share[F.col("lang")])
+    chosen = reduce(Column.__or__, ((F.col("lang") == lang) & below_share(sample_docs / len(counts) / n, "text") for lang, n in sorted(counts.items())))
+    rows = rows.filter(chosen)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,6 +213,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, **options) -> Netwo
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(langs, pa.string())], ["bytes", "lang"])
 
     found = sorted((bytes(r.bytes), r.lang) for r in rows.mapInArrow(windows, "bytes binary, lang string").distinct().collect())
+    if missed := counts.keys() - {lang for _, lang in found}:
+        raise ValueError(f"no sampled text of {sorted(missed)}; raise sample_docs")
     return train(found, **options)
 
 
@@ -219,9 +222,11 @@ def identify(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("
     """`columns` of every row of `docs`, lang_pred and score.
 
     A text that is null or has no letter, or any text where no label was learned: und, score 0.
-    Repeated rows give a row each.
+    Repeated rows give a row each. A column asked for by the name of an output is an error.
     """
     names = list(columns)
+    if clash := {"lang_pred", "score"}.intersection(names):
+        raise ValueError(f"{sorted(clash)} are names of outputs; rename them first")
     usable = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
     rows = spread(docs.select(*names, usable.alias("text")))
 

@@ -140,7 +140,10 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = HOT_TOKENS) -> Order:
 
 
 def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, key (of the text), n_shingles, sig (of the set), least (hash), prefix (packed tokens), rare (its tokens that are not frequent)."""
+    """row (unique), doc_id, key (of the text), n_shingles, sig (of the set), least (hash), prefix (packed tokens), rare (its tokens that are not frequent).
+
+    Row numbers hold as long as the result is not computed anew: it is to be stored.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +162,8 @@ def signatures(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame
                 ["doc_id", "key", "n_shingles", "sig", "least", "prefix", "rare"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(signed, "doc_id long, key long, n_shingles long, sig binary, least long, prefix binary, rare int")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(signed, "doc_id long, key long, n_shingles long, sig binary, least long, prefix binary, rare int")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _exploded(classes: DataFrame, frequent: bool) -> DataFrame:
@@ -255,18 +259,24 @@ class Group:
         return found[np.unique(self.label[found], return_index=True)[1]].tolist()
 
 
-def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 1_000_000) -> DataFrame:
-    """(a, b): links between classes, named by their least doc_id; enough of them to connect all that is linked."""
+def text_classes(signed: DataFrame) -> DataFrame:
+    """sig, node, doc, n, least of every set: node is the number of its first row, doc its least doc_id. Rows without doc_id or n-grams are left out."""
     usable = signed.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("least").alias("least"))
+    return usable.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("least").alias("least"))
+
+
+def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens: int = 1_000_000) -> DataFrame:
+    """(a, b): links between nodes of text_classes(signed); enough of them to connect all that is linked."""
+    classes = text_classes(signed)
     # a group is cut by size; its name begins with the size, so that names order groups by it
     sizes = classes.groupBy("least").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / group_tokens))
     name = F.shiftleft(F.floor(F.log2("tokens")), 56) + F.pmod(F.xxhash64("least", part), F.lit(1 << 56))
-    grouped = stored(classes.join(sizes, "least").select("sig", "node", "n", name.alias("group"), F.when(F.col("members") == 1, 0).otherwise(name).alias("home")))
+    named = classes.join(sizes, "least").select("node", "n", name.alias("group"), F.when(F.col("members") == 1, 0).otherwise(name).alias("home"))
+    # a class is known by one of its rows, whose id and text's key tell where its text lies
+    grouped = stored(named.join(signed.select(F.col("row").alias("node"), "doc_id", "key"), "node"))
     # the matrix: tokens of one group alone open nothing
-    named = grouped.select(F.col("sig").alias("_sig"), "node", "home")
-    prefixes = usable.select("doc_id", "sig", "prefix", "rare").join(named, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("_sig")))
+    prefixes = signed.select(F.col("row").alias("node"), "prefix", "rare").join(grouped.select("node", "home"), "node")
     cells = _shared(_exploded(prefixes, False)).unionByName(_exploded(prefixes, True).select("token", "node"))
     rows = stored(cells.join(grouped.select("node", "n", "group"), "node"))
     spans = rows.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -285,10 +295,11 @@ def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens
     def cell(c: str):
         return F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS)).cast("int")
 
-    marked = wanted.select(F.shiftright(cell("node"), 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << MAP_BITS}) as int) & 63)").alias("bit")).groupBy("_w").agg(F.bit_or("bit").alias("_bits"))
-    again = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftright(cell("doc_id"), 6).alias("_w"))
-    again = again.join(F.broadcast(marked), "_w").filter(F.getbit("_bits", cell("doc_id").bitwiseAND(F.lit(63))) == 1).select("doc_id", "text")
-    met = again.join(wanted, F.col("doc_id") == F.col("node")).select("g", "chunk", "side", "node", "text")
+    wanted = wanted.join(grouped.select("node", "doc_id", "key"), "node").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    marked = wanted.select(F.shiftright(cell("_doc"), 6).alias("_w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_doc), {1 << MAP_BITS}) as int) & 63)").alias("bit")).groupBy("_w").agg(F.bit_or("bit").alias("_bits"))
+    again = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("key"), F.shiftright(cell("doc_id"), 6).alias("_w"))
+    again = again.join(F.broadcast(marked), "_w").filter(F.getbit("_bits", cell("doc_id").bitwiseAND(F.lit(63))) == 1).select("doc_id", "key", "text")
+    met = again.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("key") == F.col("_key"))).select("g", "chunk", "side", "node", "text")
     dealt = met.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "side", "node")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,38 +326,44 @@ def links(signed: DataFrame, docs: DataFrame, n: int, percent: int, group_tokens
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, key, n_shingles, component_id; key is the text's hash."""
+    """doc_id, key (the text's hash), n_shingles, component (null without n-grams or doc_id), component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = frequent_tokens(docs, n)
     signed = stored(signatures(docs, order, n, percent))
     found = connected(links(signed, docs, n, percent))
-    least = signed.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node"))
-    named = least.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    classes = text_classes(signed).select("sig", "node", "doc").join(found, "node", "left").select("sig", "doc", F.coalesce("component", "node").alias("component"))
+    least = classes.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = classes.join(least, "component").select("sig", "component", "component_id")
     rows = signed.select("doc_id", "key", "n_shingles", "sig").join(named, "sig", "left")
-    return rows.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "key", "n_shingles", F.when(known, F.col("component")).alias("component"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
-    Two documents link when 100 * shared >= percent * united n-grams; component_id is the least doc_id
-    that links reach. A null or empty text, or one without words, has no n-grams and links with nothing.
-    Of rows that share a doc_id each has its own text's component; a null doc_id has no component.
+    Two rows link when 100 * shared >= percent * united n-grams; component_id is the least doc_id that
+    links reach. A null or empty text, or one without words, has no n-grams and links with nothing.
+    Rows that share a doc_id are rows of their own: they are not linked by it, though components that
+    do not meet may then have the same component_id. A null doc_id has no component.
     """
-    return _components(docs, n, percent).drop("key")
+    return _components(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the row of the least doc_id, all columns as they are.
+    """Of each component one row, of its least doc_id, all columns as they are.
 
-    Of rows that share that doc_id within the component one stays; rows without doc_id all do.
-    Rows that share a doc_id but belong to different components are judged apart.
+    Where several rows of a component have that doc_id one of them stays. Rows without doc_id, and rows
+    without n-grams, link with nothing and all stay.
     """
-    first = _components(docs, n, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-    by = Window.partitionBy("_doc").orderBy("_key")  # the rows of one doc_id that lead a component: one of them stays
-    first = first.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") == 1).drop("_n")
-    kept = docs.join(first, (docs["doc_id"] == first["_doc"]) & (F.xxhash64(docs["text"]) == first["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    rows = _components(docs, n, percent)
+    first = rows.filter(F.col("component").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("_doc"), F.min("key").alias("_key"))
+    alone = rows.filter(F.col("doc_id").isNotNull() & F.col("component").isNull()).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    chosen = first.select("_doc", "_key", F.lit(True).alias("_one")).unionByName(alone.withColumn("_one", F.lit(False)))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_key"))
+    met = named.join(chosen, ["_doc", "_key"])
+    kept = met.filter("_one").dropDuplicates(["_doc", "_key"]).unionByName(met.filter("not _one")).select("_row")
+    return kept.unionByName(named.filter(F.col("_doc").isNull()).select("_row")).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
