@@ -1,34 +1,35 @@
-"""The life of tracks as a fold over a camera's messages: zones, motion, rest, continuation, end.
+"""The life of tracks over a camera's messages: visits, zones, rest and departure, continuation, end.
 
-The fold is plain Python over one message at a time with a small state per camera. Batch runs
-it once per camera with `applyInPandas`; a stream runs the same fold with
-`applyInPandasWithState`. Both give the same rows where messages arrive in order; a stream
-sorts within a batch only and ends the tracks of a silent camera by processing time.
+One fold serves tables and streams (`ordered`): a stream gives the rows of the table however it is cut.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Fold, folded, streamed
+
 OUT = "camera_id long, epoch long, track_id int, kind string, zone string, at_us long, started_us long, ended_us long, n int, class_id int, came_to_rest boolean"
-MESSAGE = "camera_id long, sequence long, timestamp_us long, epoch long, tracks string"
+MESSAGE = "camera_id long, sequence long, timestamp_us long, epoch long, frame_width int, frame_height int, tracks string"
+#: Classes that count as vehicles, and the share of a frame that is its edge.
+VEHICLES, EDGE = (1, 2, 3, 5, 7), 0.015
 
 
 @dataclass(frozen=True)
 class Zone:
-    """A polygon with the time a track must stay before it has entered."""
+    """A polygon with the time a track must stay before it has entered, and who may enter."""
 
     name: str
     polygon: tuple[tuple[float, float], ...]
     min_dwell_us: int = 0
     moving_only: bool = False
     classes: tuple[int, ...] | None = None
+    min_confidence: float = 0.0
 
     def holds(self, x: float, y: float) -> bool:
         inside = False
@@ -37,167 +38,180 @@ class Zone:
                 inside = not inside
         return inside
 
+    def admits(self, x: dict) -> bool:
+        allowed = self.classes is None or x["class_id"] in self.classes
+        return allowed and (x.get("confidence") is None or x["confidence"] >= self.min_confidence) and self.holds((x["x1"] + x["x2"]) / 2, x["y2"])
+
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the life of a track, in microseconds and shares of a box."""
+    """Thresholds of the life of a track, in microseconds."""
 
     zones: dict[int, tuple[Zone, ...]] = field(default_factory=dict)
     dwell_us: int = 30_000_000
     cooldown_us: int = 0
     silence_us: int = 5_000_000
     back_date_us: int = 60_000_000
-    rest_us: int = 10_000_000
-    still: float = 0.1
 
 
-class Camera:
-    """State of one camera and its fold."""
+def _at_edge(x: dict, message: dict) -> bool:
+    w, h = message.get("frame_width") or 0, message.get("frame_height") or 0
+    return w > 0 and h > 0 and (x["x1"] <= w * EDGE or x["x2"] >= w * (1 - EDGE) or x["y2"] >= h * (1 - EDGE))
+
+
+class Camera(Fold):
+    """Records (`k/track`), the generation (`epoch`) and when a zone last spoke (`z/zone|class|kind`) of one camera."""
 
-    def __init__(self, rules: Rules, state: dict | None = None):
-        self.rules = rules
-        self.s = state or {"epoch": None, "tracks": {}, "spoken": {}}
+    def __init__(self, rules: Rules, camera: int, entries: dict[str, Any] | None = None):
+        super().__init__(entries)
+        self.rules, self.camera = rules, camera
 
-    def row(self, camera: int, key: str, kind: str, at: int, zone: str | None = None) -> tuple:
-        t = self.s["tracks"][key]
-        cls = max(t["classes"], key=lambda c: (t["classes"][c], -t["order"].index(c)))
-        return (camera, self.s["epoch"], int(key), kind, zone, at, t["started"], t["evidence"], t["n"], int(cls), t["rested"])
+    def records(self) -> list[str]:
+        return sorted((n for n in self.entries if n[0] == "k"), key=lambda n: int(n[2:]))
 
-    def finish(self, camera: int, key: str) -> list[tuple]:
-        t = self.s["tracks"][key]
-        out = [self.row(camera, key, "zone_exit", t["evidence"], z) for z, v in sorted(t["zones"].items()) if v["entered"]]
-        out.append(self.row(camera, key, "finalized", t["evidence"]))
-        del self.s["tracks"][key]
+    def row(self, name: str, kind: str, at: int, zone: str | None = None) -> tuple:
+        r = self.entries[name]
+        most = max(r["classes"], key=lambda c: (r["classes"][c], -r["order"].index(c)))
+        return (self.entries["epoch"], int(name[2:]), kind, zone, at, r["started"], r["evidence"], r["n"], int(most), r["rested"])
+
+    def finish(self, name: str) -> list[tuple]:
+        """A record's end: it leaves its zones; its visit is filed unless its rest filed it."""
+        r = self.entries[name]
+        out = [self.row(name, "zone_exit", r["evidence"], z) for z, own in sorted(r["zones"].items()) if own["entered"]]
+        if not r["filed"]:
+            out.append(self.row(name, "finalized", r["evidence"]))
+        del self.entries[name]
         return out
 
-    def fold(self, camera: int, at: int, epoch: int, tracks: list[dict]) -> list[tuple]:
-        out: list[tuple] = []
-        if self.s["epoch"] is not None and epoch < self.s["epoch"]:
+    def take(self, row: dict[str, Any]) -> list[tuple]:
+        at, epoch, out = row["timestamp_us"], row["epoch"], []
+        now = self.entries.get("epoch")
+        if now is not None and epoch < now:
             return out  # a message of a retired generation
-        if self.s["epoch"] != epoch:
-            for key in sorted(self.s["tracks"], key=int):
-                out += self.finish(camera, key)
-            self.s["epoch"] = epoch
-        for x in tracks:
-            out += self.observe(camera, at, x)
-        for key in sorted(self.s["tracks"], key=int):
-            if at - self.s["tracks"][key]["seen"] > self.rules.silence_us:
-                out += self.finish(camera, key)
+        if now is not None and now != epoch:
+            for name in self.records():
+                out += self.finish(name)
+        self.entries["epoch"] = epoch
+        for x in json.loads(row["tracks"] or "[]"):
+            out += self.observe(at, x, row)
+        return out
+
+    def expire(self, now: int) -> list[tuple]:
+        out: list[tuple] = []
+        for seen, name in sorted((self.entries[n]["seen"], n) for n in self.records()):
+            if seen + self.rules.silence_us <= now:
+                out += self.finish(name)
+        for name in [n for n in self.entries if n[0] == "z" and now - self.entries[n] >= self.rules.cooldown_us]:
+            del self.entries[name]
         return out
 
-    def observe(self, camera: int, at: int, x: dict) -> list[tuple]:
-        key, known = str(x["track_id"]), self.s["tracks"]
-        old = x.get("continues_track_id")
-        if old is not None and str(old) in known and str(old) != key:
-            inherited = known.pop(str(old))
-            young = known.pop(key, None)  # a record of its own that just began is absorbed
-            if young:
+    def due(self) -> int | None:
+        return min((self.entries[n]["seen"] + self.rules.silence_us for n in self.records()), default=None)
+
+    def begin(self, at: int, first: int | None) -> dict:
+        return {"started": max(min(first or at, at), at - self.rules.back_date_us), "n": 0, "classes": {}, "order": [], "zones": {}, "rested": False, "moved": False, "motion": "active", "told": False, "filed": False, "seen": at, "evidence": at}
+
+    def observe(self, at: int, x: dict, message: dict) -> list[tuple]:
+        name, old = f"k/{x['track_id']}", f"k/{x.get('continues_track_id')}"
+        if old != name and old in self.entries:
+            inherited, young = self.entries.pop(old), self.entries.pop(name, None)
+            if young:  # a record of its own that just began is absorbed
                 inherited["n"] += young["n"]
-                for c, n in young["classes"].items():
-                    inherited["classes"][c] = inherited["classes"].get(c, 0) + n
-            known[key] = inherited
-        if key not in known:
-            first = x.get("first_seen_us") or at
-            known[key] = {"started": max(min(first, at), at - self.rules.back_date_us), "n": 0, "classes": {}, "order": [], "zones": {}, "rested": False, "anchor": None, "still_since": at, "parked": False, "seen": at, "evidence": at}
-        t, cls = known[key], str(x["class_id"])
-        t["n"] += 1
-        t["classes"][cls] = t["classes"].get(cls, 0) + 1
-        if cls not in t["order"]:
-            t["order"].append(cls)
-        t["seen"], t["evidence"] = at, max(t["evidence"], min(at, x.get("last_matched_us") or at))
-        return self.motion(camera, at, key, x) + self.zones(camera, at, key, x)
-
-    def motion(self, camera: int, at: int, key: str, x: dict) -> list[tuple]:
-        t = self.s["tracks"][key]
-        cx, cy, size = (x["x1"] + x["x2"]) / 2, (x["y1"] + x["y2"]) / 2, ((x["x2"] - x["x1"]) ** 2 + (x["y2"] - x["y1"]) ** 2) ** 0.5
-        moved = t["anchor"] is None or ((cx - t["anchor"][0]) ** 2 + (cy - t["anchor"][1]) ** 2) ** 0.5 > self.rules.still * size
-        if moved:
-            t["anchor"], t["still_since"] = [cx, cy], at
-            if t["parked"]:
-                t["parked"] = False
-                return [self.row(camera, key, "unparked", at)]
-        elif not t["parked"] and at - t["still_since"] >= self.rules.rest_us and x["class_id"] != 0:
-            t["parked"] = t["rested"] = True
-            return [self.row(camera, key, "parked", at)]
-        return []
-
-    def zones(self, camera: int, at: int, key: str, x: dict) -> list[tuple]:
-        t, out = self.s["tracks"][key], []
-        fx, fy, person = (x["x1"] + x["x2"]) / 2, x["y2"], x["class_id"] == 0
-        for zone in self.rules.zones.get(camera, ()):
-            inside = zone.holds(fx, fy) and (zone.classes is None or x["class_id"] in zone.classes)
-            if zone.moving_only and not person and t["parked"]:
+                for c in young["order"]:
+                    inherited["classes"][c] = inherited["classes"].get(c, 0) + young["classes"][c]
+                    if c not in inherited["order"]:
+                        inherited["order"].append(c)
+                for zone, own in young["zones"].items():
+                    inherited["zones"].setdefault(zone, own)
+            self.entries[name] = inherited
+        if name not in self.entries:
+            self.entries[name] = self.begin(at, x.get("first_seen_us"))
+        r, cls = self.entries[name], str(x["class_id"])
+        if r["filed"] and (x.get("motion_state") or "active") == "active":  # a departure is a new visit
+            fresh = self.begin(at, None)
+            r = self.entries[name] = fresh | {c: r[c] for c in ("zones", "moved", "motion", "told")}
+        r["n"] += 1
+        r["classes"][cls] = r["classes"].get(cls, 0) + 1
+        if cls not in r["order"]:
+            r["order"].append(cls)
+        r["seen"], r["evidence"] = at, max(r["evidence"], min(at, x.get("last_matched_us") or at))
+        return self.rest(at, name, x, message) + self.zones(at, name, x)
+
+    def rest(self, at: int, name: str, x: dict, message: dict) -> list[tuple]:
+        """parked once a rest, unparked on the way out; what never moved does not arrive, what is cut by the frame's edge not until it is parked."""
+        r, motion, before = self.entries[name], x.get("motion_state") or "active", self.entries[name]["motion"]
+        resting, r["motion"] = motion != "active", motion
+        r["moved"] |= not resting or bool(x.get("ever_moved"))
+        r["rested"] |= resting
+        stops = resting and before == "active" and not _at_edge(x, message)
+        told, r["told"] = r["told"], r["told"] and resting
+        if r["moved"] and (stops or (motion == "parked" and not told)):
+            r["told"], out = True, [self.row(name, "parked", at)]
+            if x["class_id"] in VEHICLES and not r["filed"]:
+                r["filed"] = True
+                out.append(self.row(name, "finalized", r["evidence"]))
+            return out
+        return [self.row(name, "unparked", at)] if before != "active" and not resting else []
+
+    def zones(self, at: int, name: str, x: dict) -> list[tuple]:
+        r, out = self.entries[name], []
+        for zone in self.rules.zones.get(self.camera, ()):
+            if zone.moving_only and x["class_id"] != 0 and r["motion"] != "active":
                 continue
-            own = t["zones"].get(zone.name)
+            inside, own = zone.admits(x), r["zones"].get(zone.name)
             if inside and own is None:
-                own = t["zones"][zone.name] = {"since": at, "entered": False, "dwelt": False}
+                own = r["zones"][zone.name] = {"since": at, "entered": False, "dwelt": False}
             if inside and not own["entered"] and at - own["since"] >= zone.min_dwell_us:
                 own["entered"] = True
-                out += self.speak(camera, at, key, "zone_enter", zone.name)
+                out += self.speak(at, name, "zone_enter", zone.name)
             if inside and own["entered"] and not own["dwelt"] and at - own["since"] >= self.rules.dwell_us:
                 own["dwelt"] = True
-                out += self.speak(camera, at, key, "zone_dwell", zone.name)
+                out += self.speak(at, name, "zone_dwell", zone.name)
             if not inside and own is not None:
                 if own["entered"]:
-                    out += self.speak(camera, at, key, "zone_exit", zone.name)
-                del t["zones"][zone.name]
+                    out += self.speak(at, name, "zone_exit", zone.name)
+                del r["zones"][zone.name]
         return out
 
-    def speak(self, camera: int, at: int, key: str, kind: str, zone: str) -> list[tuple]:
+    def speak(self, at: int, name: str, kind: str, zone: str) -> list[tuple]:
         """An event, unless one of its zone, class and kind came within the cooldown."""
-        row = self.row(camera, key, kind, at, zone)
-        name = f"{zone}|{row[9]}|{kind}"
-        last = self.s["spoken"].get(name)
+        row = self.row(name, kind, at, zone)
+        place = f"z/{zone}|{row[8]}|{kind}"
+        last = self.entries.get(place)
         if self.rules.cooldown_us and last is not None and at - last < self.rules.cooldown_us:
             return []
-        self.s["spoken"][name] = at
+        if self.rules.cooldown_us:
+            self.entries[place] = at
         return [row]
 
 
 def _prepared(messages: DataFrame) -> DataFrame:
-    return messages.select("camera_id", "sequence", "timestamp_us", "epoch", F.to_json("tracks").alias("tracks"))
+    """Messages with tracks as JSON; `tracks` may be an array of structs or JSON already."""
+    tracks = F.col("tracks") if dict(messages.dtypes)["tracks"] == "string" else F.to_json("tracks")
+    size = [F.col(c) if c in messages.columns else F.lit(None).cast("int").alias(c) for c in ("frame_width", "frame_height")]
+    return messages.select("camera_id", "sequence", "timestamp_us", "epoch", *size, tracks.alias("tracks"))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in OUT.split(", ")]
-    return pd.DataFrame(rows, columns=names)
+def _maker(rules: Rules):
+    return lambda key, entries: Camera(rules, key["camera_id"], entries)
 
 
 def transitions(messages: DataFrame, rules: Rules) -> DataFrame:
-    """OUT rows of all messages of each camera in order; tracks still open at the end are finished."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        camera, out = Camera(rules), []
-        for r in frame.sort_values(["timestamp_us", "sequence"]).itertuples(index=False):
-            out += camera.fold(int(r.camera_id), int(r.timestamp_us), int(r.epoch), json.loads(r.tracks or "[]"))
-        for key in sorted(camera.s["tracks"], key=int):
-            out += camera.finish(int(frame.camera_id.iloc[0]), key)
-        return _frame(out)
-
-    return _prepared(messages).groupBy("camera_id").applyInPandas(run, OUT)
-
+    """OUT rows of all messages of each camera in order of (timestamp_us, sequence); silence ends what is still open.
 
-def stream_transitions(messages: DataFrame, rules: Rules) -> DataFrame:
-    """The same over a stream: state by camera; a camera that falls silent finishes its tracks by a timer."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    Messages of a generation older than one seen before are left out. A camera's messages are folded between
+    pauses that no record and no cooldown survives.
+    """
+    seen = F.max("epoch").over(Window.partitionBy("camera_id").orderBy("timestamp_us", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    current = _prepared(messages).withColumn("_newest", seen).filter(F.col("epoch") == F.col("_newest")).drop("_newest")
+    return folded(current, ["camera_id"], "timestamp_us", "sequence", _maker(rules), OUT, max(rules.silence_us, rules.cooldown_us))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        camera, out = Camera(rules, json.loads(state.get[0]) if state.exists else None), []
-        if state.hasTimedOut:
-            for k in sorted(camera.s["tracks"], key=int):
-                out += camera.finish(int(key[0]), k)
-            state.update((json.dumps(camera.s),))
-        else:
-            for frame in [pd.concat(list(frames))]:
-                for r in frame.sort_values(["timestamp_us", "sequence"]).itertuples(index=False):
-                    out += camera.fold(int(r.camera_id), int(r.timestamp_us), int(r.epoch), json.loads(r.tracks or "[]"))
-            state.update((json.dumps(camera.s),))
-            state.setTimeoutDuration(max(rules.silence_us // 1000, 1000))
-        yield _frame(out)
 
-    return _prepared(messages).groupBy("camera_id").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def stream_transitions(messages: DataFrame, rules: Rules, late: str = "10 seconds") -> DataFrame:
+    """The same rows over a stream; the watermark ends the tracks of a silent camera."""
+    return streamed(_prepared(messages), ["camera_id"], "timestamp_us", "sequence", _maker(rules), OUT, late)
 
 
 def finished(rows: DataFrame) -> DataFrame:
-    """Tracks with the continuation folded in: one row per finalized record."""
+    """The visits of `transitions`: one row per finalized record."""
     return rows.filter(F.col("kind") == "finalized").select("camera_id", "epoch", "track_id", "started_us", "ended_us", "n", "class_id", "came_to_rest")
