@@ -143,27 +143,24 @@ def first_free_colour(used: DataFrame, colours: int = 12) -> DataFrame:
 
 
 def confidence_vote(samples: DataFrame, keys: list[str], order: str, cap: float = 300.0) -> DataFrame:
-    """keys, class_id, weight: the class with the largest sum of confidences; a person wins at once.
+    """keys, class_id, weight: the class with the largest sum of confidences; a person (class 0) wins at once.
 
-    The running weights are scaled back to `cap` in total when they pass it, so old votes fade.
+    Whenever the running weights pass `cap` in total they are scaled back to it, so old votes fade. From the first
+    time on the total is `cap` before each vote, so each later vote w scales by cap / (cap + w): a vote's final
+    weight is its confidence times the factors from its own on, a running sum of logarithms. Of equal weights
+    the class that voted first wins. Rows without class or confidence do not vote.
     """
-    import pandas as pd
-
-    def vote(frame: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[int, float] = {}
-        for c, p in frame.sort_values([order, "class_id"], kind="stable")[["class_id", "confidence"]].itertuples(index=False):
-            if c == 0:
-                weights = {0: float(p)}
-                break
-            weights[c] = weights.get(c, 0.0) + float(p)
-            if (total := sum(weights.values())) > cap:
-                weights = {k: v * cap / total for k, v in weights.items()}
-        best = max(weights, key=lambda k: weights[k])
-        return frame[keys].head(1).assign(class_id=best, weight=weights[best])
-
-    kinds = dict(samples.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", class_id int, weight double"
-    return samples.select(*keys, order, "class_id", "confidence").groupBy(*keys).applyInPandas(vote, schema)
+    by = Window.partitionBy(*keys).orderBy(order, "class_id", "confidence")
+    w = F.col("confidence").cast("double")
+    rows = samples.select(*keys, order, "class_id", "confidence").filter(F.col("class_id").isNotNull() & F.col("confidence").isNotNull())
+    rows = rows.withColumn("_sum", F.sum(w).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    factor = F.when(F.col("_sum") <= cap, 1.0).when(F.col("_sum") - w <= cap, cap / F.col("_sum")).otherwise(cap / (cap + w))
+    fade = F.sum(F.log(factor)).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    votes = rows.withColumn("_w", w * F.exp(fade)).groupBy(*keys, "class_id").agg(F.sum("_w").alias("weight"), F.min(order).alias("_first"), F.min_by("confidence", F.struct(F.col(order), F.col("confidence"))).alias("_opening"))
+    person = F.col("class_id") == 0
+    rank = F.struct(F.when(person, 0).otherwise(1), F.when(person, 0.0).otherwise(-F.col("weight")), F.col("_first"), F.col("class_id"))
+    best = votes.groupBy(*keys).agg(F.min_by(F.struct("class_id", F.when(person, F.col("_opening").cast("double")).otherwise(F.col("weight")).alias("weight")), rank).alias("_best"))
+    return best.select(*keys, F.col("_best.class_id").cast("int").alias("class_id"), F.col("_best.weight").alias("weight"))
 
 
 def extents(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantiles as Q
 from ..functions import times as T
-from . import detection, ranked
+from . import detection, ranked, scan
 
 DETECTOR = "published map<string,struct<n:long,n_birth:long,conf_p50:double>>, dropped map<string,struct<conf:long,size:long,disabled:long>>"
 INGESTOR = "active_s double, idle_s double, transitions long, luma_avg double, ir_ratio double"
@@ -159,6 +159,57 @@ def sticky_band(luma: Column, ir_ratio: Column, current: Column, slack: float =
     return F.when((plain != "ir") & F.coalesce(holds, F.lit(False)), current).otherwise(plain)
 
 
+#: The bands of light by number; 0 is none yet.
+LIGHTS = (None, "ir", "dark", "dim", "normal", "bright")
+
+
+def _light_numbers(luma: Column, ir_ratio: Column, slack: float, edges: tuple[int, int, int]) -> Column:
+    """The number of the band that a reading means from each band; null without a basis."""
+    plain = F.when(ir_ratio >= 0.5, 1).when(luma < 0, None)
+    for i, edge in enumerate(edges):
+        plain = plain.when(luma < edge, i + 2)
+    plain = plain.otherwise(5)
+    low, high = (float("-inf"), *edges), (*edges, float("inf"))
+    colour = (F.coalesce(ir_ratio, F.lit(0.0)) < 0.5) & (luma >= 0)
+    held = [F.when(colour & (luma >= a - slack) & (luma < b + slack), i + 2).otherwise(plain) for i, (a, b) in enumerate(zip(low, high, strict=True))]
+    return F.array(plain, plain, *held)
+
+
+def _named(state: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x in LIGHTS)), state + 1)
+
+
+def held_light(readings: DataFrame, keys: list[str], at: str, tie: str, luma: Column, ir_ratio: Column, slack: float = 8.0, edges: tuple[int, int, int] = (40, 90, 150), width_us: int = T.HOUR) -> DataFrame:
+    """`readings` with band: a band holds while the light is within `slack` of its edges; infrared never holds.
+
+    A reading without a basis (luma below 0 and no infrared, or null) leaves the band as it is; null before the first.
+    """
+    rows = readings.withColumn("_numbers", _light_numbers(luma, F.coalesce(ir_ratio, F.lit(0.0)), slack, edges))
+    move = F.when(luma.isNull(), F.sequence(F.lit(0), F.lit(5))).otherwise(F.transform("_numbers", lambda x, i: F.coalesce(x, i)))
+    return scan.scanned(rows, keys, at, tie, move, 6, 0, width_us).withColumn("band", _named(F.col("state"))).drop("_numbers", "state")
+
+
+def switched_light(readings: DataFrame, keys: list[str], at: str, tie: str, luma: Column, ir_ratio: Column, held: Column | None = None, slack: float = 8.0, edges: tuple[int, int, int] = (40, 90, 150), width_us: int = T.HOUR) -> DataFrame:
+    """`readings` with band: the band of the second of two readings in a row that mean the same other band.
+
+    What a reading means depends on the band in force (see held_light). A reading without any measure (both below 0, or
+    null) is passed over; one that means the band in force, or nothing, ends the wait. Where `held` is true the band
+    stays and the wait begins anew. States are pairs of the band and the band waited for.
+    """
+    lit, infra = F.coalesce(luma.cast("double"), F.lit(-1.0)), F.coalesce(ir_ratio.cast("double"), F.lit(-1.0))
+    rows = readings.withColumn("_numbers", _light_numbers(lit, F.greatest(infra, F.lit(0.0)), slack, edges))
+    rows = rows.withColumn("_none", (lit < 0) & (infra < 0)).withColumn("_stay", F.coalesce(held, F.lit(False)) if held is not None else F.lit(False))
+
+    def moved(s: Column) -> Column:
+        band, waits = F.floor(s / 6).cast("int"), s % 6
+        means = F.element_at("_numbers", band + 1)
+        return F.when(F.col("_none"), s).when(means.isNull() | (means == band), band * 6).when(means != waits, band * 6 + means).when(F.col("_stay"), band * 6).otherwise(means * 6)
+
+    move = F.transform(F.sequence(F.lit(0), F.lit(35)), moved)
+    got = scan.scanned(rows, keys, at, tie, move, 36, 0, width_us)
+    return got.withColumn("band", _named(F.floor(F.col("state") / 6).cast("int"))).drop("_numbers", "_none", "_stay", "state")
+
+
 def light_sample(pixels: DataFrame, keys: list[str], infrared: Column) -> DataFrame:
     """keys, luma, chroma (mean distance of u and v from grey), ir_ratio of samples (y, u, v)."""
     grey = (F.abs(F.col("u") - 128) + F.abs(F.col("v") - 128)) / 2

@@ -382,7 +382,7 @@ def movement_extents(t: Lake) -> DataFrame:
 @query("fading_class_vote", """s AS (SELECT camera_id, event_id % 4 AS c, sum(0.5) AS w FROM ev WHERE event_id % 4 <> 0 GROUP BY ALL), p AS (SELECT DISTINCT camera_id FROM ev WHERE event_id % 4 = 0 AND event_id % 3 = 0), a AS (SELECT camera_id, CAST(c AS INTEGER) AS class_id, w FROM s QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY w DESC, c) = 1)
     SELECT camera_id, CASE WHEN p.camera_id IS NOT NULL THEN 0 ELSE class_id END AS class_id FROM a LEFT JOIN p USING (camera_id)""")
 def fading_class_vote(t: Lake) -> DataFrame:
-    # weights stay below the cap here, so the vote is a plain sum; the fold with the cap is tested on a fixture
+    # weights stay below the cap here, so the vote is a plain sum; tests/test_bands.py holds the fold with the cap against a plain one
     e = F.col("event_id")
     rows = t.events().filter((e % 4 != 0) | (e % 3 == 0)).select("camera_id", "event_id", (e % 4).cast("int").alias("class_id"), F.lit(0.5).alias("confidence"))
     order = F.col("class_id").cast("long") * 1_000_000_000 + F.col("event_id")
@@ -481,18 +481,18 @@ def plate_seen_enough(t: Lake) -> DataFrame:
     return plates.seen_enough(votes, t.events(), ["camera_id"], "kind", 12).select("camera_id", "seen")
 
 
-@query("rival_gaps", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 100 = 0 GROUP BY ALL) SELECT vec_id, label, round(lead(d) OVER w - d, 4) AS gap FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY d, label) QUALIFY row_number() OVER w = 1""")
+@query("rival_gaps", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 2 = 0 GROUP BY ALL) SELECT vec_id, label, round(lead(d) OVER w - d, 4) AS gap FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY d, label) QUALIFY row_number() OVER w = 1""")
 def rival_gaps(t: Lake) -> DataFrame:
     v = t.vectors()
-    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 100 = 0"), "vec_id", "label", "v")
+    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 2 = 0"), "vec_id", "label", "v")
     return ranked.rival_gap(d, "vec_id", "label", "dist").select("vec_id", "label", F.round("gap", 4).alias("gap"))
 
 
-@query("face_audit", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 100 = 0 GROUP BY ALL), g AS (SELECT vec_id, label, d, lead(d) OVER w - d AS gap FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY d, label) QUALIFY row_number() OVER w = 1)
+@query("face_audit", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 2 = 0 GROUP BY ALL), g AS (SELECT vec_id, label, d, lead(d) OVER w - d AS gap FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY d, label) QUALIFY row_number() OVER w = 1)
     SELECT vec.vec_id AS track_id, CASE WHEN d IS NULL THEN 'unusable' WHEN d < 0.9 AND (gap IS NULL OR gap >= 0.02) THEN CASE WHEN g.label = vec.label THEN 'agree' ELSE 'reassign' END ELSE 'clear' END AS verdict FROM vec LEFT JOIN g USING (vec_id)""")
 def face_audit(t: Lake) -> DataFrame:
     v = t.vectors()
-    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 100 = 0"), "vec_id", "label", "v")
+    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 2 = 0"), "vec_id", "label", "v")
     tracks = v.select(F.col("vec_id").alias("track_id"), F.col("label").alias("global_id"))
     return identity.face_audit(tracks, d.select(F.col("vec_id").alias("track_id"), F.col("label").alias("candidate"), "dist"), 0.9, 0.02).select("track_id", "verdict")
 
@@ -688,11 +688,11 @@ def late_faces(t: Lake) -> DataFrame:
     return identity.late_named(t.tracks(), won, 90).select("track_id", "global_id", "face_verified", "retain_until_us")
 
 
-@query("tar_at_far", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 100 = 0 GROUP BY ALL), r AS (SELECT d, m.label = vec.label AS same FROM m JOIN vec USING (vec_id)), q AS (SELECT quantile_cont(d, 0.01) FILTER (NOT same) AS t FROM r)
+@query("tar_at_far", f"""m AS (SELECT p.vec_id, r.label, min({COS.format(a='p.v', b='r.v')}) AS d FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 2 = 0 GROUP BY ALL), r AS (SELECT d, m.label = vec.label AS same FROM m JOIN vec USING (vec_id)), q AS (SELECT quantile_cont(d, 0.01) FILTER (NOT same) AS t FROM r)
     SELECT round(any_value(t), 4) AS threshold, round(avg(CASE WHEN d < t THEN 1.0 ELSE 0.0 END) FILTER (same), 4) AS tar FROM r, q""")
 def tar_at_far(t: Lake) -> DataFrame:
     v = t.vectors()
-    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 100 = 0"), "vec_id", "label", "v")
+    d = identity.distances(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 2 = 0"), "vec_id", "label", "v")
     got = identity.tar_at_far(d, "vec_id", "label", v.select("vec_id", "label"), 0.01)
     return got.select(*(F.round(c, 4).alias(c) for c in got.columns))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import faces
-from ..operators import detection, tracking
+from ..operators import detection, telemetry, tracking
 from ..sources import tables
+from ..streaming import motion
 from .catalog import ORACLES, H, query
 from .logical import Lake, sql
 
@@ -152,3 +153,46 @@ def change_feed(t: Lake) -> DataFrame:
     before = rows.filter("track_id % 5 <> 0")
     after = rows.filter("track_id % 6 <> 0").withColumn("plate_text", F.when(F.col("track_id") % 7 != 0, F.col("plate_text")))
     return tables.changes(before, after, ["track_id"])
+
+
+@query("motion_states")
+def motion_states(t: Lake) -> DataFrame:
+    """Users stand in for tracks: boxes jump with some kinds of events and jitter with the others."""
+    e, u = F.col("event_id"), F.col("track_id")
+    x = (u % 7) * 40.0 + (e % 5) + F.when(F.col("kind") == "purchase", 90.0).otherwise(0.0)
+    rows = t.events().select((u % 20).alias("camera_id"), "at_us", e.alias("detection_id"), "track_id", F.when(u % 3 == 0, "person").otherwise("car").alias("class_name"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 60).alias("x2"), F.lit(80.0).alias("y2"), (e % 13 == 0).alias("coasted"))
+    day = 24 * H
+    return motion.motion_states(rows, motion.Motion(still_share=0.05, window_us=2 * day, park_us=4 * day, spot_us=3 * day, moved_us=5 * day, lost_us=4 * day))
+
+
+_LIGHT = "CASE WHEN {ir} THEN 1 WHEN {y} < 40 THEN 2 WHEN {y} < 90 THEN 3 WHEN {y} < 150 THEN 4 ELSE 5 END"
+_HELD = " OR ".join(f"s.b = {i} AND r.y >= {a} - 8 AND r.y < {z} + 8" for i, a, z in ((2, -1e9, 40), (3, 40, 90), (4, 90, 150), (5, 150, 1e9)))
+_READINGS = "r AS (SELECT track_id % 20 AS camera_id, event_id, CASE WHEN event_id % 17 = 0 THEN -1.0 ELSE value * 1.8 END AS y, event_id % 10 = 0 AS ir, row_number() OVER (PARTITION BY track_id % 20 ORDER BY at_us, event_id) AS n FROM ev)"
+_MEANS = f"CASE WHEN r.ir THEN 1 WHEN r.y < 0 THEN NULL WHEN {_HELD} THEN s.b ELSE {_LIGHT.format(ir='r.ir', y='r.y')} END"
+_NAMES = "['ir', 'dark', 'dim', 'normal', 'bright'][b]"
+
+
+def _readings(t: Lake) -> DataFrame:
+    e = F.col("event_id")
+    return t.events().select((F.col("track_id") % 20).alias("camera_id"), "event_id", "at_us", F.when(e % 17 == 0, -1.0).otherwise(F.col("value") * 1.8).alias("luma"), F.when(e % 10 == 0, 0.6).otherwise(F.when(e % 34 == 0, -1.0).otherwise(0.1)).alias("ir"))
+
+
+@query("held_light", "SELECT 1")
+def held_light(t: Lake) -> DataFrame:
+    return telemetry.held_light(_readings(t), ["camera_id"], "at_us", "event_id", F.col("luma"), F.col("ir"), width_us=12 * H).select("camera_id", "event_id", "band")
+
+
+ORACLES["held_light"] = sql(f"""{_READINGS}, s AS (SELECT camera_id, n, event_id, CASE WHEN NOT ir AND y < 0 THEN 0 ELSE {_LIGHT.format(ir="ir", y="y")} END AS b FROM r WHERE n = 1
+    UNION ALL SELECT r.camera_id, r.n, r.event_id, coalesce({_MEANS}, s.b) FROM s JOIN r ON r.camera_id = s.camera_id AND r.n = s.n + 1)
+    SELECT camera_id, event_id, {_NAMES} AS band FROM s""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("switched_light", "SELECT 1")
+def switched_light(t: Lake) -> DataFrame:
+    return telemetry.switched_light(_readings(t), ["camera_id"], "at_us", "event_id", F.col("luma"), F.col("ir"), F.col("event_id") % 7 == 0, width_us=12 * H).select("camera_id", "event_id", "band")
+
+
+ORACLES["switched_light"] = sql(f"""{_READINGS}, s AS (SELECT camera_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 0 AS b, 0 AS w FROM r WHERE n = 1
+    UNION ALL SELECT camera_id, n, event_id, CASE WHEN m = w AND m <> b AND event_id % 7 <> 0 AND NOT skip THEN m ELSE b END, CASE WHEN skip THEN w WHEN m IS NULL OR m = b OR m = w THEN 0 ELSE m END
+    FROM (SELECT r.camera_id, r.n, r.event_id, s.b, s.w, r.event_id % 34 = 0 AND r.event_id % 10 <> 0 AS skip, {_MEANS} AS m FROM s JOIN r ON r.camera_id = s.camera_id AND r.n = s.n + 1))
+    SELECT camera_id, event_id, {_NAMES} AS band FROM s WHERE n > 0""").replace("WITH", "WITH RECURSIVE", 1)
