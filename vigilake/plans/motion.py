@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import faces
 from ..operators import detection, telemetry, tracking
 from ..sources import tables
-from ..streaming import motion
+from ..streaming import association, birth_spots as births, motion
 from .catalog import ORACLES, H, query
 from .logical import Lake, sql
 
@@ -165,6 +165,24 @@ def motion_states(t: Lake) -> DataFrame:
     return motion.motion_states(rows, motion.Motion(still_share=0.05, window_us=2 * day, park_us=4 * day, spot_us=3 * day, moved_us=5 * day, lost_us=4 * day))
 
 
+@query("associated")
+def associated(t: Lake) -> DataFrame:
+    """Frames of five minutes; boxes lie by user and wander a little, the vector is that of the user."""
+    e, u = F.col("event_id"), F.col("track_id")
+    x = (u % 7) * 40.0 + (e % 9) * 2
+    look = F.array((u % 3).cast("double"), (u % 5).cast("double"), F.lit(1.0))
+    rows = t.events().select((u % 20).alias("camera_id"), (F.floor(F.col("at_us") / 300_000_000) * 1_000_000).alias("at_us"), e.alias("detection_id"), F.when(u % 3 == 0, "person").otherwise("car").alias("class_name"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 60).alias("x2"), F.lit(80.0).alias("y2"), look.alias("embedding"))
+    return association.associated(rows, association.Association(lost_us=40 * 1_000_000, remembered_us=400 * 1_000_000, longest_step_us=60 * 1_000_000, outage_us=600 * 1_000_000))
+
+
+@query("birth_spots")
+def birth_spots(t: Lake) -> DataFrame:
+    e, u = F.col("event_id"), F.col("track_id")
+    x = (u % 7) * 40.0 + (e % 5)
+    rows = t.events().select((u % 20).alias("camera_id"), "at_us", e.alias("detection_id"), "track_id", F.when(u % 3 == 0, "person").otherwise("car").alias("class_name"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 60).alias("x2"), F.lit(80.0).alias("y2"), (F.col("kind") == "purchase").alias("moved"), (F.col("value") / 100).alias("confidence"))
+    return births.birth_spots(rows, births.Registry(births=3, span_us=24 * H, confidence=0.9, most_spots=4, spot_us=200 * H, lost_us=10 * H))
+
+
 _LIGHT = "CASE WHEN {ir} THEN 1 WHEN {y} < 40 THEN 2 WHEN {y} < 90 THEN 3 WHEN {y} < 150 THEN 4 ELSE 5 END"
 _HELD = " OR ".join(f"s.b = {i} AND r.y >= {a} - 8 AND r.y < {z} + 8" for i, a, z in ((2, -1e9, 40), (3, 40, 90), (4, 90, 150), (5, 150, 1e9)))
 _READINGS = "r AS (SELECT track_id % 20 AS camera_id, event_id, CASE WHEN event_id % 17 = 0 THEN -1.0 ELSE value * 1.8 END AS y, event_id % 10 = 0 AS ir, row_number() OVER (PARTITION BY track_id % 20 ORDER BY at_us, event_id) AS n FROM ev)"

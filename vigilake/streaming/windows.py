@@ -52,14 +52,3 @@ def activity(counts: DataFrame, ticks: int = 2) -> DataFrame:
     from ..operators.telemetry import debounced
 
     return debounced(counts.withColumn("_on", F.col("n") > 0), ["camera_id"], "at_us", "_on", ticks).select("camera_id", "at_us", F.col("published").alias("active"))
-
-
-def birth_spots(births: DataFrame, cell: int = 32) -> DataFrame:
-    """camera_id, class_id, spot, births, movers, first_us, last_us: where tracks keep being born, by cells of a grid.
-
-    births (camera_id, class_id, box, moved, at_us). The batch form of a registry that learns one birth at a time.
-    """
-    place = lambda lo, hi: F.floor((F.col(f"box.{lo}") + F.col(f"box.{hi}")) / 2 / cell)
-    rows = births.withColumn("_cx", place("x1", "x2")).withColumn("_cy", place("y1", "y2"))
-    mean = F.struct(*(F.avg(f"box.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")))
-    return rows.groupBy("camera_id", "class_id", "_cx", "_cy").agg(mean.alias("spot"), F.count("*").alias("births"), F.count_if("moved").alias("movers"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us")).drop("_cx", "_cy")
