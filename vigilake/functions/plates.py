@@ -23,6 +23,41 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(folded, "[^A-Z0-9]", "")
 
 
+@lru_cache(maxsize=1)
+def _alike() -> tuple[str, str]:
+    """Characters, and for each the least of those that a chain of look-alike groups leads to."""
+    least: dict[str, str] = {c: c for group in LOOK_ALIKE for c in group}
+    for _ in least:
+        for group in LOOK_ALIKE:
+            low = min(least[c] for c in group)
+            least.update(dict.fromkeys(group, low))
+    moved = sorted(c for c in least if least[c] != c)
+    return "".join(moved), "".join(least[c] for c in moved)
+
+
+def folded(text: Column) -> Column:
+    """The text with look-alikes made equal: texts of a weighted distance below n are fewer than n edits apart then."""
+    return F.translate(text, *_alike())
+
+
+def shortened(text: Column, most: int) -> Column:
+    """All distinct texts with up to `most` characters left out; two texts that many edits apart have one in common."""
+    level = F.array(text)
+    out = level
+    for _ in range(most):
+        less = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array().cast("array<string>"))
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def parts(text: Column, low: int, high: int) -> Column:
+    """All distinct parts of low to high characters; the whole text where it is shorter."""
+    n = F.length(text)
+    starts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.when(n < low, F.array(text)).otherwise(F.array_distinct(F.flatten(F.array(*(starts(k) for k in range(max(low, 1), high + 1))))))
+
+
 @lru_cache(maxsize=1)
 def _costs() -> np.ndarray:
     cost = np.full((128, 128), OTHER_COST)

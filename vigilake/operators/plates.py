@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +28,36 @@ def vote(readings: DataFrame, keys: list[str], text: str, order: str) -> DataFra
     return joined.join(n, keys).select(*keys, "plate", (F.col("_v") / (F.col("n") * F.col("_l"))).alias("agreement"), "n")
 
 
+def candidates(texts: DataFrame, plates: DataFrame, edits: int) -> DataFrame:
+    """_t, _g: of the distinct texts `_t` and plates `_g`, the pairs that can lie within so many edits, look-alikes apart.
+
+    Both sides are indexed by their shortened forms; texts of the least partial length also by those of the plates'
+    parts. A pair is met only where a form is shared, so no text meets every plate.
+    """
+    form = lambda df, c, forms: df.select(c, F.explode(forms).alias("_form"))
+    t, g = P.folded(F.col("_t")), P.folded(F.col("_g"))
+    whole = form(texts, "_t", P.shortened(t, edits)).join(form(plates, "_g", P.shortened(g, edits)), "_form")
+    short = texts.filter(F.length("_t") == P.LEAST_PARTIAL)
+    pieces = P.parts(g, max(P.LEAST_PARTIAL - edits, 1), P.LEAST_PARTIAL + edits)
+    forms = F.array_distinct(F.flatten(F.transform(pieces, lambda p: P.shortened(p, edits))))
+    part = form(short, "_t", P.shortened(t, edits)).join(form(plates, "_g", forms), "_form")
+    return whole.select("_t", "_g").unionByName(part.select("_t", "_g")).distinct()
+
+
 def matched(readings: DataFrame, gallery: DataFrame, key: str, text: str, most: float = 1.5, margin: float = 1.5) -> DataFrame:
     """key, global_id, distance: the one known plate within `most`, the next at least `margin` farther.
 
-    Readings shorter than seven may match as a part. The gallery is compared in blocks of bounded size; texts
-    are compared once each.
+    Readings of six characters may match as a part. A text is measured against those plates alone that the index of
+    `candidates` says can be within `most`, or a rival; texts and plates are measured once each.
     """
     texts = readings.select(P.normalised(F.col(text)).alias("_t")).filter(F.length("_t") > 0).distinct()
     known = gallery.select("global_id", P.normalised(F.col("plate")).alias("_g")).filter(F.length("_g") > 0)
-    blocks = identity._blocks(known.count())
-    a = texts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    b = known.withColumn("_block", F.pmod(F.xxhash64("global_id"), F.lit(blocks)))
-    short = F.length("_t") < 7  # may lie anywhere in a longer plate
-    # every surplus character costs one: farther in length is neither a match nor a rival
-    near = a.join(b, "_block").filter(short | (F.abs(F.length("_t") - F.length("_g")) <= most + margin))
-    whole, part = P.distance(F.col("_t"), F.col("_g")), P.distance(F.col("_t"), F.col("_g"), True)
-    dist = near.withColumn("_whole", whole).withColumn("_part", part).withColumn("dist", F.when(short, F.least("_whole", "_part")).otherwise(F.col("_whole")))
+    edits = max(math.floor(most + 1e-9), math.ceil(most + margin - 1e-9) - 1)
+    near = candidates(texts, known.select("_g").distinct(), edits)
+    short = F.length("_t") == P.LEAST_PARTIAL  # may lie anywhere in a longer plate
+    whole = near.withColumn("_whole", P.distance(F.col("_t"), F.col("_g")))
+    part = whole.filter(short).withColumn("_part", P.distance(F.col("_t"), F.col("_g"), True)).select("_t", "_g", F.least("_whole", "_part").alias("dist"))
+    dist = whole.filter(~short).select("_t", "_g", F.col("_whole").alias("dist")).unionByName(part).join(known, "_g")
     won = ranked.margin_winners(dist, "_t", "global_id", "dist", most + 1e-9, margin)
     return readings.withColumn("_t", P.normalised(F.col(text))).join(won, "_t").select(key, "global_id", "distance")
 
