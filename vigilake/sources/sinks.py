@@ -25,7 +25,7 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> Non
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
-    (own if known is None else own.join(known, key, "left_anti")).write.mode("append").parquet(path)
+    (own if known is None else own.join(known, key, "left_anti").select(own.columns)).write.mode("append").parquet(path)
 
 
 def foreach_append(path: str, key: str) -> Callable[[DataFrame, int], None]:
