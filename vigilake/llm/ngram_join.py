@@ -357,13 +357,17 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     without n-grams, link with nothing and all stay.
     """
     rows = _components(docs, n, percent)
-    first = rows.filter(F.col("component").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("_doc"), F.min("key").alias("_key"))
-    alone = rows.filter(F.col("doc_id").isNotNull() & F.col("component").isNull()).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
-    chosen = first.select("_doc", "_key", F.lit(True).alias("_one")).unionByName(alone.withColumn("_one", F.lit(False)))
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_key"))
-    met = named.join(chosen, ["_doc", "_key"])
-    kept = met.filter("_one").dropDuplicates(["_doc", "_key"]).unionByName(met.filter("not _one")).select("_row")
-    return kept.unionByName(named.filter(F.col("_doc").isNull()).select("_row")).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    texts = rows.filter(F.col("doc_id") == F.col("component_id")).filter(F.col("component").isNotNull()).groupBy("component", "component_id", "key").agg(F.count("*").alias("n"))
+    first = texts.groupBy("component").agg(F.min("component_id").alias("_doc"), F.min(F.struct("key", "n")).alias("_text")).select("_doc", F.col("_text.key").alias("_key"), F.col("_text.n").alias("_n"))
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+    def held(wanted: DataFrame) -> DataFrame:
+        on = (F.col("doc_id").cast("long") == wanted["_doc"]) & (F.xxhash64("text") == wanted["_key"])
+        return docs.filter(worded).join(wanted, on, "left_semi")
+
+    # only rows that repeat both their id and their text have to meet
+    one, several = first.filter("_n = 1").select("_doc", "_key"), first.filter("_n > 1").select("_doc", "_key")
+    return held(one).unionByName(held(several).dropDuplicates(["doc_id", "text"])).unionByName(docs.filter(~worded))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ COUNTED = 200_000
 STARTS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?()[]{}\"'|#*&%$-_«»“”…"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 def features(word: str) -> list[str]:
