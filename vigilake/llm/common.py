@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that `kept` judges at once.
+KEPT_ROWS = 1024
+
+
 def vocabulary(name: str) -> str:
     """Default place of a public vocabulary file; every operator takes another path."""
     import public_tokenizers
@@ -87,7 +91,9 @@ def kept(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> Dat
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+            for a in range(0, b.num_rows, KEPT_ROWS):  # the texts of a whole batch are many as Python strings
+                part = b.slice(a, KEPT_ROWS)
+                yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
     return spread(docs).mapInArrow(filtered, docs.schema)
 

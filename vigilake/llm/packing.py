@@ -22,7 +22,7 @@ from .common import spread, texts_of, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Words kept in a worker's memory of segmentations; it starts anew when full.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 300_000
 #: A word with another character goes through the tokenizer itself.
 PLAIN = r"[^!-~¡-ňŊ-ſ]"
 #: In a text with one of these, lower case or white space depend on more than the word.
