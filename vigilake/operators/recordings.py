@@ -16,17 +16,23 @@ def coverage(recordings: DataFrame, gap_us: int = 2 * T.SECOND) -> DataFrame:
     return islands.merged(recordings, ["camera_id"], F.col("started_us"), T.covers_until(F.col("started_us"), F.col("ended_us"), T.OPEN_COVERAGE_US), gap_us, "recording_id")
 
 
-def covering_segment(points: DataFrame, recordings: DataFrame, at: str, payload: list[str], prefix: str = "") -> DataFrame:
-    """`points` with the newest segment that covers `at`; an open one covers two minutes."""
+def covering_segment(points: DataFrame, recordings: DataFrame, at: str, payload: list[str], prefix: str = "", width_us: int | None = T.DAY) -> DataFrame:
+    """`points` with the newest segment that covers `at`; an open one covers two minutes. A camera is cut by `width_us`."""
     r = recordings.withColumn("until_us", T.covers_until(F.col("started_us"), F.col("ended_us")))
-    return asof.cover(points, r, ["camera_id"], at, "started_us", "until_us", payload, "recording_id", prefix)
+    return asof.cover(points, r, ["camera_id"], at, "started_us", "until_us", payload, "recording_id", prefix, width_us)
 
 
 def covering_or_middle(spans: DataFrame, recordings: DataFrame, start: str, end: str) -> DataFrame:
-    """The segment at a span's start, else the one at its middle: recording_id."""
-    first = covering_segment(spans, recordings, start, ["recording_id"], "_a_")
-    both = covering_segment(first.withColumn("_mid", T.midpoint(F.col(start), F.col(end))), recordings, "_mid", ["recording_id"], "_b_")
-    return both.withColumn("recording_id", F.coalesce("_a_recording_id", "_b_recording_id")).drop("_a_recording_id", "_b_recording_id", "_mid")
+    """The segment at a span's start, else the one at its middle: recording_id.
+
+    Both moments of a span go through one join. Equal rows are one while they are matched and come back as often as they were.
+    """
+    moments = F.array(F.struct(F.lit(0).alias("n"), F.col(start).cast("long").alias("at")), F.struct(F.lit(1).alias("n"), T.midpoint(F.col(start), F.col(end)).cast("long").alias("at")))
+    points = spans.select(F.struct(*spans.columns).alias("_span"), "camera_id", F.explode(moments).alias("_m")).select("_span", "camera_id", F.col("_m.n").alias("_n"), F.col("_m.at").alias("_at"))
+    met = covering_segment(points, recordings, "_at", ["recording_id"])
+    first = F.min_by("recording_id", F.when(F.col("recording_id").isNotNull(), F.col("_n")))
+    rows = met.groupBy("_span").agg(first.alias("recording_id"), F.count_if(F.col("_n") == 0).cast("int").alias("_copies"))
+    return rows.select(F.explode(F.array_repeat("_span", F.col("_copies"))).alias("_span"), "recording_id").select(*(F.col(f"_span.`{c}`").alias(c) for c in spans.columns), "recording_id")
 
 
 def in_window(recordings: DataFrame, since_us: int, until_us: int) -> DataFrame:
