@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,23 +51,42 @@ def visits(tracks: DataFrame, group: str = "reid_group", gap_us: int = GAP_US) -
     return rows.join(classes, keys).withColumn("visit_id", F.concat_ws(":", F.lit("sighting"), F.col("camera_id"), F.coalesce("global_id", F.lit("anon")), F.floor(F.col("started_us") / T.SECOND).cast("long")))
 
 
+def _episodes(departures: DataFrame) -> DataFrame:
+    """Closed stays with all columns that a departure may tell; those the caller's table lacks are null.
+
+    Beside place, occupied_us, released_us, cameras: name and global_id of who stood there, by_plate where only a plate
+    tells so, from_us where the clip begins, witness (the camera that watched it go).
+    """
+    more = {"name": "string", "global_id": "string", "by_plate": "boolean", "from_us": "long", "witness": departures.schema["cameras"].dataType.elementType}
+    d = departures.filter(F.col("released_us").isNotNull())
+    return d.select("place", "occupied_us", "released_us", "cameras", *((F.col(c) if c in departures.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()))
+
+
 def expanded(rows: DataFrame, departures: DataFrame) -> DataFrame:
     """Visits of vehicles that stood long become an arrival and a departure row; others stay one.
 
-    `departures` (place, occupied_us, released_us, cameras) corroborate: the first one of a camera from the
-    visit's start to ten minutes after its end. Without it the visit stays whole.
+    `departures` (see `_episodes`) corroborate: the first one of a camera from the visit's start to ten minutes after its
+    end. Without it the visit stays whole. Both rows bear the name of who stood there, where the departure tells it; a
+    name known by a plate is no verified face.
     """
-    d = departures.filter(F.col("released_us").isNotNull()).select(F.explode("cameras").alias("camera_id"), F.col("occupied_us").alias("_since"), F.col("released_us").alias("_left"))
-    near = asof.asof(rows, d.withColumn("_d", F.struct("_since", "_left")).withColumn("_tie", -F.col("_since")), ["camera_id"], "started_us", "_left", ["_d"], "_tie", "forward")
+    told = F.struct(F.col("occupied_us").alias("_since"), F.col("released_us").alias("_left"), "name", "global_id", "by_plate", "from_us")
+    d = _episodes(departures).select(F.explode("cameras").alias("camera_id"), F.col("released_us").alias("_left"), (-F.col("occupied_us")).alias("_tie"), told.alias("_d"))
+    near = asof.asof(rows, d, ["camera_id"], "started_us", "_left", ["_d"], "_tie", "forward")
     fits = is_vehicle(F.col("class_name")) & (F.col("ended_us") - F.col("started_us") > SPLIT_US) & (F.col("_d._left") <= F.col("ended_us") + DEPARTURE_US)
     got = near.withColumn("_d", F.when(fits, F.col("_d")))
     split = F.col("_d").isNotNull()
+    named = F.col("_d.name").isNotNull()
     stood = F.when(split, T.seconds_between(F.col("_d._since"), F.col("_d._left")))
     whole = F.struct(F.lit("visit").alias("kind"), F.lit("").alias("suffix"), F.col("started_us").alias("s"), F.col("ended_us").alias("e"), F.col("thumbnail").alias("pic"))
     arrives = F.struct(F.lit("arrival").alias("kind"), F.lit(":arr").alias("suffix"), F.col("started_us").alias("s"), (F.col("started_us") + BOOKEND_US).alias("e"), F.col("arrival_thumbnail").alias("pic"))
-    leaves = F.struct(F.lit("departure").alias("kind"), F.lit(":dep").alias("suffix"), (F.col("_d._left") - BOOKEND_US).alias("s"), F.col("_d._left").alias("e"), F.col("departure_thumbnail").alias("pic"))
+    leaves = F.struct(F.lit("departure").alias("kind"), F.lit(":dep").alias("suffix"), F.coalesce("_d.from_us", F.col("_d._left") - BOOKEND_US).alias("s"), F.col("_d._left").alias("e"), F.col("departure_thumbnail").alias("pic"))
     out = got.withColumn("_row", F.explode(F.when(split, F.array(arrives, leaves)).otherwise(F.array(whole))))
-    keep = [c for c in rows.columns if c not in ("visit_id", "started_us", "ended_us", "thumbnail")]
+    taken = {
+        "identity_name": F.when(named, F.col("_d.name")).otherwise(F.col("identity_name")),
+        "global_id": F.when(named, F.col("_d.global_id")).otherwise(F.col("global_id")),
+        "face_verified": F.col("face_verified") & ~F.coalesce(named & F.col("_d.by_plate"), F.lit(False)),
+    }
+    keep = [taken[c].alias(c) if c in taken else F.col(c) for c in rows.columns if c not in ("visit_id", "started_us", "ended_us", "thumbnail")]
     return out.select(
         F.concat("visit_id", "_row.suffix").alias("visit_id"),
         *keep,
@@ -77,18 +99,30 @@ def expanded(rows: DataFrame, departures: DataFrame) -> DataFrame:
 
 
 def claimed(feed: DataFrame, departures: DataFrame, slack_us: int = DEPARTURE_US) -> DataFrame:
-    """The feed with claimed_place, claimed_us: the departure nearest to a vehicle row's end on a camera that watches."""
-    d = departures.filter(F.col("released_us").isNotNull()).select(F.explode("cameras").alias("camera_id"), F.col("place").alias("claimed_place"), F.col("released_us").alias("claimed_us"))
-    d = d.groupBy("camera_id", "claimed_us").agg(F.min("claimed_place").alias("claimed_place")).withColumn("_tie", F.lit(0))
-    payload = ["claimed_place", "claimed_us"]
-    both = asof.asof(feed, d, ["camera_id"], "ended_us", "claimed_us", payload, "_tie", "backward", "_b_")
-    both = asof.asof(both, d, ["camera_id"], "ended_us", "claimed_us", payload, "_tie", "forward", "_f_")
+    """The feed with claimed_place, claimed_us: the departure nearest to a vehicle row's end on a camera that watches.
+
+    A whole visit that claims becomes a departure: it lasted as long as the place was taken, and bears the name and id of
+    who stood there, where the departure tells a name. Of departures as near the earlier, then the smaller place.
+    """
+    told = F.struct(F.col("place").alias("place"), F.col("released_us").alias("us"), F.col("occupied_us").alias("since"), "name", "global_id")
+    d = _episodes(departures).select(F.explode("cameras").alias("camera_id"), "released_us", told.alias("_d"))
+    d = d.groupBy("camera_id", "released_us").agg(F.min("_d").alias("_d")).withColumn("_tie", F.lit(0))
+    # both directions have the same keys: one shuffle serves the two
+    both = asof.asof(feed, d, ["camera_id"], "ended_us", "released_us", ["_d"], "_tie", "backward", "_b")
+    both = asof.asof(both, d, ["camera_id"], "ended_us", "released_us", ["_d"], "_tie", "forward", "_f")
     able = F.col("kind").isin("departure", "visit") & is_vehicle(F.col("class_name"))
-    # the nearer of the last before and the first after; of two as near the smaller place
-    near = lambda p: F.struct(F.abs(F.col(f"{p}claimed_us") - F.col("ended_us")).alias("gap"), F.col(f"{p}claimed_place").alias("claimed_place"), F.col(f"{p}claimed_us").alias("claimed_us"))
-    found = F.array_min(F.filter(F.array(near("_b_"), near("_f_")), lambda x: x["gap"] <= slack_us))
-    got = both.withColumn("_n", F.when(able, found)).select(*feed.columns, F.col("_n.claimed_place").alias("claimed_place"), F.col("_n.claimed_us").alias("claimed_us"))
-    return got.withColumn("kind", F.when((F.col("kind") == "visit") & F.col("claimed_place").isNotNull(), "departure").otherwise(F.col("kind")))
+    near = lambda c: F.struct(F.abs(F.col(f"{c}.us") - F.col("ended_us")).alias("gap"), F.col(f"{c}.us").alias("us"), F.col(c).alias("d"))
+    found = F.array_min(F.filter(F.array(near("_b_d"), near("_f_d")), lambda x: x["gap"] <= slack_us))
+    got = both.withColumn("_n", F.when(able, found)["d"])
+    turns = (F.col("kind") == "visit") & F.col("_n.place").isNotNull()
+    named = turns & F.col("_n.name").isNotNull()
+    taken = {
+        "kind": F.when(turns, "departure").otherwise(F.col("kind")),
+        "visit_s": F.when(turns, T.seconds_between(F.col("_n.since"), F.col("_n.us"))).otherwise(F.col("visit_s")),
+        "identity_name": F.when(named, F.col("_n.name")).otherwise(F.col("identity_name")),
+        "global_id": F.when(named, F.col("_n.global_id")).otherwise(F.col("global_id")),
+    }
+    return got.select(*(taken[c].alias(c) if c in taken else F.col(c) for c in feed.columns), F.col("_n.place").alias("claimed_place"), F.col("_n.us").alias("claimed_us"))
 
 
 def unclaimed(departures: DataFrame, feed: DataFrame) -> DataFrame:
@@ -97,15 +131,24 @@ def unclaimed(departures: DataFrame, feed: DataFrame) -> DataFrame:
     return departures.join(taken, ["place", "released_us"], "left_anti")
 
 
-def departure_rows(departures: DataFrame, like: DataFrame) -> DataFrame:
-    """Rows in the columns of the feed `like` for departures that no track witnessed, on the first camera that watches."""
-    rows = departures.filter(F.size("cameras") > 0).select(
+def departure_rows(departures: DataFrame, like: DataFrame, camera_id: int | None = None) -> DataFrame:
+    """Rows in the columns of the feed `like` for departures that no track saw.
+
+    Shown from the camera asked for, else the witness, else the first that watches; without a camera that watches
+    the place there is no row. They begin where the departure says, else a minute before it.
+    """
+    wanted = F.coalesce(F.lit(camera_id), F.col("witness"))
+    shown = F.when(wanted.isNull(), F.get("cameras", F.lit(0))).when(F.array_contains("cameras", wanted), wanted)
+    rows = _episodes(departures).withColumn("camera_id", shown).filter(F.col("camera_id").isNotNull())
+    rows = rows.select(
         F.concat_ws(":", F.lit("dep"), "place", F.floor(F.col("released_us") / T.SECOND).cast("long").cast("string")).alias("visit_id"),
-        F.element_at("cameras", 1).alias("camera_id"),
+        "camera_id",
         F.lit("car").alias("class_name"),
         F.lit("departure").alias("kind"),
-        (F.col("released_us") - UNSEEN_US).alias("started_us"),
+        F.coalesce("from_us", F.col("released_us") - UNSEEN_US).alias("started_us"),
         F.col("released_us").alias("ended_us"),
+        F.col("name").alias("identity_name"),
+        "global_id",
         T.seconds_between(F.col("occupied_us"), F.col("released_us")).alias("visit_s"),
     )
     return _shaped(rows, like)
@@ -195,22 +238,76 @@ def arrival_fold(feed: DataFrame, settle_us: int = ARRIVAL_US) -> DataFrame:
     return dealt.groupBy("camera_id", "_pack").applyInPandas(fold, dealt.schema).select(names)
 
 
-def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fetch: int | None = None, walks: DataFrame | None = None) -> DataFrame:
-    """Tracks to feed rows: cluster, expand, claim, add what left unclaimed, merge walks to a car, fold, newest first.
+@dataclass(frozen=True)
+class Asked:
+    """What a reader of the feed asks for; None asks for all."""
+
+    camera_id: int | None = None
+    since_us: int | None = None
+    until_us: int | None = None
+    class_name: str | None = None
+    global_id: str | None = None
+
+    def _where(self, df: DataFrame, **tests: Callable) -> DataFrame:
+        for name, test in tests.items():
+            if (value := getattr(self, name)) is not None:
+                df = df.filter(test(F.lit(value)))
+        return df
+
+    def tracks(self, tracks: DataFrame) -> DataFrame:
+        """Tracks not over before the window nor begun after it, of the camera, class and identity."""
+        c = F.col
+        return self._where(tracks, camera_id=lambda v: c("camera_id") == v, since_us=lambda v: c("ended_us") >= v, until_us=lambda v: c("started_us") < v, class_name=lambda v: c("class_name") == v, global_id=lambda v: c("global_id") == v)
+
+    def departures(self, departures: DataFrame) -> DataFrame:
+        """Departures since the window's start; they may be claimed whatever else is asked."""
+        return self._where(departures, since_us=lambda v: F.col("released_us") >= v)
+
+    def unseen(self, departures: DataFrame) -> DataFrame:
+        """Of departures nobody claims, those a row may tell: a vehicle, before the window's end, on the camera, of the identity."""
+        if self.class_name is not None and self.class_name not in VEHICLE_NAMES:
+            return departures.limit(0)
+        known = F.col("global_id") if "global_id" in departures.columns else F.lit(None)
+        return self._where(departures, until_us=lambda v: F.col("released_us") < v, camera_id=lambda v: F.array_contains("cameras", v), global_id=lambda v: known == v)
+
+    def walks(self, walks: DataFrame) -> DataFrame:
+        """Walks that end in the window, on the camera, of the identity (all have none where the table has no global_id)."""
+        known = F.col("global_id") if "global_id" in walks.columns else F.lit(None)
+        return self._where(walks, camera_id=lambda v: F.col("camera_id") == v, since_us=lambda v: F.col("ended_us") >= v, until_us=lambda v: F.col("ended_us") < v, global_id=lambda v: known == v)
+
+
+def feed(tracks: DataFrame, departures: DataFrame, limit: int | None = None, fetch: int | None = None, walks: DataFrame | None = None, asked: Asked = Asked()) -> DataFrame:
+    """Tracks to feed rows: filter, cluster, expand, claim, add what left unclaimed, merge walks to a car, fold, newest first.
 
     `fetch` clusters only so many newest tracks, as a paging reader would; the default takes all.
     """
-    rows = tracks if fetch is None else tracks.orderBy(F.col("started_us").desc(), F.col("track_id").desc()).limit(fetch)
+    rows = asked.tracks(tracks)
+    rows = rows if fetch is None else rows.orderBy(F.col("started_us").desc(), F.col("track_id").desc()).limit(fetch)
+    gone = asked.departures(departures)
     # both are read several times below; a lost part of the cache is computed again
-    seen = claimed(expanded(visits(rows), departures), departures).persist()
-    out = seen.unionByName(departure_rows(unclaimed(departures, seen), seen)).persist()
+    seen = claimed(expanded(visits(rows), gone), gone).persist()
+    out = seen.unionByName(departure_rows(asked.unseen(unclaimed(gone, seen)), seen, asked.camera_id)).persist()
     if walks is not None:
-        out = left_with_vehicle(out, walks)
+        out = left_with_vehicle(out, asked.walks(walks))
     out = arrival_fold(out)
     out = out.orderBy(F.col("started_us").desc(), "visit_id")
     return out if limit is None else out.limit(limit)
 
 
+def playable(feed: DataFrame, segments: DataFrame) -> DataFrame:
+    """The feed with recording_id and seek_s: the segment at a row's start, else at its middle, and a second of lead."""
+    from . import recordings
+
+    spans = feed.select("visit_id", "camera_id", "started_us", "ended_us").distinct()
+    met = recordings.covering_or_middle(spans, segments, "started_us", "ended_us").join(segments.select("recording_id", F.col("started_us").alias("_from")), "recording_id", "left")
+    keys = ["visit_id", "camera_id", "started_us", "ended_us"]
+    seek = F.greatest(F.lit(0.0), T.seconds_between(F.col("_from"), F.col("started_us")) - 1)
+    found = met.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "recording_id", F.when(F.col("_from").isNotNull(), seek).alias("seek_s"))
+    same = [feed[k].eqNullSafe(found[f"_{i}"]) for i, k in enumerate(keys)]
+    return feed.join(found, same, "left").drop(*(f"_{i}" for i in range(len(keys))))
+
+
+
 def zone_dwell(events: DataFrame, enter: str = "zone_enter", leave: str = "zone_exit") -> DataFrame:
     """track_id, zone, dwell_s, n: enter to exit summed; entering again while inside and an open end add nothing."""
     rows = events.filter(F.col("kind").isin(enter, leave)).select("track_id", "zone", "at_us", F.when(F.col("kind") == enter, 1).otherwise(0).alias("inside"), "event_id")
