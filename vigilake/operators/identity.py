@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +28,17 @@ def distances(probes: DataFrame, references: DataFrame, probe: str, candidate: s
     keys = [model] if model else []
     p = probes.select(F.col(probe), *keys, F.col(vector).alias("_p"))
     r = references.select(F.col(candidate), *keys, F.col(vector).alias("_r"))
+    return met(p, r, keys, candidate, "_r").select(probe, candidate, V.cosine_distance(F.col("_p"), F.col("_r")).alias("dist")).groupBy(probe, candidate).agg(F.min("dist").alias("dist"))
+
+
+def met(probes: DataFrame, references: DataFrame, keys: list[str], candidate: str, vector: str) -> DataFrame:
+    """Each probe with each reference of its keys, as `distances` deals them; column names do not clash."""
     blocks = _blocks(references.count())
     if blocks == 1:
-        met = p.join(F.broadcast(r), keys) if keys else p.crossJoin(F.broadcast(r))
-    else:
-        r = r.withColumn("_block", F.pmod(F.xxhash64(candidate, "_r"), F.lit(blocks)))
-        p = p.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = p.join(r, [*keys, "_block"])
-    return met.select(probe, candidate, V.cosine_distance(F.col("_p"), F.col("_r")).alias("dist")).groupBy(probe, candidate).agg(F.min("dist").alias("dist"))
+        return probes.join(F.broadcast(references), keys) if keys else probes.crossJoin(F.broadcast(references))
+    r = references.withColumn("_block", F.pmod(F.xxhash64(candidate, vector), F.lit(blocks)))
+    p = probes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return p.join(r, [*keys, "_block"]).drop("_block")
 
 
 def nearest(table: DataFrame, query: list[float], vector: str, key: str, k: int, most: float | None = None, extra: Column | None = None) -> DataFrame:
@@ -71,17 +76,22 @@ def classified(queries: DataFrame, prototypes: DataFrame, query: str, group: str
     return first.select(query, F.when(doubt, "unknown").otherwise(F.col("label")).alias("label"), "dist")
 
 
+def anchor_pairs(tracks: DataFrame, anchors: DataFrame, window_us: int, same_camera: float, other_camera: float) -> DataFrame:
+    """`tracks` with _gid, dist: each anchor near in time and of the class's group that is nearer than the camera's threshold."""
+    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
+    pairs = rangejoin.overlapping(tracks, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
+    most = F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera)
+    near = pairs.withColumn("dist", V.cosine_distance(F.col("embedding"), F.col("_v"))).withColumn("_most", most).filter("dist < _most")
+    return near.select(*tracks.columns, "_gid", "dist")
+
+
 def near_anchors(tracks: DataFrame, anchors: DataFrame, window_us: int, same_camera: float, other_camera: float, margin: float) -> DataFrame:
     """track_id, global_id, distance: anonymous tracks named by the body of a face-verified one near in time.
 
     The class must be one of the anchor's group; the threshold depends on whether the camera is the same; the
     next identity must be `margin` farther.
     """
-    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
-    met = rangejoin.overlapping(tracks, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
-    dist = V.cosine_distance(F.col("embedding"), F.col("_v"))
-    most = F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera)
-    near = met.select("track_id", "_gid", dist.alias("dist"), most.alias("_most")).filter("dist < _most")
+    near = anchor_pairs(tracks, anchors, window_us, same_camera, other_camera)
     return ranked.margin_winners(near, "track_id", "_gid", "dist", 3.0, margin).withColumnRenamed("_gid", "global_id")
 
 
@@ -252,6 +262,56 @@ def late_named(tracks: DataFrame, won: DataFrame, days: int) -> DataFrame:
     return got.withColumn("retain_until_us", until).withColumn("face_verified", F.col("_take") | F.coalesce("face_verified", F.lit(False))).withColumn("global_id", F.when(F.col("_take"), F.col("_won")).otherwise(F.col("global_id"))).select(tracks.columns)
 
 
+def renamed_by_body(tracks: DataFrame, won: DataFrame, days: int) -> DataFrame:
+    """Anonymous tracks named by an anchor's body (track_id, global_id): kept as the named are, but no face was seen, so they anchor nothing."""
+    seen = tracks.select("track_id", F.col("face_verified").alias("_face"))
+    return late_named(tracks, won, days).join(seen, "track_id").withColumn("face_verified", F.col("_face")).select(tracks.columns)
+
+
+def reswept(tracks: DataFrame, faces: DataFrame, evidence: DataFrame, now_us: int, window_us: int, most: float, margin: float, near_us: int, same_camera: float, other_camera: float, body_margin: float, days: int) -> DataFrame:
+    """`tracks` after a late look at those without a name that began in the window: first by face, then by the body of a face.
+
+    `faces` (track_id, embedding, model) are usable samples, `evidence` (global_id, embedding, model) what the named are known
+    by. Tracks have class_id, started_us, ended_us, camera_id, embedding, face_verified, global_id, retain_until_us; track_id is unique.
+    A track named by face anchors the second step at once. Only faces anchor, so after the second step nothing more can be
+    found: two steps reach the fixed point, and a second call changes nothing but what rows of other calls bring.
+    """
+    recent = lambda df: df.filter(F.col("global_id").isNull() & (F.col("started_us") > now_us - window_us) & F.col("class_id").isNotNull())
+    probes = faces.join(recent(tracks).select("track_id"), "track_id", "left_semi").filter(F.col("embedding").isNotNull())
+    near = distances(probes, evidence.filter(F.col("embedding").isNotNull()), "track_id", "global_id", "embedding", "model")
+    by_face = ranked.margin_winners(near, "track_id", "global_id", "dist", most, margin)
+    known = late_named(tracks, by_face, days)
+    verified = known.filter(F.coalesce("face_verified", F.lit(False)) & F.col("global_id").isNotNull() & F.col("embedding").isNotNull())
+    anchors = verified.select(F.array("class_id").alias("class_ids"), "camera_id", "global_id", F.explode(F.array_distinct(F.array("started_us", "ended_us"))).alias("at_us"), "embedding")
+    open_ = recent(known).filter(F.col("embedding").isNotNull()).select("track_id", "camera_id", "class_id", "started_us", "ended_us", "embedding")
+    return renamed_by_body(known, near_anchors(open_, anchors, near_us, same_camera, other_camera, body_margin), days)
+
+
+def paired_bootstrap(outcomes: DataFrame, probe: str, first: str, second: str, replicates: int = 400, seed: int = 7, groups: list[str] | None = None) -> DataFrame:
+    """groups, n, mean_first, mean_second, difference, low, high: how far two models differ on the same probes, with the middle 95 % of replicates.
+
+    `first` and `second` are outcomes of a probe (a hit as 0 or 1, or any number); rows with a null one are left out.
+    A replicate draws each probe a Poisson number of times, read off a hash of seed, probe and replicate, so all
+    replicates are one pass with partial sums, the same at every partitioning, and a probe weighs alike on both models.
+    Replicates that draw nothing are left out; a group without rows gives no row.
+    """
+    keys = groups or []
+    rows = outcomes.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*keys, F.col(probe).alias("_p"), F.col(first).cast("double").alias("_a"), F.col(second).cast("double").alias("_b"))
+    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_p").cast("string"), F.col("_rep").cast("string"))), 1, 8), 16, 10).cast("long")
+    weight = sum((F.when(u >= cut, 1).otherwise(0) for cut in POISSON_CUTS), F.lit(0))
+    sums = drawn.withColumn("_w", weight).groupBy(*keys, "_rep").agg(F.sum(F.col("_w") * (F.col("_a") - F.col("_b"))).alias("_d"), F.sum("_w").alias("_n"))
+    spread = sums.filter("_n > 0").groupBy(*keys).agg(*(F.percentile(F.col("_d") / F.col("_n"), q).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))))
+    means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_a").alias("mean_first"), F.avg("_b").alias("mean_second"), F.avg(F.col("_a") - F.col("_b")).alias("difference"))
+    if keys:
+        return means.join(spread, keys)
+    return means.crossJoin(spread).filter("n > 0")  # one row each
+
+
+#: 2**32 times the share of a Poisson variable of mean 1 that is at most 0, 1, ... 9.
+POISSON_CUTS = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+
+
 def tar_at_far(dists: DataFrame, probe: str, candidate: str, truth: DataFrame, far: float) -> DataFrame:
     """One row: the distance below which a share `far` of other pairs lies, and the share of genuine pairs below it."""
     rows = dists.join(truth.select(F.col(probe), F.col(candidate).alias("_true")), probe).withColumn("_same", F.col(candidate) == F.col("_true"))

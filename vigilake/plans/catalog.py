@@ -801,3 +801,4 @@ for _f in (ordered_lists, iou_pairs, min_over_references, rival_margin, prototyp
 
 from . import details as _details  # noqa: E402,F401  registers further queries
 from . import motion as _motion  # noqa: E402,F401
+from . import late as _late  # noqa: E402,F401
