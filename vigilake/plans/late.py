@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import polygons
 from ..functions import times as T
 from ..operators import identity, ranked, visits
 from ..streaming import live_identity as live
@@ -60,7 +61,7 @@ _HALF = lambda n: f"list_sum(list_transform(range(1, len(p.v) + 1), lambda i: CA
 
 
 @query("rank1_bootstrap", f"""m AS (SELECT p.vec_id, p.label, r.label AS c, min(1 - ({_HALF(1)})) AS x, min(1 - ({_HALF(0)})) AS y FROM vec p, vec r WHERE p.vec_id % 2 = 1 AND r.vec_id % 2 = 0 GROUP BY ALL),
-    o AS (SELECT vec_id, label, CAST(arg_min(c, (x, c)) = label AS INTEGER) AS x, CAST(arg_min(c, (y, c)) = label AS INTEGER) AS y FROM m GROUP BY ALL),
+    o AS (SELECT vec_id, label, CAST(arg_min(c, (x, c)) = label AS INTEGER) AS x, CAST(arg_min(c, (y, c)) = label AS INTEGER) AS y FROM m GROUP BY vec_id, label),
     w AS (SELECT rep, x - y AS d, {_CUTS} AS w FROM (SELECT x, y, rep, CAST('0x' || md5('7:' || vec_id || ':' || rep)[1:8] AS BIGINT) AS u FROM o, range(1, 201) AS g(rep))),
     s AS (SELECT rep, CAST(sum(w * d) AS DOUBLE) / sum(w) AS d FROM w GROUP BY 1 HAVING sum(w) > 0)
     SELECT n, round(a, 6) AS mean_first, round(b, 6) AS mean_second, round(e, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT count(*) AS n, avg(x) AS a, avg(y) AS b, avg(x - y) AS e FROM o), (SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM s)""")
@@ -83,3 +84,17 @@ def feed_of_reader(t: Lake) -> DataFrame:
     gone = t.tracks().filter("class_id IN (2, 7) AND track_id % 3 = 0").select(F.concat(F.lit("P"), (k % 6).cast("string")).alias("place"), F.col("started_us").alias("occupied_us"), (F.col("ended_us") + T.MINUTE).alias("released_us"), F.array("camera_id", (F.col("camera_id") + 1) % 20).alias("cameras"), "global_id", F.col("identity_name").alias("name"), (k % 2 == 0).alias("by_plate"), "ended_us").withColumn("from_us", F.col("ended_us") - T.MINUTE).drop("ended_us")
     rows = visits.feed(t.tracks(), gone, asked=visits.Asked(camera_id=3, since_us=800_000_000_000_000, class_name="car"))
     return visits.playable(rows, t.recordings()).select("visit_id", "camera_id", "kind", "started_us", "ended_us", "visit_s", "identity_name", "global_id", "recording_id", "seek_s")
+
+
+@query("zone_repaired", """z AS (SELECT n_nationkey AS zone_id, n_regionkey AS region, 0.05 + n_nationkey / 100.0::DOUBLE AS a FROM nation),
+    p AS (SELECT event_id, event_id % 5 AS region, (event_id % 97 + 0.37) / 97 AS x, (event_id % 89 + 0.41) / 89 AS y FROM ev),
+    m AS (SELECT event_id, zone_id, x, y, a, 0.1 + 0.8 * (x - a) / (0.9 - a) AS up, 0.9 - 0.8 * (x - a) / (0.9 - a) AS down FROM p JOIN z USING (region))
+    SELECT event_id, zone_id FROM m WHERE x > a AND x < 0.9 AND y > least(up, down) AND y < greatest(up, down)""")
+def zone_repaired(t: Lake) -> DataFrame:
+    """Each nation has a zone drawn as a bow-tie; points meet the zones of their region. The zones are 25 rows."""
+    a = F.lit(0.05) + F.col("n_nationkey") / 100.0
+    corners = F.array(*(F.struct(x.alias("x"), F.lit(y).alias("y")) for x, y in ((a, 0.1), (F.lit(0.9), 0.9), (F.lit(0.9), 0.1), (a, 0.9))))
+    zones = polygons.repaired_zones(t.raw("nation").select(F.col("n_nationkey").alias("zone_id"), F.col("n_regionkey").alias("region"), corners.alias("polygon"))).drop("polygon")
+    e = F.col("event_id")
+    points = t.events().select("event_id", (e % 5).alias("region"), ((e % 97 + 0.37) / 97).alias("x"), ((e % 89 + 0.41) / 89).alias("y"))
+    return points.join(F.broadcast(zones), "region").filter(polygons.strictly_within(F.col("x"), F.col("y"), F.col("rings"))).select("event_id", "zone_id")
