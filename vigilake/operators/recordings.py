@@ -16,7 +16,7 @@ def coverage(recordings: DataFrame, gap_us: int = 2 * T.SECOND) -> DataFrame:
     return islands.merged(recordings, ["camera_id"], F.col("started_us"), T.covers_until(F.col("started_us"), F.col("ended_us"), T.OPEN_COVERAGE_US), gap_us, "recording_id")
 
 
-def covering_segment(points: DataFrame, recordings: DataFrame, at: str, payload: list[str], prefix: str = "", width_us: int | None = T.DAY) -> DataFrame:
+def covering_segment(points: DataFrame, recordings: DataFrame, at: str, payload: list[str], prefix: str = "", width_us: int | None = 30 * T.DAY) -> DataFrame:
     """`points` with the newest segment that covers `at`; an open one covers two minutes. A camera is cut by `width_us`."""
     r = recordings.withColumn("until_us", T.covers_until(F.col("started_us"), F.col("ended_us")))
     return asof.cover(points, r, ["camera_id"], at, "started_us", "until_us", payload, "recording_id", prefix, width_us)

@@ -782,7 +782,7 @@ def feed(t: Lake) -> DataFrame:
 @query("asof_forward", """m AS (SELECT tr.track_id, rec.recording_id, row_number() OVER (PARTITION BY tr.track_id ORDER BY rec.started_us, rec.recording_id DESC) AS n FROM tr JOIN rec ON tr.camera_id = rec.camera_id AND rec.started_us >= tr.ended_us)
     SELECT tr.track_id, m.recording_id FROM tr LEFT JOIN m ON m.track_id = tr.track_id AND n = 1""")
 def asof_forward(t: Lake) -> DataFrame:
-    return asof.asof(t.tracks().select("track_id", "camera_id", "ended_us"), t.recordings(), ["camera_id"], "ended_us", "started_us", ["recording_id"], "recording_id", "forward", width_us=D).select("track_id", "recording_id")
+    return asof.asof(t.tracks().select("track_id", "camera_id", "ended_us"), t.recordings(), ["camera_id"], "ended_us", "started_us", ["recording_id"], "recording_id", "forward", width_us=30 * D).select("track_id", "recording_id")
 
 
 @query("lost_track_runs", f"""p AS (SELECT camera_id % 20 AS camera_id, at_us, event_id, lag(at_us) OVER w AS b FROM ev WINDOW w AS (PARTITION BY camera_id % 20 ORDER BY at_us, event_id)),
