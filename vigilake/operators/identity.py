@@ -9,36 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions import times as T
 from ..functions import vectors as V
-from . import greedy, rangejoin, ranked
-
-#: References up to this many rows are sent to every task; more are dealt in blocks.
-BROADCAST_ROWS = 20_000
-
-
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BROADCAST_ROWS))
-
+from . import blockwise, greedy, rangejoin, ranked
 
 def distances(probes: DataFrame, references: DataFrame, probe: str, candidate: str, vector: str, model: str | None = None) -> DataFrame:
     """probe, candidate, dist: the least cosine distance of each probe to each candidate's references.
 
-    References are compared in blocks of bounded size: one block is broadcast, more are dealt by block, with
-    the probes repeated per block. Vectors compare only within one model key where one is named.
+    Blocks of both sides meet as matrices, so no pair of rows is ever written. Vectors compare only within one
+    model key where one is named.
     """
     keys = [model] if model else []
-    p = probes.select(F.col(probe), *keys, F.col(vector).alias("_p"))
-    r = references.select(F.col(candidate), *keys, F.col(vector).alias("_r"))
-    return met(p, r, keys, candidate, "_r").select(probe, candidate, V.cosine_distance(F.col("_p"), F.col("_r")).alias("dist")).groupBy(probe, candidate).agg(F.min("dist").alias("dist"))
-
-
-def met(probes: DataFrame, references: DataFrame, keys: list[str], candidate: str, vector: str) -> DataFrame:
-    """Each probe with each reference of its keys, as `distances` deals them; column names do not clash."""
-    blocks = _blocks(references.count())
-    if blocks == 1:
-        return probes.join(F.broadcast(references), keys) if keys else probes.crossJoin(F.broadcast(references))
-    r = references.withColumn("_block", F.pmod(F.xxhash64(candidate, vector), F.lit(blocks)))
-    p = probes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return p.join(r, [*keys, "_block"]).drop("_block")
+    p = probes.select(F.col(probe).alias("_a"), *keys, F.col(vector).cast("array<double>").alias("_v")).distinct()
+    r = references.select(F.col(candidate).alias("_c"), *keys, F.col(vector).cast("array<double>").alias("_v")).distinct()
+    met = blockwise.dealt(p, r, keys, blockwise.least, "_c")
+    return met.groupBy(F.col("_a").alias(probe), F.col("_c").alias(candidate)).agg(F.min("dist").alias("dist"))
 
 
 def nearest(table: DataFrame, query: list[float], vector: str, key: str, k: int, most: float | None = None, extra: Column | None = None) -> DataFrame:
@@ -66,10 +49,11 @@ def classified(queries: DataFrame, prototypes: DataFrame, query: str, group: str
     Only labels among the group's `states` count; unknown when too far, when the next label is within the
     margin, or when the two best labels differ by less than the separation of the farther one.
     """
-    q = queries.select(query, group, "states", F.col(vector).alias("_q"))
-    p = prototypes.select(group, F.col(label).alias("label"), F.col(vector).alias("_p"))
-    met = q.join(p, group).filter(F.array_contains("states", F.col("label")))
-    least = met.groupBy(query, "label").agg(F.min(V.cosine_distance(F.col("_q"), F.col("_p"))).alias("dist"))
+    q = queries.filter(F.col("states").isNotNull()).select(F.struct(F.col(query).alias("id"), "states").alias("_q"), group, F.col(vector).alias("_v"))
+    asked = queries.select(group, F.explode("states").alias("label")).distinct()
+    p = prototypes.select(group, F.col(label).alias("label"), F.col(vector).alias("_v")).join(asked, [group, "label"], "left_semi")
+    near = distances(q, p, "_q", "label", "_v", group).filter(F.array_contains("_q.states", F.col("label")))
+    least = near.groupBy(F.col("_q.id").alias(query), "label").agg(F.min("dist").alias("dist"))
     by = Window.partitionBy(query).orderBy("dist", "label")
     first = least.withColumn("rival", F.lead("dist").over(by)).withColumn("_n", F.row_number().over(by)).filter("_n = 1")
     doubt = (F.col("dist") > most) | (F.col("rival").isNotNull() & ((F.col("rival") - F.col("dist") < margin) | (F.col("rival") - F.col("dist") < separation * F.col("rival"))))

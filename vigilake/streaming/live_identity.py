@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
-from ..functions import vectors as V
-from ..operators import identity
+from ..operators import blockwise
 from .ordered import Fold, folded, streamed
 
 KEYS = ["camera_id", "track_id"]
@@ -115,12 +114,18 @@ def evidence_rows(seen: DataFrame, faces: DataFrame, references: DataFrame, body
     samples = whole(faces).filter(F.col("embedding").isNotNull() & F.col("model").isNotNull())
     until = F.col("at_us") + rules.horizon_us
     known = references.filter(F.col("embedding").isNotNull() & F.col("global_id").isNotNull() & F.col("name").isNotNull())
-    r = known.select("model", "global_id", "name", F.col("embedding").alias("_r"), F.coalesce("valid_us", F.lit(0)).alias("_valid"))
-    met = identity.met(samples.select(*KEYS, "at_us", "model", F.col("embedding").alias("_p")), r, ["model"], "global_id", "_r")
-    pairs = met.withColumn("dist", V.cosine_distance(F.col("_p"), F.col("_r"))).withColumn("until_us", until).withColumn("at_us", F.greatest("at_us", "_valid"))
-    # a farther identity is no rival of one that is near enough
-    near = pairs.filter((F.col("dist") < rules.most + rules.margin) & (F.col("at_us") < F.col("until_us")))
-    near = near.groupBy(*KEYS, "at_us", "global_id", "until_us").agg(F.min("dist").alias("dist"), F.min("name").alias("name"))
+    vector = F.col("embedding").cast("array<double>").alias("_v")
+    begin = F.coalesce("valid_us", F.lit(0)).cast("long")
+    several = known.groupBy("global_id").agg((F.min("name") < F.max("name")).alias("_several"))  # their names go by moment, whatever the distance
+    one = F.struct("global_id", "name", F.when(F.col("_several"), begin).alias("moment"))
+    r = known.join(several, "global_id").select("model", one.alias("_c"), begin.alias("_from"), vector).distinct()
+    # a farther identity is no rival of one that is near enough; a reference that comes no sooner and is farther than another adds nothing
+    most = rules.most + rules.margin
+    met = blockwise.dealt(samples.select(*KEYS, F.col("at_us").alias("_at"), "model", vector).distinct(), r, ["model"], lambda p, q, names: blockwise.records(p, q, names, most))
+    pairs = met.select(*KEYS, F.greatest("_at", "_from").alias("at_us"), "_c.global_id", "_c.name", "dist", (F.col("_at") + rules.horizon_us).alias("until_us")).filter(F.col("at_us") < F.col("until_us"))
+    near = pairs.groupBy(*KEYS, "at_us", "global_id", "until_us").agg(F.min("dist").alias("dist"), F.min("name").alias("name"))
+    sooner = F.min("dist").over(Window.partitionBy(*KEYS, "until_us", "global_id").orderBy("at_us").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("_sooner", sooner).filter("_sooner IS NULL OR dist <= _sooner").drop("_sooner")
     rows = _row("seen", whole(seen)).unionByName(_row("face", samples, until_us=until)).unionByName(_row("near", near))
     return rows if body is None else rows.unionByName(_row("body", whole(body).filter("dist IS NOT NULL AND global_id IS NOT NULL"), until_us=until))
 
