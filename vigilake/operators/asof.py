@@ -51,6 +51,26 @@ def _carried(a: DataFrame, b: DataFrame, keys: list[str], direction: str, width_
     return got.select(*keys, edge.alias("_t"), F.lit(None).cast("long").alias("_tie"), F.lit(-1).alias("_side"), "_right", "_bucket")
 
 
+def highest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, value: str, width_us: int, name: str = "highest") -> DataFrame:
+    """`left` with the largest `value` of the right rows of its keys with other <= at; null where there is none.
+
+    Cut by buckets of time as in `asof`: a bucket's largest value is carried on by a scan of one row a bucket. A null key
+    meets a null key; a left row without time finds nothing.
+    """
+    bucket = F.floor(F.col("_t") / width_us)
+    a = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left")).withColumn("_bucket", bucket)
+    b = right.filter(F.col(other).isNotNull()).select(*keys, F.col(other).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_value")).withColumn("_bucket", bucket)
+    tops = b.groupBy(*keys, "_bucket").agg(F.max("_value").alias("_top"))
+    places = a.filter(F.col("_t").isNotNull()).select(*keys, "_bucket").distinct()
+    passed = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.unionByName(places, allowMissingColumns=True).groupBy(*keys, "_bucket").agg(F.max("_top").alias("_top"))
+    begin = tops.withColumn("_value", F.max("_top").over(passed)).filter(F.col("_value").isNotNull()).select(*keys, (F.col("_bucket") * width_us).alias("_t"), F.lit(-1).alias("_side"), "_value", "_bucket")
+    both = a.unionByName(b.unionByName(begin), allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_high", F.when(F.col("_t").isNotNull(), F.max("_value").over(by))).filter(F.col("_left").isNotNull())
+    return met.select(*(F.col(f"_left.`{c}`").alias(c) for c in left.columns), F.col("_high").alias(name))
+
+
 def cover(left: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, end: str, payload: list[str], tie: str, prefix: str = "", width_us: int | None = None) -> DataFrame:
     """`left` with the newest segment that starts at or before `at`, where it still covers it.
 

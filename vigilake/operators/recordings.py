@@ -46,16 +46,20 @@ def closed(recordings: DataFrame) -> DataFrame:
     return recordings.withColumn("ended_us", F.coalesce("ended_us", F.lead("started_us").over(by))).withColumn("codec", codec)
 
 
-def pins(recordings: DataFrame, tracks: DataFrame, roll_us: int, keep_until: Column, bucket_us: int = T.HOUR) -> DataFrame:
+def pins(recordings: DataFrame, tracks: DataFrame, roll_us: int, keep_until: Column, width_us: int = 30 * T.DAY) -> DataFrame:
     """recording_id, retain_until_us: the longest wish of the tracks that overlap a segment, with room before and after.
 
-    An open segment reaches as far as time; for the join it is cut at the last track.
+    An open segment reaches as far as time, which here is the last track. Of the tracks kept for the same time after
+    their end, those that begin before a segment's end matter by the latest end alone: it is a running maximum, and no
+    segment meets a track row by row. A segment is repeated for each length of time that its camera's tracks are kept.
     """
     last = tracks.agg(F.max("ended_us").alias("_last"))
     r = recordings.crossJoin(F.broadcast(last)).select("camera_id", "recording_id", F.col("started_us").alias("_s"), F.coalesce("ended_us", F.greatest(F.col("_last"), F.col("started_us"))).alias("_e"))  # one row
-    t = tracks.withColumn("_keep", keep_until).select("camera_id", F.col("started_us").alias("_ts"), F.col("ended_us").alias("_te"), "_keep")
-    met = rangejoin.overlapping(r, t, ["camera_id"], (F.col("_s"), F.col("_e")), (F.col("_ts") - roll_us, F.col("_te") + roll_us), bucket_us)
-    return met.groupBy("recording_id").agg(F.max("_keep").alias("retain_until_us"))
+    stay = F.struct((keep_until - F.col("ended_us")).alias("us")).alias("_stay")
+    t = tracks.withColumn("_stay", stay).select("camera_id", "_stay", (F.col("started_us") - roll_us).alias("_ts"), (F.col("ended_us") + roll_us).alias("_te"))
+    asked = r.join(t.groupBy("camera_id").agg(F.collect_set("_stay").alias("_stays")), "camera_id").withColumn("_stay", F.explode("_stays")).drop("_stays")
+    met = asof.highest(asked, t, ["camera_id", "_stay"], "_e", "_ts", "_te", width_us, "_till").filter(F.col("_till") >= F.col("_s"))
+    return met.groupBy("recording_id").agg(F.max(F.col("_till") - roll_us + F.col("_stay.us")).alias("retain_until_us"))
 
 
 def idle(recordings: DataFrame, tracks: DataFrame, roll_us: int, bucket_us: int = T.HOUR) -> DataFrame:
