@@ -45,9 +45,32 @@ def covering(points: DataFrame, segments: DataFrame, keys: list[str], key: str,
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], key: str, at: str, other: str, slack_us: int, payload: list[str], tie: str) -> DataFrame:
     """`left` with the right row nearest in time within the slack, and gap_us; nulls without one."""
-    r = right.select(*keys, *(F.col(c).alias(f"_s_{c}") for c in dict.fromkeys([*payload, other, tie])))
-    met = overlapping(left, r, keys, (F.col(at) - slack_us, F.col(at) + slack_us), (F.col(f"_s_{other}"), F.col(f"_s_{other}")), max(2 * slack_us, 1))
-    gap = F.abs(F.col(f"_s_{other}") - F.col(at))
-    by = Window.partitionBy(key).orderBy(gap, F.col(f"_s_{tie}"))
-    best = met.withColumn("gap_us", gap).withColumn("_n", F.row_number().over(by)).filter("_n = 1").select(key, *(F.col(f"_s_{c}").alias(c) for c in payload), "gap_us")
-    return left.join(best, key, "left")
+    r = right.select(*keys, F.col(other).alias("_o"), F.struct(F.col(tie)).alias("_tie"), F.struct(*payload).alias("_pay"))
+    met = closest(left.select(*keys, key, F.col(at).alias("_at")), r, keys, F.col("_at"), slack_us, slack_us)
+    best = met.groupBy(key).agg(F.min_by("_found", F.struct("_found.gap_us", "_found._tie")).alias("_found"))
+    return left.join(best.select(key, *(F.col(f"_found._pay.`{c}`").alias(c) for c in payload), "_found.gap_us"), key, "left")
+
+
+def closest(left: DataFrame, right: DataFrame, keys: list[str], at: Column, back_us: int, ahead_us: int) -> DataFrame:
+    """The rows of `left` that some right row comes near: _found (gap_us, _tie, _pay) is the one nearest to `at`, at most so far back or ahead.
+
+    `right` has the keys, _o (its time), _tie (of rows as near the smallest goes) and _pay. Null keys and times meet nothing.
+    The nearest before and after are the neighbours in one order of both sides, cut by buckets of time, so no pairs are made.
+    """
+    width = max(2 * (back_us + ahead_us), 1)
+    known = lambda df, t: df.filter(F.col(t).isNotNull()).dropna(subset=keys)
+    a = known(left.select(*keys, at.alias("_t"), F.struct(*left.columns).alias("_left")), "_t").withColumn("_bucket", F.floor(F.col("_t") / width).cast("long")).withColumn("_side", F.lit(1))
+    b = known(right, "_o").select(*keys, F.col("_o").alias("_t"), F.struct("_o", "_tie", "_pay").alias("_right"))
+    b = _bucketed(b, F.col("_t") - ahead_us, F.col("_t") + back_us, width).withColumn("_side", F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True)
+    seen = []
+    for name, order, most in (("_before", F.col("_t").asc(), back_us), ("_after", F.col("_t").desc(), ahead_us)):
+        by = Window.partitionBy(*keys, "_bucket").orderBy(order, "_side", F.col("_right._tie").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(name, F.last("_right", ignorenulls=True).over(by))
+        gap = F.abs(F.col(f"{name}._o") - F.col("_t"))
+        seen.append(F.when(gap <= most, F.struct(gap.alias("gap_us"), F.col(f"{name}._tie"), F.col(f"{name}._pay"))))
+    order = lambda x: F.struct(x["gap_us"], x["_tie"])
+    before, after = F.col("_b"), F.col("_a")
+    met = both.filter(F.col("_left").isNotNull()).select("_left", seen[0].alias("_b"), seen[1].alias("_a"))
+    found = F.when(before.isNull() | (order(after) < order(before)), after).otherwise(before)
+    return met.select("_left.*", F.when(after.isNull(), before).otherwise(found).alias("_found")).filter(F.col("_found").isNotNull())
