@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,20 +334,68 @@ def walk_to_drive_off(departures: DataFrame, unparked: DataFrame, persons: DataF
 
     departures (departure_id, camera_id, closes_us), unparked (camera_id, at_us), persons (track_id, camera_id, started_us, ended_us).
     """
-    u = unparked.select("camera_id", F.col("at_us").alias("_u"))
-    moved = rangejoin.overlapping(departures, u, ["camera_id"], (F.col("closes_us") - horizon_us + 1, F.col("closes_us")), (F.col("_u"), F.col("_u")), horizon_us)
-    d = departures.join(moved.groupBy("departure_id").agg(F.max("_u").alias("_u")), "departure_id", "left").withColumn("moves_us", F.coalesce("_u", F.col("closes_us") - fallback_us)).drop("_u")
-    p = persons.select("camera_id", F.col("track_id").alias("_p"), F.col("started_us").alias("_s"), F.col("ended_us").alias("_e"))
-    met = rangejoin.overlapping(d, p, ["camera_id"], (F.col("moves_us") - horizon_us + 1, F.col("moves_us")), (F.col("_e"), F.col("_e")), horizon_us)
-    # backwards: a walk joins while the earliest start so far lies at most the gap after its end
-    back = Window.partitionBy("departure_id").orderBy(F.col("_s").desc(), F.col("_p").desc())
-    reach = F.min("_s").over(back.rowsBetween(Window.unboundedPreceding, -1))
-    broken = F.when(reach.isNotNull() & (reach - F.col("_e") > gap_us), 1).otherwise(0)
-    run = met.withColumn("_b", broken).withColumn("_n", F.sum("_b").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("_n = 0")
-    first = run.groupBy("departure_id").agg(F.min("_s").alias("_first"))
+    u = unparked.select("camera_id", F.col("at_us").alias("_o"), F.struct(F.lit(0).alias("n")).alias("_tie"), F.struct("at_us").alias("_pay"))
+    moved = rangejoin.closest(departures.select("departure_id", "camera_id", "closes_us"), u, ["camera_id"], F.col("closes_us"), horizon_us - 1, 0)
+    d = departures.join(moved.groupBy("departure_id").agg(F.max("_found._pay.at_us").alias("_u")), "departure_id", "left").withColumn("moves_us", F.coalesce("_u", F.col("closes_us") - fallback_us)).drop("_u")
+    first = _first_of_walk(d, persons, horizon_us, gap_us)
     return d.join(first, "departure_id", "left").select("departure_id", F.least(F.coalesce(F.least("_first", "moves_us"), "moves_us"), F.col("closes_us") - fallback_us).alias("opens_us"), "closes_us")
 
 
+def _first_of_walk(d: DataFrame, persons: DataFrame, horizon_us: int, gap_us: int) -> DataFrame:
+    """departure_id, _first: where the walk begins that leads to moves_us.
+
+    Of the persons who left within the horizon, from the one who came last backwards: a person joins who left no more than the gap
+    before the next one came. Time is cut into buckets that also have the persons of the horizon before them; a bucket
+    is folded in order of time with those persons, and the breaks between them, in order of arrival.
+    """
+    width = max(2 * horizon_us, 1)
+    at = lambda df, c: df.filter(F.col("camera_id").isNotNull() & F.col(c).isNotNull())
+    own = at(d, "moves_us").select("camera_id", F.floor(F.col("moves_us") / width).cast("long").alias("_bucket"), F.col("moves_us").alias("_at"), F.lit(1).alias("_side"), "departure_id")
+    reach = F.sequence(F.floor(F.col("ended_us") / width).cast("long"), F.floor((F.col("ended_us") + horizon_us - 1) / width).cast("long"))
+    p = at(persons, "ended_us").filter(F.col("started_us").isNotNull()).select("camera_id", F.explode(reach).alias("_bucket"), F.col("ended_us").alias("_at"), F.lit(0).alias("_side"), F.col("started_us").alias("_s"), F.col("track_id").alias("_p"))
+    rows = own.unionByName(p, allowMissingColumns=True).repartition("camera_id", "_bucket").sortWithinPartitions("camera_id", "_bucket", "_at", "_side")
+    kind = dict(d.dtypes)["departure_id"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, 0
+        held: list[tuple] = []  # (start, person, number, end) by arrival
+        breaks: list[tuple] = []  # those before whom the walk breaks off
+        leaving: deque[tuple] = deque()
+        torn = lambda i: 0 < i < len(held) and held[i][0] - held[i - 1][3] > gap_us
+        for batch in batches:
+            ids, firsts = [], []
+            columns = (batch.column(c).to_pylist() for c in ("camera_id", "_bucket", "_at", "_side", "_s", "_p", "departure_id"))
+            for camera, bucket, at, side, start, person, departure in zip(*columns, strict=True):
+                if (camera, bucket) != key:
+                    key, held, breaks, leaving = (camera, bucket), [], [], deque()
+                while leaving and leaving[0][3] <= at - horizon_us:
+                    x = leaving.popleft()
+                    i = bisect_left(held, x)
+                    for k in (i, i + 1):
+                        if torn(k):
+                            del breaks[bisect_left(breaks, held[k])]
+                    del held[i]
+                    if torn(i):
+                        insort(breaks, held[i])
+                if side == 0:
+                    n += 1
+                    x = (start, person, n, at)
+                    i = bisect_left(held, x)
+                    if torn(i):
+                        del breaks[bisect_left(breaks, held[i])]
+                    held.insert(i, x)
+                    leaving.append(x)
+                    for k in (i, i + 1):
+                        if torn(k):
+                            insort(breaks, held[k])
+                elif held:
+                    ids.append(departure)
+                    firsts.append(breaks[-1][0] if breaks else held[0][0])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("departure_id").type), pa.array(firsts, pa.int64())], names=["departure_id", "_first"])
+
+    return rows.mapInArrow(fold, f"departure_id {kind}, _first long").groupBy("departure_id").agg(F.min("_first").alias("_first"))
+
+
 def evidence_end(samples: DataFrame, keys: list[str]) -> DataFrame:
     """keys, evidence_us: the last time at which the confidence was not a mere repeat."""
     by = Window.partitionBy(*keys).orderBy("at_us", "sample_id")
