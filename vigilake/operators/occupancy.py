@@ -2,41 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
-from . import greedy, rangejoin, ranked
+from . import rangejoin, ranked
+
 
+def _served(reads: DataFrame) -> DataFrame:
+    return reads.filter(~F.coalesce("departing", F.lit(False))).select("place", "read_id", "read_us", "readings", F.when(F.col("global_id").isNotNull(), 0).otherwise(1).alias("unmatched"))
 
-def read_candidates(fills: DataFrame, reads: DataFrame, before_us: int = 5 * T.MINUTE, after_us: int = T.MINUTE) -> DataFrame:
-    """fill_id, read_id and the order of preference: matched first, newest, most readings.
+
+def best_read(fills: DataFrame, reads: DataFrame, before_us: int = 5 * T.MINUTE, after_us: int = T.MINUTE) -> DataFrame:
+    """fill_id, read_id: each fill's best read, matched first, then newest, then of most readings; a read may serve several.
 
     fills (fill_id, place, filled_us), reads (read_id, place, read_us, readings, global_id, departing).
     """
-    r = reads.filter(~F.coalesce("departing", F.lit(False))).select("place", "read_id", "read_us", "readings", F.when(F.col("global_id").isNotNull(), 0).otherwise(1).alias("unmatched"))
-    met = rangejoin.overlapping(fills, r, ["place"], (F.col("filled_us") - before_us, F.col("filled_us") + after_us), (F.col("read_us"), F.col("read_us")), before_us + after_us)
-    return met.select("place", "fill_id", "filled_us", "read_id", "unmatched", (-F.col("read_us")).alias("newest"), (-F.col("readings")).alias("most"))
-
+    r = _served(reads).select("place", "unmatched", F.col("read_us").alias("_o"), F.struct((-F.col("readings")).alias("most"), "read_id").alias("_tie"), F.struct("read_id").alias("_pay"))
+    either = fills.select("fill_id", "place", (F.col("filled_us") + after_us).alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("unmatched"))
+    met = rangejoin.closest(either, r, ["place", "unmatched"], F.col("_at"), before_us + after_us, 0)
+    # ends of fills that share an id differ, so the time itself decides
+    best = met.groupBy("fill_id").agg(F.min_by("_found._pay.read_id", F.struct("unmatched", F.col("_found.gap_us") - F.col("_at"), "_found._tie")).alias("read_id"))
+    return best.select("fill_id", "read_id")
 
-def best_read(fills: DataFrame, reads: DataFrame, **slack) -> DataFrame:
-    """fill_id, read_id: each fill's best read, a read possibly serving several."""
-    rows = read_candidates(fills, reads, **slack)
-    return ranked.best(rows, ["fill_id"], [F.col("unmatched"), F.col("newest"), F.col("most"), F.col("read_id")]).select("fill_id", "read_id")
 
+def assigned_reads(fills: DataFrame, reads: DataFrame, before_us: int = 5 * T.MINUTE, after_us: int = T.MINUTE) -> DataFrame:
+    """The same one to one: fills in order of time take the best read left. An ordered fold of a place's fills and reads.
 
-def assigned_reads(fills: DataFrame, reads: DataFrame, **slack) -> DataFrame:
-    """The same one to one: fills in order of time take the best read left. A greedy fold of one place's candidates."""
-    return greedy.one_to_one(read_candidates(fills, reads, **slack), ["place"], "fill_id", "read_id", ["filled_us", "fill_id", "unmatched", "newest", "most"]).select("fill_id", "read_id")
+    Reads come in as fills reach them, so the newest lie last in a list of matched and one of unmatched reads and are
+    taken from there; where even the last is too old, all are.
+    """
+    f = fills.select("place", (F.col("filled_us") + after_us).alias("_at"), F.lit(1).alias("_side"), "fill_id")
+    r = _served(reads).select("place", F.col("read_us").alias("_at"), F.lit(0).alias("_side"), "readings", "read_id", "unmatched")
+    rows = f.unionByName(r, allowMissingColumns=True).filter(F.col("place").isNotNull() & F.col("_at").isNotNull())
+    rows = rows.repartition("place").sortWithinPartitions("place", "_at", "_side", F.col("readings").asc_nulls_first(), F.col("read_id").desc(), "fill_id")
+    kinds, span = dict(rows.dtypes), before_us + after_us
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lists, taken, served = None, ([], []), set(), set()
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("place", "_at", "_side", "fill_id", "read_id", "unmatched"))
+            for own, at, side, fill, read, unmatched in zip(*columns, strict=True):
+                if own != place:
+                    place, lists, taken, served = own, ([], []), set(), set()
+                if side == 0:
+                    lists[unmatched].append((at, read))
+                    continue
+                if fill in served:
+                    continue
+                for have in lists:
+                    while have and have[-1][1] in taken:
+                        have.pop()
+                    if have and have[-1][0] < at - span:
+                        have.clear()
+                    if have:
+                        out.append((fill, have[-1][1]))
+                        taken.add(have.pop()[1])
+                        served.add(fill)
+                        break
+            schema = [batch.schema.field("fill_id").type, batch.schema.field("read_id").type]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], schema[k]) for k in (0, 1)], names=["fill_id", "read_id"])
+
+    return rows.mapInArrow(fold, f"fill_id {kinds['fill_id']}, read_id {kinds['read_id']}")
 
 
 def departure_names(episodes: DataFrame, reads: DataFrame, used: DataFrame, slack_us: int = 3 * T.MINUTE) -> DataFrame:
     """episode_id, global_id: released, unnamed places named by the nearest read that no arrival used; matched first."""
-    open_ = episodes.filter(F.col("released_us").isNotNull() & F.col("global_id").isNull()).select("episode_id", "place", "released_us")
-    free = reads.join(used.select("read_id").distinct(), "read_id", "left_anti").select("place", "read_id", "read_us", "readings", "global_id")
-    met = rangejoin.overlapping(open_, free, ["place"], (F.col("released_us") - slack_us, F.col("released_us") + slack_us), (F.col("read_us"), F.col("read_us")), 2 * slack_us)
-    order = [F.col("global_id").isNull(), F.abs(F.col("read_us") - F.col("released_us")), F.col("readings").desc(), F.col("read_id")]
-    return ranked.best(met, ["episode_id"], order).select("episode_id", "global_id", "read_id")
+    open_ = episodes.filter(F.col("released_us").isNotNull() & F.col("global_id").isNull()).select("episode_id", "place", "released_us", F.explode(F.array(F.lit(0), F.lit(1))).alias("_none"))
+    free = reads.join(used.select("read_id").distinct(), "read_id", "left_anti")
+    tie = F.struct(F.col("readings").isNull().alias("no"), (-F.col("readings")).alias("most"), "read_id")
+    r = free.select("place", F.col("global_id").isNull().cast("int").alias("_none"), F.col("read_us").alias("_o"), tie.alias("_tie"), F.struct("global_id", "read_id").alias("_pay"))
+    met = rangejoin.closest(open_, r, ["place", "_none"], F.col("released_us"), slack_us, slack_us)
+    best = met.groupBy("episode_id").agg(F.min_by("_found._pay", F.struct("_none", "_found.gap_us", "_found._tie")).alias("_pay"))
+    return best.select("episode_id", "_pay.global_id", "_pay.read_id")
 
 
 def place_votes(verdicts: DataFrame) -> DataFrame:
@@ -113,9 +156,88 @@ def host_row(rows: DataFrame, feed: DataFrame, key: str, vehicle: Column) -> Dat
     return ranked.best(met, [key], [F.col("_s"), F.col("host")]).select(key, "host")
 
 
-def siblings(tracks: DataFrame, slack_us: int = 45 * T.SECOND, most: int = 4) -> DataFrame:
-    """track_id, sibling: vehicle tracks of other cameras near in time, the nearest few."""
-    o = tracks.select(F.col("track_id").alias("sibling"), F.col("camera_id").alias("_cam"), F.col("started_us").alias("_s"), F.col("ended_us").alias("_e"))
-    one = F.lit(1).alias("_k")
-    met = rangejoin.overlapping(tracks.select("*", one), o.select("*", one), ["_k"], (F.col("started_us") - slack_us, F.col("ended_us") + slack_us), (F.col("_s"), F.col("_e")), T.HOUR, F.col("camera_id") != F.col("_cam"))
-    return ranked.best(met, ["track_id"], [F.abs(F.col("_s") - F.col("started_us")), F.col("sibling")], most).select("track_id", "sibling")
+def siblings(tracks: DataFrame, slack_us: int = 45 * T.SECOND, most: int = 4, bucket_us: int = 6 * T.HOUR) -> DataFrame:
+    """track_id, sibling: vehicle tracks of other cameras near in time, the nearest few.
+
+    Each bucket of time is one walk through its tracks in order of start: the next few that start and the last few that
+    started and go on. A pair belongs to the bucket in which both have begun, so the few of all buckets hold the nearest few.
+    """
+    bucket = lambda t: F.floor(t / bucket_us).cast("long")
+    low, high = F.col("started_us") - slack_us, F.col("ended_us") + slack_us
+    rows = tracks.filter((low <= high) & F.col("camera_id").isNotNull()).select("track_id", "camera_id", "started_us", "ended_us", F.explode(F.sequence(bucket(low), bucket(high))).alias("_bucket"))
+    rows = rows.repartition("_bucket").sortWithinPartitions("_bucket", "started_us", "track_id")
+    kind = dict(tracks.dtypes)["track_id"]
+
+    def of_bucket(number: int, own: list[tuple]) -> Iterator[tuple]:
+        """(track, sibling, how far apart) of the tracks (start, id, end, camera), which are in order."""
+        begin, end = number * bucket_us, (number + 1) * bucket_us
+        going: list[tuple] = []  # started before the present row, in order of start, later ids first; those that ended go in bulk
+        ends: list[int] = []
+        ended, at = 0, 0
+        inside = next((i for i, x in enumerate(own) if x[0] >= begin), len(own))  # none before it starts in this bucket
+        for i, (start, track, until, camera) in enumerate(own):
+            first = start - slack_us
+            while own[at][0] < start:
+                stop = at
+                while stop < len(own) and own[stop][0] == own[at][0]:
+                    stop += 1
+                for x in reversed(own[at:stop]):
+                    going.append(x)
+                    heappush(ends, x[2])
+                at = stop
+            while ends and ends[0] < first:
+                heappop(ends)
+                ended += 1
+            if 2 * ended > len(going):
+                going, ended = [x for x in going if x[2] >= first], 0
+            found = 0
+            # what started before is met in this bucket only where this track, with its slack, begins here
+            if begin <= first < end:
+                for x in reversed(going):
+                    if first <= x[2] and x[0] < end and x[3] != camera:
+                        yield track, x[1], start - x[0]
+                        found += 1
+                        if found == most:
+                            break
+            elif first < begin <= start:  # but those that start here, after the slack began
+                for x in reversed(going):
+                    if x[0] < begin:
+                        break
+                    if first <= x[2] and x[0] < end and x[3] != camera:
+                        yield track, x[1], start - x[0]
+                        found += 1
+                        if found == most:
+                            break
+            found = 0
+            for x in _from(own, at if first >= begin else max(at, inside)):
+                if x[0] > until + slack_us or x[0] >= end or found == most:
+                    break
+                if x[3] != camera and x[2] >= first:
+                    yield track, x[1], x[0] - start
+                    found += 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, own = None, []
+
+        def told(rows: Iterator[tuple]) -> pa.RecordBatch:
+            got = list(rows)
+            kinds = (id_type, id_type, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate(kinds)], names=["track_id", "sibling", "apart"])
+
+        for batch in batches:
+            id_type = batch.schema.field("track_id").type
+            for x in zip(*(batch.column(c).to_pylist() for c in ("_bucket", "started_us", "track_id", "ended_us", "camera_id")), strict=True):
+                if x[0] != number:
+                    if own:
+                        yield told(of_bucket(number, own))
+                    number, own = x[0], []
+                own.append(x[1:])
+        if own:
+            yield told(of_bucket(number, own))
+
+    found = rows.mapInArrow(fold, f"track_id {kind}, sibling {kind}, apart long")
+    return ranked.best(found, ["track_id"], [F.col("apart"), F.col("sibling")], most).select("track_id", "sibling")
+
+
+def _from(items: list, at: int) -> Iterator:
+    return (items[i] for i in range(at, len(items)))
