@@ -11,9 +11,11 @@ handed on through its spots too, but only travel of one's own renews that knowle
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import OrderedDict
 from collections.abc import Mapping
 from dataclasses import dataclass
-from math import hypot
+from math import floor, frexp, hypot
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -73,16 +75,68 @@ def spread_of(points: list[list[float]], median: tuple[float, float]) -> float:
 
 
 class Scene(Fold):
-    """Tracks (`t/id`) and spots (`s/id` of the track that left them) of one camera."""
+    """Tracks (`t/id`) and spots (`s/id` of the track that left them) of one camera.
+
+    Beside the entries: names of each kind by when they were last seen, and spots by class, width and place, the oldest
+    first, so a row looks at few of them however many there are.
+    """
 
     def __init__(self, rules: Motion, entries: dict[str, Any] | None = None):
         super().__init__(entries)
         self.rules = rules
+        self.order: dict[str, OrderedDict[str, None]] = {"t": OrderedDict(), "s": OrderedDict()}
+        self.places: dict[tuple, list] = {}
+        for n in sorted(self.entries, key=lambda n: self.entries[n]["seen"]):
+            self.order[n[0]][n] = None
+            if n[0] == "s":
+                insort(self.places.setdefault(self._place(self.entries[n]), []), (self.entries[n]["first"], n))
+
+    def _touched(self, name: str) -> None:
+        self.order[name[0]].pop(name, None)
+        self.order[name[0]][name] = None
+
+    def _place(self, spot: dict) -> tuple:
+        """A cell is wider than the spots in it."""
+        width = spot["box"][2] - spot["box"][0]
+        level = frexp(width)[1] if width > 0 else None
+        return spot["class"], level, floor((spot["box"][0] + spot["box"][2]) / 2 / 2.0**level) if level is not None else 0
+
+    def _unplaced(self, name: str) -> None:
+        spot = self.entries[name]
+        own = self.places[key := self._place(spot)]
+        del own[bisect_left(own, (spot["first"], name))]
+        if not own:
+            del self.places[key]
+
+    def _gone(self, name: str) -> None:
+        if name[0] == "s":
+            self._unplaced(name)
+        del self.entries[name], self.order[name[0]][name]
+
+    def _lists(self, kind: str, box: list[float]) -> list[list]:
+        """The spots that can overlap the box enough: widths differ no more than by the overlap asked, and centres by their mean."""
+        least, width = self.rules.overlap, box[2] - box[0]
+        if least <= 0 or width <= 0:
+            return [own for key, own in self.places.items() if key[0] == kind] if least <= 0 else []
+        out, middle = [], (box[0] + box[2]) / 2
+        for level in range(frexp(width * least)[1] - 1, frexp(width / least)[1] + 2):
+            cell = 2.0**level
+            reach = (width + cell) / 2
+            out += [own for c in range(floor((middle - reach) / cell), floor((middle + reach) / cell) + 1) if (own := self.places.get((kind, level, c)))]
+        return out
+
+    def _fits(self, name: str, box: list[float], now: int) -> bool:
+        spot = self.entries[name]
+        return now - spot["seen"] <= self.rules.spot_us and overlap(box, spot["box"]) >= self.rules.overlap
 
     def _spots(self, kind: str, box: list[float], now: int) -> list[str]:
-        """Names of the living spots of that class under the box, the oldest first."""
-        found = [(s["first"], n) for n, s in self.entries.items() if n[0] == "s" and s["class"] == kind and now - s["seen"] <= self.rules.spot_us and overlap(box, s["box"]) >= self.rules.overlap]
-        return [n for _, n in sorted(found)]
+        """Names of the living spots of that class under the box."""
+        return [n for own in self._lists(kind, box) for _, n in own if self._fits(n, box, now)]
+
+    def _oldest(self, kind: str, box: list[float], now: int) -> str | None:
+        """The oldest of them."""
+        firsts = (next((x for x in own if self._fits(x[1], box, now)), None) for own in self._lists(kind, box))
+        return min((x for x in firsts if x), default=(None, None))[1]
 
     def _knows_travel(self, spot: dict | None, now: int) -> bool:
         return bool(spot and spot["travelled"] and now - spot["travelled"] < self.rules.moved_us)
@@ -91,7 +145,12 @@ class Scene(Fold):
         """A still sighting refreshes the spot of its track."""
         at, old = row["at_us"], self.entries.get("s" + name[1:])
         first = old["first"] if old else [at, row["detection_id"]]
-        self.entries["s" + name[1:]] = {"class": row["class_name"], "box": box, "since": track["since"], "seen": at, "travelled": track["travelled"], "first": first}
+        own = "s" + name[1:]
+        if old:
+            self._unplaced(own)
+        self.entries[own] = {"class": row["class_name"], "box": box, "since": track["since"], "seen": at, "travelled": track["travelled"], "first": first}
+        insort(self.places.setdefault(self._place(self.entries[own]), []), (first, own))
+        self._touched(own)
 
     def _began(self, row: dict, box: list[float], x: float, y: float, spot: dict | None) -> dict:
         at, known = row["at_us"], self._knows_travel(spot, row["at_us"])
@@ -133,8 +192,8 @@ class Scene(Fold):
         at, name = row["at_us"], f"t/{row['track_id']}"
         box = [float(row[c]) for c in ("x1", "y1", "x2", "y2")]
         x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-        under = self._spots(row["class_name"], box, at)
-        spot = self.entries[under[0]] if under else None
+        under = self._oldest(row["class_name"], box, at)
+        spot = self.entries[under] if under else None
         static = spot is not None and not self._knows_travel(spot, at)
         track = self.entries.get(name)
         if row.get("coasted"):  # a predicted box says nothing about movement
@@ -146,7 +205,9 @@ class Scene(Fold):
                 shown = track
                 if self._advanced(track, row, box, x, y):
                     for gone in {*self._spots(row["class_name"], box, at), "s" + name[1:]}:
-                        self.entries.pop(gone, None)
+                        if gone in self.entries:
+                            self._gone(gone)
+            self._touched(name)
             if shown["state"] != ACTIVE:
                 self._left(name, shown, row, box)
         return [(at, row["detection_id"], row["track_id"], shown["state"], shown["since"], shown["moved"], shown["arrived"], static)]
@@ -154,9 +215,10 @@ class Scene(Fold):
     def expire(self, now: int) -> list[tuple]:
         """Lost tracks and old spots go; nothing is said."""
         after = now + 1  # the next row's time at the earliest
-        for n, e in list(self.entries.items()):
-            if after - e["seen"] > (self.rules.lost_us if n[0] == "t" else self.rules.spot_us):
-                del self.entries[n]
+        for kind, life in (("t", self.rules.lost_us), ("s", self.rules.spot_us)):
+            own = self.order[kind]
+            while own and after - self.entries[first := next(iter(own))]["seen"] > life:
+                self._gone(first)
         return []
 
     def due(self) -> int | None:
