@@ -101,7 +101,9 @@ class Tracks(Fold):
         return t
 
     def take(self, row: dict[str, Any]) -> list[tuple]:
-        now, detections = row["at_us"], json.loads(row["detections"])
+        now, detections = row["at_us"], row["detections"]
+        if isinstance(detections, str):
+            detections = json.loads(detections)
         last = self.entries.get("frame")
         if last is not None and now - last > self.rules.outage_us:
             self.entries.clear()
@@ -133,6 +135,27 @@ class Tracks(Fold):
         return [(now, d["detection_id"], *names.get(i, (None, False))) for i, d in enumerate(detections)]
 
 
+class Frames(Tracks):
+    """The same over single detections: a frame is taken once its last one has come, so no row is as large as a frame."""
+
+    def __init__(self, rules: Association):
+        super().__init__(rules)
+        self.waiting: list[dict] = []
+        self.at = 0
+
+    def take(self, row: dict[str, Any]) -> list[tuple]:
+        look = row["look"]
+        self.at = row["at_us"]
+        self.waiting.append({"detection_id": row["detection_id"], "class_name": row["class_name"], "box": [float(x) for x in row["box"]], "look": None if look is None else [float(x) for x in look]})
+        return []
+
+    def expire(self, now: int) -> list[tuple]:
+        if not self.waiting or now < self.at:
+            return []
+        frame, self.waiting = self.waiting, []
+        return super().take({"at_us": self.at, "detections": frame})
+
+
 def _frames(detections: DataFrame) -> DataFrame:
     look = F.col("embedding") if "embedding" in detections.columns else F.lit(None).cast("array<double>")
     one = F.struct("detection_id", "class_name", F.array(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))).alias("box"), look.cast("array<double>").alias("look"))
@@ -153,7 +176,8 @@ def associated(detections: DataFrame, rules: Association = Association()) -> Dat
     regained marks the sighting by which a lost track's name came back. Matches go by the cheapest pair first,
     ties to the older track, then the smaller detection. A camera's frames are folded between outages.
     """
-    return folded(frames(detections), ["camera_id"], "at_us", "at_us", lambda key, entries: Tracks(rules, entries), OUT, rules.outage_us)
+    rows = _frames(detections).select("camera_id", "at_us", "_d.*")
+    return folded(rows, ["camera_id"], "at_us", "detection_id", lambda key, entries: Frames(rules), OUT, rules.outage_us)
 
 
 def stream_associated(frame_rows: DataFrame, rules: Association = Association(), late: str = "10 seconds") -> DataFrame:
