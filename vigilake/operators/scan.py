@@ -8,10 +8,14 @@ no step leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the lowest level, and how many such pieces a bucket may have. A bucket's number times this must stay an exact double.
+PIECE_ROWS, PIECES = 128, 1 << 20
+
+
 def _then(state: Column, move: Column) -> Column:
     return F.element_at(move, state + 1)
 
@@ -31,15 +35,20 @@ def scanned(rows: DataFrame, keys: list[str], at: str, tie: str, move: Column, s
     """`rows` with `name`: the state after each row, keys' rows taken in order of (at, tie), beginning with `begin`.
 
     `move` is an array of `states` ints: where the row leads from each state. width_us is the bucket of the first
-    level and should hold some hundred rows of a key; `fan` buckets make one of the second level, and a key's buckets of the
-    second level pass through one task. Null keys are a key of their own; a row without time or with a null in `move` is an error of the caller.
+    level; however many rows it holds, they are scanned in pieces of PIECE_ROWS, since a list grows by copying. `fan` buckets
+    make one of the second level, and a key's buckets of the second level pass through one task. Null keys are a key of their own; a row without time or with a null in `move` is an error of the caller.
     """
     marked = rows.withColumn("_bucket", F.floor(F.col(at) / width_us)).withColumn("_move", move.cast("array<int>"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(at, tie)) - 1
+    marked = marked.withColumn("_place", place).withColumn("_bucket", F.col("_bucket") * PIECES + F.floor(F.col("_place") / PIECE_ROWS)).drop("_place")
     order = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col("_move").alias("move"))
-    level = marked.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(order)).alias("_items"))
-    level = level.select(*keys, "_bucket", _composed(F.col("_items"), states).alias("move"))
-    wide = _lists(level, keys, fan).select(*keys, F.col("_above").alias("_bucket"), _composed(F.col("_items"), states).alias("move"))
+    piece = marked.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(order)).alias("_items"))
+    piece = piece.select(*keys, "_bucket", _composed(F.col("_items"), states).alias("move"))
+    above = lambda df, n: _lists(df, keys, n).select(*keys, F.col("_above").alias("_bucket"), _composed(F.col("_items"), states).alias("move"))
+    level = above(piece, PIECES)
+    wide = above(level, fan)
     starts = _starts(level, _starts(wide, None, keys, begin, None), keys, begin, fan)
+    starts = _starts(piece, starts, keys, begin, PIECES)
     item = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col("_move").alias("move"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
     held = marked.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(item), lambda a, b: _order(a, b)).alias("_items"))
     met = _with_start(held, starts, [*keys, "_bucket"])
