@@ -79,3 +79,13 @@ def test_quantiles_equal_sorted_lists(spark, pieces):
     assert {r._v: (r.a, r.b, r.c, r.d) for r in got.collect()} == want
     assert Q.nearest_rank(df.limit(0), ["_v"], "value", {"a": 0.5}).collect() == []
     assert Q.nearest_rank(df.filter(F.col("_v") == 1), ["_v"], "value", {"b": 0.5}).columns == ["_v", "b"]
+
+
+def test_pairs_measured_together():
+    import random
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("0OQB8AZ2S5") for _ in range(rng.randrange(0, 10)))
+    pairs = [(text(), text()) for _ in range(600)]
+    for partial in (False, True):
+        assert P.weighted_distances(pairs, partial).tolist() == [P.weighted_distance(a, b, partial) for a, b in pairs]

@@ -83,21 +83,35 @@ def weighted_distance(a: str, b: str, partial: bool) -> float:
     return float(row.min() if partial else row[-1])
 
 
+def weighted_distances(pairs: list[tuple[str, str]], partial: bool) -> np.ndarray:
+    """weighted_distance of each pair; pairs of the same lengths are measured together."""
+    out, alike = np.empty(len(pairs)), {}
+    for i, (a, b) in enumerate(pairs):
+        if not a or not b or (partial and len(a) < LEAST_PARTIAL):
+            out[i] = max(len(a), len(b))
+        else:
+            alike.setdefault((len(a), len(b)), []).append(i)
+    for (m, n), own in alike.items():
+        left, right = (np.frombuffer("".join(pairs[i][k] for i in own).encode("ascii"), np.uint8).reshape(len(own), -1) for k in (0, 1))
+        steps = np.arange(n + 1.0)
+        row = np.tile(np.zeros(n + 1) if partial else steps, (len(own), 1))
+        for i in range(m):
+            best = np.minimum(row[:, 1:] + 1, row[:, :-1] + _costs()[left[:, i, None], right])
+            first = np.full((len(own), 1), i + 1.0) if partial else row[:, :1] + 1
+            row = np.minimum.accumulate(np.concatenate([first, best], axis=1) - steps, axis=1) + steps
+        out[own] = row.min(axis=1) if partial else row[:, -1]
+    return out
+
+
 def distance(a: Column, b: Column, partial: bool = False) -> Column:
     """weighted_distance of two normalised text columns; null if one is null. Arrow batches; each distinct pair once."""
 
     @F.pandas_udf(DoubleType())
     def measured(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
-            memo: dict[tuple[str, str], float] = {}
-            out = []
-            for pair in zip(left, right, strict=True):
-                if pair[0] is None or pair[1] is None:
-                    out.append(None)
-                    continue
-                if pair not in memo:
-                    memo[pair] = weighted_distance(*pair, partial)
-                out.append(memo[pair])
-            yield pd.Series(out, dtype="float64")
+            pairs = list(zip(left, right, strict=True))
+            places = {p: None for p in pairs if p[0] is not None and p[1] is not None}
+            memo = dict(zip(places, weighted_distances(list(places), partial), strict=True))
+            yield pd.Series([memo.get(p) for p in pairs], dtype="float64")
 
     return measured(a, b)

@@ -52,6 +52,8 @@ def matched(readings: DataFrame, gallery: DataFrame, key: str, text: str, most:
     """
     texts = readings.select(P.normalised(F.col(text)).alias("_t")).filter(F.length("_t") > 0).distinct()
     known = gallery.select("global_id", P.normalised(F.col("plate")).alias("_g")).filter(F.length("_g") > 0)
+    # of the identities that share a plate only the first and one rival can matter
+    known = ranked.best(known.distinct(), ["_g"], [F.col("global_id")], 2)
     edits = max(math.floor(most + 1e-9), math.ceil(most + margin - 1e-9) - 1)
     near = candidates(texts, known.select("_g").distinct(), edits)
     short = F.length("_t") == P.LEAST_PARTIAL  # may lie anywhere in a longer plate
