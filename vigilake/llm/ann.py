@@ -204,8 +204,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 24,
             points = tree.project(x)
             qids = own.query_id.to_numpy()
             for i, at, scores, _ in search_leaf(tree, ids, x, points, matrix(own.v, width), qids, own.known.to_numpy(float), k, stop):
-                out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
+                out.append((np.full(len(at), qids[i]), ids[at], scores))  # a frame for each query would take far more memory than its rows
+        return pd.DataFrame({c: np.concatenate([x[n] for x in out]) for n, c in enumerate(("query_id", "vec_id", "score"))}) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
 
     def over(which: DataFrame) -> DataFrame:
         """A leaf goes to the parts of the queries that open it, and to no other."""
