@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import vectors as V
-from vigilake.operators import blockwise, identity
+from vigilake.operators import blockwise, identity, ranked
 from vigilake.streaming import live_identity as live
 
 TYPE = "i long, c string, m string, v array<double>"
@@ -39,6 +41,29 @@ def test_distances_are_those_of_the_formula(spark, monkeypatch):
         assert _rows(own) == _rows(_plain(spark, p, r, keys))
 
 
+def test_leaders_are_the_first_two_of_all_distances(spark, monkeypatch):
+    monkeypatch.setattr(blockwise, "LEADING_NUMBERS", 200)
+    p, r = spark.createDataFrame(_odd(160, 1), TYPE), spark.createDataFrame(_odd(170, 2), TYPE)
+    r = r.withColumn("c", F.concat("c", (F.crc32(F.concat_ws(",", "v")) % 3).cast("string")))  # a vector under one name and under several
+    r = r.union(r.filter("i % 4 = 0").withColumn("c", F.concat(F.lit("_"), "c")))
+    first = Window.partitionBy("i").orderBy("dist", "c")
+    for keys in ([], ["m"]):
+        got = identity.leaders(p, r, "i", "c", "v", *keys).withColumn("n", F.row_number().over(first)).filter("n <= 2")
+        want = _plain(spark, p, r, keys).filter("dist IS NOT NULL").withColumn("n", F.row_number().over(first)).filter("n <= 2")
+        assert _rows(got) == _rows(want) and want.count() > 100
+
+
+def test_a_block_answers_with_two_rows_a_probe(spark):
+    own, known = pa.table({"_a": [1, 2], "_v": [[1.0, 0.1], [0.1, 1.0]]}), pa.table({"_c": [f"g{k}" for k in range(50)], "_v": [[1.0, 0.02 * k] for k in range(50)]})
+    assert blockwise.leading(own, known, ["i", "c", "dist"]).select(["i", "c"]).to_pylist() == [{"i": 1, "c": "g5"}, {"i": 1, "c": "g6"}, {"i": 2, "c": "g49"}, {"i": 2, "c": "g48"}]
+    assert blockwise.leading(own.slice(0, 0), known, ["i", "c", "dist"]).num_rows == blockwise.leading(own, known.slice(0, 0), ["i", "c", "dist"]).num_rows == 0
+
+
+def test_a_candidate_without_a_distance_keeps_no_other_from_winning(spark):
+    rows = spark.createDataFrame([(1, "a", None), (1, "b", 0.1), (1, "c", 0.5), (2, "a", None)], "i long, c string, dist double")
+    assert [tuple(r) for r in ranked.margin_winners(rows, "i", "c", "dist", 0.8, 0.1).collect()] == [(1, "b", 0.1, 0.5)]
+
+
 def test_no_join_writes_the_pairs(spark):
     p = spark.createDataFrame(_odd(60, 1), TYPE)
     plan = identity.distances(p, p, "i", "c", "v", "m")._jdf.queryExecution().optimizedPlan().toString()

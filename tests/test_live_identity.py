@@ -171,6 +171,17 @@ def test_resweep_names_by_face_then_by_that_faces_body_and_no_further(spark):
     assert call(t.limit(0)).count() == 0 and call(t).columns == t.columns
 
 
+def test_resweep_measures_faces_once_and_evidence_without_length_counts_for_nothing(spark):
+    h = T.HOUR
+    t = spark.createDataFrame([(1, 1, 0, h, h, None, False, None, [0.0, 1.0])], "track_id long, camera_id long, class_id int, started_us long, ended_us long, global_id string, face_verified boolean, retain_until_us long, embedding array<double>")
+    faces = spark.createDataFrame([(1, [1.0, 0.1], "m")], "track_id long, embedding array<double>, model string")
+    evidence = spark.createDataFrame([("ana", [1.0, 0.0], "m"), ("zed", [0.0, 0.0], "m")], "global_id string, embedding array<double>, model string")
+    got = identity.reswept(t, faces, evidence, 2 * h, 2 * h, 0.3, 0.05, h, 0.1, 0.1, 0.01, 90)
+    assert [(r.global_id, r.face_verified) for r in got.collect()] == [("ana", True)]
+    plan = got._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("CoGroup") == plan.count("InMemoryRelation") == 3  # the same one, kept
+
+
 def test_bootstrap_is_that_of_the_same_weights_in_numpy(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["a", "b"]), rng.choice([0, 1, 1]), rng.choice([0, 0, 1, None])) for i in range(300)]

@@ -1,7 +1,7 @@
 """Cosine distances of two tables of vectors, block by block: Spark deals blocks of both sides, a task multiplies two of them.
 
-A product of matrices finds which pairs can count; those few are measured again term by term, so a distance
-does not depend on how the blocks fell and equal vectors are equally far.
+A product of matrices in single precision finds which pairs can count; those few are measured again term by term in
+double, so a distance does not depend on how the blocks fell and equal vectors are equally far.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Numbers of one block, pairs of one product, and distances that a block's answer may hold.
-BLOCK_NUMBERS, TILE_PAIRS, ANSWER_ROWS = 1_000_000, 1_000_000, 2_000_000
+BLOCK_NUMBERS, TILE_PAIRS, ANSWER_ROWS = 1_000_000, 4_000_000, 2_000_000
+#: Numbers of one block whose answer is two rows a left row: larger blocks, as each side is sent once for every block of the other.
+LEADING_NUMBERS = 2_000_000
 
 
 def _vectors(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,9 +45,9 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 
 def _unit(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Vectors of length 1; those whose length is of an odd magnitude become nan, so that each is measured."""
+    """Vectors of length 1, in single precision; those whose length is of an odd magnitude become nan, so that each is measured."""
     own = np.where((size > 1e-100) & (size < 1e100), size, np.nan)
-    return x / own[:, None]
+    return (x / own[:, None]).astype(np.float32)
 
 
 def _measured(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +89,17 @@ def _tiles(left: pa.Table, right: pa.Table, order: np.ndarray, wanted: Callable[
             u, v = _unit(x, na), np.ascontiguousarray(_unit(y, nb).T)
             step = max(1, TILE_PAIRS // len(bt))
             for first in range(0, len(at), step):
-                i, j = np.nonzero(wanted(1.0 - u[first : first + step] @ v, bt))
+                near = u[first : first + step] @ v
+                np.subtract(1, near, out=near)
+                i, j = np.divmod(np.flatnonzero(wanted(near, bt)), len(bt))
                 d, some = _measured(x, y, na, nb, i + first, j)
                 yield at[i[some] + first], bt[j[some]], d[some]
 
 
 def _slack(table: pa.Table) -> float:
-    """How far a near distance may be off."""
+    """How far two near distances together may be off: each by a rounding of 2**-24 for every term of a product and a few more."""
     longest = pc.max(pc.list_value_length(table.column("_v"))).as_py()
-    return 1e-14 * (64 + (longest or 0))
+    return 2.0**-22 * (16 + (longest or 0))
 
 
 def _coded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +137,42 @@ def least(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
     return pa.Table.from_arrays([left.column("_a").take(rows), right.column("_c").take(which), dist], names=names)
 
 
+def leading(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
+    """Each left row with the two candidates (`_c`) that come first by least distance, then by candidate; fewer where fewer have a distance.
+
+    The first two over all blocks are among the first two of some block: of the candidates before the second of all,
+    only the first of all can come before it in its block.
+    """
+    codes, some = _coded(right.column("_c"))
+    place = np.empty(len(some), np.int64)
+    place[pc.sort_indices(right.column("_c").take(some), null_placement="at_start").to_numpy()] = np.arange(len(some))
+    codes, of, slack = place[codes], np.empty(len(some), np.int64), _slack(right)
+    of[place] = some
+
+    def nearest(near: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = codes[at]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        low = np.fmin.reduceat(near, starts, axis=1)
+        most = low + np.float32(slack)
+        if len(starts) > 2:
+            most[low > np.partition(low, 1, axis=1)[:, 1:2] + np.float32(slack)] = -np.inf
+        return ~(near > np.repeat(most, np.diff(np.r_[starts, len(own)]), axis=1))
+
+    rows, which, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i, j, d in _tiles(left, right, np.argsort(codes, kind="stable"), nearest):
+        if not len(d):
+            continue
+        c = codes[j]
+        starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (c[1:] != c[:-1])])
+        i, c, d = i[starts], c[starts], np.fmin.reduceat(d, starts)
+        by = np.lexsort((c, d, i))
+        i, c, d = i[by], c[by], d[by]
+        first = np.r_[True, True, i[2:] != i[:-2]][: len(i)]
+        rows, which, dists = [*rows, i[first]], [*which, c[first]], [*dists, d[first]]
+    own = left.column("_a").take(np.concatenate(rows)), right.column("_c").take(of[np.concatenate(which)])
+    return pa.Table.from_arrays([*own, pa.array(np.concatenate(dists))], names=names)
+
+
 def records(left: pa.Table, right: pa.Table, names: list[str], most: float) -> pa.Table:
     """The pairs nearer than `most` that no other right row of the same `_c` and a `_from` as early beats in both blocks given.
 
@@ -157,16 +197,16 @@ def records(left: pa.Table, right: pa.Table, names: list[str], most: float) -> p
     return pa.Table.from_arrays([*own, pa.array(d)], names=names)
 
 
-def dealt(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callable[[pa.Table, pa.Table, list[str]], pa.Table], answers: str | None = None) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callable[[pa.Table, pa.Table, list[str]], pa.Table], answers: str | None = None, numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """`kernel` over each block of `left` with each of `right` within equal `keys`; its columns are both sides' but keys and `_v`, and dist.
 
-    A side's blocks hold about BLOCK_NUMBERS numbers, and there are enough pairs of blocks to fill the tasks. `answers` names a
+    A side's blocks hold about `numbers` numbers, and there are enough pairs of blocks to fill the tasks. `answers` names a
     right column when a left row has a distance for each of its values; blocks are the smaller then.
     """
     spark = left.sparkSession
     size = lambda df, *more: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("_v")), F.lit(1)).alias("w"), *more).first()
     a, b = size(left), size(right, *([F.approx_count_distinct(answers).alias("k")] if answers else []))
-    rows = max(1, BLOCK_NUMBERS // max(a.w, b.w, 1))
+    rows = max(1, numbers // max(a.w, b.w, 1))
     parts_b = max(1, -(-b.n // rows))
     least_rows = max(1, min(rows, ANSWER_ROWS // max(1, min(b.k, rows)))) if answers else rows
     tasks = 2 * spark.sparkContext.defaultParallelism
@@ -174,7 +214,7 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callable[[
     named = lambda df: df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in df.columns if c not in keys)).filter(F.expr(" AND ".join(["true", *(f"_k{i} IS NOT NULL" for i in range(len(keys)))])))
     place = lambda n, *c: F.pmod(F.xxhash64(*c, F.lit(31)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    on, width = [*(f"_k{i}" for i in range(len(keys))), "_pa", "_pb"], min(2000, max(tasks, 2 * parts_a * parts_b))
+    on, width = [*(f"_k{i}" for i in range(len(keys))), "_pa", "_pb"], min(2000, max(tasks, 4 * parts_a * parts_b))  # so that few tasks get two pairs of blocks
     own = named(left).withColumn("_pa", place(parts_a, *(c for c in left.columns if c not in keys))).withColumn("_pb", every(parts_b)).repartition(width, *on)
     other = named(right).withColumn("_pb", place(parts_b, *(c for c in right.columns if c not in keys))).withColumn("_pa", every(parts_a)).repartition(width, *on)
     fields = [f for df in (left, right) for f in df.schema.fields if f.name not in keys and f.name != "_v"]

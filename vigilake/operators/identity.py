@@ -24,6 +24,18 @@ def distances(probes: DataFrame, references: DataFrame, probe: str, candidate: s
     return met.groupBy(F.col("_a").alias(probe), F.col("_c").alias(candidate)).agg(F.min("dist").alias("dist"))
 
 
+def leaders(probes: DataFrame, references: DataFrame, probe: str, candidate: str, vector: str, model: str | None = None) -> DataFrame:
+    """probe, candidate, dist: of `distances` the first two candidates at least of each probe, by distance, then by candidate; none without a distance.
+
+    All that a winner with a margin needs; a block of references adds two rows a probe, however many candidates it holds.
+    """
+    keys = [model] if model else []
+    p = probes.select(F.col(probe).alias("_a"), *keys, F.col(vector).cast("array<double>").alias("_v")).distinct()
+    r = references.select(F.col(candidate).alias("_c"), *keys, F.col(vector).cast("array<double>").alias("_v")).distinct()
+    met = blockwise.dealt(p, r, keys, blockwise.leading, numbers=blockwise.LEADING_NUMBERS)
+    return met.groupBy(F.col("_a").alias(probe), F.col("_c").alias(candidate)).agg(F.min("dist").alias("dist"))
+
+
 def nearest(table: DataFrame, query: list[float], vector: str, key: str, k: int, most: float | None = None, extra: Column | None = None) -> DataFrame:
     """The k rows nearest to a query vector, exact: filtered first, then the top k."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -62,10 +74,13 @@ def classified(queries: DataFrame, prototypes: DataFrame, query: str, group: str
 
 def anchor_pairs(tracks: DataFrame, anchors: DataFrame, window_us: int, same_camera: float, other_camera: float) -> DataFrame:
     """`tracks` with _gid, dist: each anchor near in time and of the class's group that is nearer than the camera's threshold."""
-    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"))
-    pairs = rangejoin.overlapping(tracks, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
+    a = anchors.select(F.explode("class_ids").alias("class_id"), F.col("camera_id").alias("_cam"), F.col("global_id").alias("_gid"), F.col("at_us").alias("_at"), F.col("embedding").alias("_v"), V.norm(F.col("embedding")).alias("_vn"))
+    sized = tracks.withColumn("_tn", V.norm(F.col("embedding")))
+    pairs = rangejoin.overlapping(sized, a, ["class_id"], (F.col("started_us") - window_us, F.col("ended_us") + window_us), (F.col("_at"), F.col("_at")), max(2 * window_us, 1))
     most = F.when(F.col("camera_id") == F.col("_cam"), same_camera).otherwise(other_camera)
-    near = pairs.withColumn("dist", V.cosine_distance(F.col("embedding"), F.col("_v"))).withColumn("_most", most).filter("dist < _most")
+    size = F.col("_tn") * F.col("_vn")
+    dist = F.lit(1.0) - V.dot(F.col("embedding"), F.col("_v")) / F.when(size > 0, size)
+    near = pairs.withColumn("dist", dist).withColumn("_most", most).filter("dist < _most")
     return near.select(*tracks.columns, "_gid", "dist")
 
 
@@ -248,8 +263,8 @@ def late_named(tracks: DataFrame, won: DataFrame, days: int) -> DataFrame:
 
 def renamed_by_body(tracks: DataFrame, won: DataFrame, days: int) -> DataFrame:
     """Anonymous tracks named by an anchor's body (track_id, global_id): kept as the named are, but no face was seen, so they anchor nothing."""
-    seen = tracks.select("track_id", F.col("face_verified").alias("_face"))
-    return late_named(tracks, won, days).join(seen, "track_id").withColumn("face_verified", F.col("_face")).select(tracks.columns)
+    seen = tracks.withColumn("_face", F.col("face_verified"))
+    return late_named(seen, won, days).withColumn("face_verified", F.col("_face")).select(tracks.columns)
 
 
 def reswept(tracks: DataFrame, faces: DataFrame, evidence: DataFrame, now_us: int, window_us: int, most: float, margin: float, near_us: int, same_camera: float, other_camera: float, body_margin: float, days: int) -> DataFrame:
@@ -262,8 +277,8 @@ def reswept(tracks: DataFrame, faces: DataFrame, evidence: DataFrame, now_us: in
     """
     recent = lambda df: df.filter(F.col("global_id").isNull() & (F.col("started_us") > now_us - window_us) & F.col("class_id").isNotNull())
     probes = faces.join(recent(tracks).select("track_id"), "track_id", "left_semi").filter(F.col("embedding").isNotNull())
-    near = distances(probes, evidence.filter(F.col("embedding").isNotNull()), "track_id", "global_id", "embedding", "model")
-    by_face = ranked.margin_winners(near, "track_id", "global_id", "dist", most, margin)
+    near = leaders(probes, evidence.filter(F.col("embedding").isNotNull()), "track_id", "global_id", "embedding", "model")
+    by_face = ranked.margin_winners(near, "track_id", "global_id", "dist", most, margin).select("track_id", "global_id").persist()  # small, and asked three times
     known = late_named(tracks, by_face, days)
     verified = known.filter(F.coalesce("face_verified", F.lit(False)) & F.col("global_id").isNotNull() & F.col("embedding").isNotNull())
     anchors = verified.select(F.array("class_id").alias("class_ids"), "camera_id", "global_id", F.explode(F.array_distinct(F.array("started_us", "ended_us"))).alias("at_us"), "embedding")

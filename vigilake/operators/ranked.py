@@ -15,9 +15,10 @@ def best(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> Dat
 def margin_winners(distances: DataFrame, probe: str, candidate: str, distance: str, most: float, margin: float) -> DataFrame:
     """probe, candidate, distance, rival: the nearest candidate by its least distance.
 
-    It wins only when nearer than `most` and at least `margin` nearer than the next candidate.
+    It wins only when nearer than `most` and at least `margin` nearer than the next candidate. A candidate without
+    a distance is none.
     """
-    least = distances.groupBy(probe, candidate).agg(F.min(distance).alias("distance"))
+    least = distances.groupBy(probe, candidate).agg(F.min(distance).alias("distance")).filter(F.col("distance").isNotNull())
     by = Window.partitionBy(probe).orderBy("distance", candidate)
     seen = least.withColumn("rival", F.lead("distance").over(by)).withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
     return seen.filter((F.col("distance") < most) & (F.col("rival").isNull() | (F.col("rival") - F.col("distance") >= margin)))

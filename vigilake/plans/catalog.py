@@ -458,7 +458,11 @@ def min_over_references(t: Lake) -> DataFrame:
 
 @query("rival_margin", MIN_REF + ", r AS (SELECT *, lead(d) OVER (PARTITION BY vec_id ORDER BY d, label) AS rival, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS n FROM m) SELECT vec_id, label, round(d, 4) AS distance, round(rival, 4) AS rival FROM r WHERE n = 1 AND d < 0.9 AND (rival IS NULL OR rival - d >= 0.02)")
 def rival_margin(t: Lake) -> DataFrame:
-    won = ranked.margin_winners(_dists(t), "vec_id", "label", "dist", 0.9, 0.02)
+    from ..operators import identity
+
+    v = t.vectors()
+    near = identity.leaders(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 2 = 0"), "vec_id", "label", "v")
+    won = ranked.margin_winners(near, "vec_id", "label", "dist", 0.9, 0.02)
     return won.select("vec_id", "label", F.round("distance", 4).alias("distance"), F.round("rival", 4).alias("rival"))
 
 
