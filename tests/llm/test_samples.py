@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from vigilake.llm import byte_bpe, language_id, packing, toxicity, url_filter
@@ -60,3 +61,29 @@ def test_urls_repeat_and_may_be_very_long(spark):
     assert got[3].rule == "example.org/" and len(got[3].path) == 200_001
     assert [(got[i].host, got[i].path, got[i].rule) for i in (4, 5, 6)] == [("", "", None)] * 3
     assert (got[7].host, got[7].path, got[7].rule) == ("a.example.com", "/en/71", "example.com/en/7")
+
+
+def test_url_models_count_all_urls_and_the_threshold_is_the_best_of_all(spark):
+    """More URLs of a kind than any sample held."""
+    n = 26_000
+    rows = spark.range(2 * n).select(F.concat(F.when(F.col("id") < n, "http://a.example/").otherwise("http://b.example/"), F.hex((F.col("id") * 7919 % 100_003).cast("long"))).alias("url"), (F.col("id") < n).alias("accepted"))
+    rows = rows.union(rows.limit(500))  # copies count once
+    model = url_filter.fit(rows, bits=12)
+    known = rows.distinct().withColumn("held", url_filter.held_url(F.col("url"))).collect()
+    for kind, own in ((True, model.accepted), (False, model.rejected)):
+        want = url_filter.Markov.fit([r.url.encode() for r in known if r.accepted == kind and not r.held], bits=12)
+        assert (own.context == want.context).all() and (own.following == want.following).all()
+    held = [r for r in known if r.held]
+    scores = model.score([r.url.encode() for r in held])
+    good, bad = (np.sort(scores[[r.accepted == k for r in held]]) for k in (True, False))
+    wrong = lambda cut: np.searchsorted(good, cut) / len(good) + 1 - np.searchsorted(bad, cut) / len(bad)
+    assert wrong(model.threshold) <= wrong(np.unique(scores)).min() + 1e-12
+
+
+def test_the_cut_is_exact_over_buckets(spark):
+    rng = np.random.default_rng(4)
+    for spread in (3.0, 0.0001):
+        rows = [(float(round(rng.normal(k * spread, spread) * 50 / spread) / 50 * spread), bool(k)) for k in (0, 1) for _ in range(400)]
+        cut = url_filter.best_cut(spark.createDataFrame(rows, "score double, accepted boolean").repartition(3))
+        wrong = lambda c: sum(x < c for x, k in rows if k) + sum(x >= c for x, k in rows if not k)
+        assert wrong(cut) == min(wrong(c) for c in {x for x, _ in rows} | {1e9})
