@@ -6,8 +6,10 @@ a bounded sample, deals all vectors to its leaves. In a leaf a query takes its p
 neighbours a few at a time in ascending projected distance and verifies each by its true
 score. It stops when the next projected distance is so large that a vector nearer than the
 k-th best found so far would lie beyond it with probability 1 - confidence at most. The home
-leaf comes first; its k-th best then tells which other leaves the test leaves open, and those
-are walked in parallel, each from that bound on.
+leaf comes first; its k-th best then tells which other leaves the test leaves open. Neighbouring
+leaves form a group that one task walks, carrying a query's k-th best from leaf to leaf: the home
+group first, then the others in parallel, each from the home group's bound on. So a query
+travels once for each group it opens, not for each leaf, and a group answers with k rows at most.
 
 The largest inner product is the smallest distance once every vector is lengthened by a
 coordinate that brings it to the largest norm; a query's own added coordinate is 0.
@@ -30,6 +32,8 @@ from .common import bounded_sample, stored
 SCHEMA = "query_id long, vec_id long, score double"
 #: Vectors that the tree is fitted to at most, in expectation, and their numbers; every vector is indexed.
 SAMPLE, SAMPLE_CELLS = 16_384, 4_000_000
+#: Numbers of a group's vectors and of a part of the queries, about, that a task holds; groups that there are where leaves suffice.
+GROUP_CELLS, PART_CELLS, GROUPS = 2_097_152, 1_048_576, 64
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -71,9 +75,9 @@ class Tree:
             node = 2 * node + 1 + right
         return node - inner
 
-    def gap2(self, point: np.ndarray) -> np.ndarray:
-        """Squared distances to all cells."""
-        d = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+    def gap2(self, points: np.ndarray, leaf: int) -> np.ndarray:
+        """Squared distances to a leaf's cell."""
+        d = np.maximum(np.maximum(self.low[leaf] - points, points - self.high[leaf]), 0)
         return (d * d).sum(axis=1)
 
 
@@ -152,6 +156,50 @@ def search_leaf(tree: Tree, ids: np.ndarray, rows: np.ndarray, points: np.ndarra
             yield first + i, places[top], scores[top], n
 
 
+def reach(tree: Tree, q2: np.ndarray, known: np.ndarray, stop: float) -> np.ndarray:
+    """The squared distance beyond which the test shuts out a cell, for queries of squared norms q2."""
+    return stop * np.maximum(0, q2 + tree.norm2 - 2 * known) * (1 + 1e-9) + 1e-12
+
+
+def search_group(tree: Tree, leaves: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, home: np.ndarray, k: int, stop: float, width: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query, places, scores, how many it verified): for each query its k best among the leaves of a group.
+
+    `leaves` has the leaf of each row, `home` that of each query, which it walks first if it lies here. The k-th best
+    so far goes from leaf to leaf.
+    """
+    points = tree.project(rows)
+    parts = [(n, at, ids[at], rows[at], points[at]) for n in np.unique(leaves) for at in [np.flatnonzero(leaves == n)]]
+    for first in range(0, len(queries), width):
+        some = slice(first, first + width)
+        q, bound, homes = queries[some], known[some].astype(float), home[some]
+        at, q2, verified = tree.project(q, query=True), (q * q).sum(axis=1), np.zeros(len(q), np.int64)
+        found = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+        for at_home in (True, False):
+            for n, places, *leaf in parts:
+                walks = homes == n if at_home else (homes != n) & (tree.gap2(at, n) <= reach(tree, q2, bound, stop))
+                who = np.flatnonzero(walks)
+                for j, met, scores, count in search_leaf(tree, *leaf, q[who], own[some][who], bound[who], k, stop, width):
+                    i = who[j]
+                    verified[i] += count
+                    met, scores = np.concatenate([found[i][0], places[met]]), np.concatenate([found[i][1], scores])
+                    top = best(scores, ids[met], k)
+                    found[i] = met[top], scores[top]
+                    if len(top) == k:
+                        bound[i] = max(bound[i], scores[top[-1]])
+        for i, answer in enumerate(found):
+            yield first + i, *answer, int(verified[i])
+
+
+def open_groups(tree: Tree, queries: np.ndarray, known: np.ndarray, home: np.ndarray, group: int, stop: float) -> list[np.ndarray]:
+    """For each query the groups of `group` leaves each, but its home's, in which the test leaves a leaf open."""
+    points = tree.project(queries, query=True)
+    far = reach(tree, (queries * queries).sum(axis=1), known, stop)
+    open_leaves = np.stack([tree.gap2(points, n) <= far for n in range(len(tree.low))], axis=1)
+    of_groups = np.logical_or.reduceat(open_leaves, np.arange(0, len(tree.low), group), axis=1)
+    of_groups[np.arange(len(queries)), home // group] = False
+    return [np.flatnonzero(x).astype("int32") for x in of_groups]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 24, confidence: float = 0.85, leaf_rows: int = 2048, query_rows: int = 32_768, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: nearest other rows of each query by inner product, best first.
 
@@ -173,7 +221,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 24,
     tree = grow(matrix([r.v for r in chosen], width), projection, shape.norm2, depth)
     leaves = 1 << depth
     subs = max(1, -(-shape.n // (leaves * leaf_rows * 4)))
-    parts = max(1, -(-asked.count() // query_rows))
+    group = max(1, min(leaves // GROUPS, GROUP_CELLS * leaves * subs // (shape.n * width)))
+    nothing = F.lit(float("-inf"))
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -184,43 +233,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 24,
             yield f.assign(leaf=tree.leaf(tree.project(matrix(f.v, width), query=True)).astype("int32") if len(f) else np.zeros(0, "int32"))
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each further leaf that the test leaves open."""
+        """A row for each query, however many groups it opens: Spark deals it out."""
         for f in frames:
-            q = matrix(f.v, width)
-            points = tree.project(q, query=True)
-            reach = stop * np.maximum(0, (q * q).sum(axis=1) + tree.norm2 - 2 * f.known.to_numpy())
-            open_leaves = [np.flatnonzero(tree.gap2(p) <= r * (1 + 1e-9) + 1e-12) for p, r in zip(points, reach, strict=True)]
-            lists = [x[x != h].astype("int32") for x, h in zip(open_leaves, f.leaf, strict=True)]
-            rows = np.repeat(np.arange(len(f)), [len(x) for x in lists])
-            yield f.iloc[rows].assign(leaf=np.concatenate(lists) if len(rows) else np.zeros(0, "int32"))
-
-    data = first_copies(clean, k + 1).mapInPandas(placed, "vec_id long, v array<double>, leaf int")
-    data = data.withColumn("sub", block_of(subs, "vec_id"))
+            for first in range(0, len(f), 1024):
+                own = f.iloc[first : first + 1024]
+                yield own.assign(groups=open_groups(tree, matrix(own.v, width), own.known.to_numpy(float), own.leaf.to_numpy(), group, stop))
 
     def searched(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(rows):
-            ids, x = rows.vec_id.to_numpy(), matrix(rows.v, width)
-            points = tree.project(x)
-            qids = own.query_id.to_numpy()
-            for i, at, scores, _ in search_leaf(tree, ids, x, points, matrix(own.v, width), qids, own.known.to_numpy(float), k, stop):
+            ids, qids = rows.vec_id.to_numpy(), own.query_id.to_numpy()
+            for i, at, scores, _ in search_group(tree, rows.leaf.to_numpy(), ids, matrix(rows.v, width), matrix(own.v, width), qids, own.known.to_numpy(float), own.leaf.to_numpy(), k, stop):
                 out.append((np.full(len(at), qids[i]), ids[at], scores))  # a frame for each query would take far more memory than its rows
         return pd.DataFrame({c: np.concatenate([x[n] for x in out]) for n, c in enumerate(("query_id", "vec_id", "score"))}) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
 
+    data = first_copies(clean, k + 1).mapInPandas(placed, "vec_id long, v array<double>, leaf int")
+    data = data.withColumn("sub", block_of(subs, "vec_id")).withColumn("group", F.floor(F.col("leaf") / group).cast("int"))
+    at_home = stored(asked.mapInPandas(home, "query_id long, v array<double>, leaf int"))
+    parts = max(1, -(-at_home.count() // max(1, min(query_rows, PART_CELLS // width))))
+
     def over(which: DataFrame) -> DataFrame:
-        """A leaf goes to the parts of the queries that open it, and to no other."""
+        """A group of leaves goes to the parts of the queries that open it, and to no other."""
         dealt = which.withColumn("part", block_of(parts, "query_id"))
-        met = data.join(dealt.groupBy("leaf").agg(F.collect_set("part").alias("_parts")), "leaf").withColumn("part", F.explode("_parts")).drop("_parts")
-        keys = ["leaf", "sub", "part"]
+        met = data.join(dealt.groupBy("group").agg(F.collect_set("part").alias("_parts")), "group").withColumn("part", F.explode("_parts")).drop("_parts")
+        keys = ["group", "sub", "part"]
         return dealt.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))).groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(searched, SCHEMA)
 
-    nothing = F.lit(float("-inf"))
-    columns = "query_id long, v array<double>, known double, leaf int"
-    at_home = asked.withColumn("known", nothing).withColumn("leaf", F.lit(0)).mapInPandas(home, columns)
-    first = over(at_home)
-    bound = ranked(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(nothing).alias("known"))
-    rest = at_home.drop("known").join(bound, "query_id", "left").select("query_id", "v", F.coalesce("known", nothing).alias("known"), "leaf").mapInPandas(routed, columns)
-    return ranked(first.unionByName(over(rest)), k)
+    in_home = over(at_home.withColumn("known", nothing).withColumn("group", F.floor(F.col("leaf") / group).cast("int")))
+    first = stored(ranked(in_home, k))
+    bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(nothing).alias("known"))
+    rest = at_home.join(bound, "query_id", "left").select("query_id", "v", "leaf", F.coalesce("known", nothing).alias("known"))
+    rest = stored(rest.mapInPandas(routed, "query_id long, v array<double>, leaf int, known double, groups array<int>"))
+    elsewhere = over(rest.select("query_id", "v", "known", "leaf", F.explode("groups").alias("group")))
+    return ranked(first.drop("rank").unionByName(elsewhere), k)
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:
