@@ -15,7 +15,7 @@ from bisect import bisect_left, insort
 from collections import OrderedDict
 from collections.abc import Mapping
 from dataclasses import dataclass
-from math import floor, frexp, hypot
+from math import floor, frexp, hypot, inf
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -26,6 +26,9 @@ from .ordered import Fold, folded, streamed
 ACTIVE, STATIONARY, PARKED = "active", "stationary", "parked"
 OUT = "camera_id long, at_us long, detection_id long, track_id long, motion_state string, since_us long, moved boolean, arrived boolean, on_static_spot boolean"
 
+#: Cells of spots in a power of two that is no less than their width or height; a share of overlap that rounding never reaches.
+CELLS, ROUNDING = 16, 1e-9
+
 
 @dataclass(frozen=True)
 class Motion:
@@ -58,10 +61,6 @@ def overlap(a: list[float], b: list[float]) -> float:
     return w * h / both if both > 0 else 0.0
 
 
-def upper_median(values: list[float]) -> float:
-    return sorted(values)[len(values) // 2]
-
-
 def spread_of(points: list[list[float]], median: tuple[float, float]) -> float:
     """Diagonal of the points' extent; of five or more, without the one farthest from the median where that is less."""
 
@@ -74,49 +73,90 @@ def spread_of(points: list[list[float]], median: tuple[float, float]) -> float:
     return min(diagonal(points), diagonal(points[:stray] + points[stray + 1 :]))
 
 
+def still(points: list[list[float]], xs: list[float], ys: list[float], median: tuple[float, float], radius: float) -> bool:
+    """True where `spread_of` is no more than the radius; points are gone through only where leaving one out may decide."""
+    if hypot(xs[-1] - xs[0], ys[-1] - ys[0]) <= radius:
+        return True
+    if len(points) < 5 or hypot(min(xs[-2] - xs[0], xs[-1] - xs[1]), min(ys[-2] - ys[0], ys[-1] - ys[1])) > radius * (1 + ROUNDING):
+        return False
+    return spread_of(points, median) <= radius
+
+
+def _place(kind: str, box: list[float]) -> tuple:
+    """(class, width's power of two, place) and the cell there: coordinates in sixteenths of the width's and height's powers.
+
+    A place is wider than the spots in it. Without a finite extent there is no cell, or no place either.
+    """
+    width, height = box[2] - box[0], box[3] - box[1]
+    if not 0 < width < inf:
+        return (kind, None, 0), None
+    level = frexp(width)[1]
+    key = kind, level, floor((box[0] + box[2]) / 2 / 2.0**level)
+    if not 0 < height < inf:
+        return key, None
+    x, y = 2.0**level / CELLS, 2.0 ** (tall := frexp(height)[1]) / CELLS
+    return key, (tall, floor(box[0] / x), floor(box[2] / x), floor(box[1] / y), floor(box[3] / y))
+
+
+def _bounds(key: tuple, cell: tuple | None) -> tuple | None:
+    """Least and greatest x1, x2, y1 and y2 of a cell's boxes, and of their areas."""
+    if cell is None:
+        return None
+    x, y = 2.0 ** key[1] / CELLS, 2.0 ** cell[0] / CELLS
+    a, b, c, d = cell[1] * x, cell[2] * x, cell[3] * y, cell[4] * y
+    return a, a + x, b, b + x, c, c + y, d, d + y, max(0.0, b - a - x) * max(0.0, d - c - y), (b + x - a) * (d + y - c)
+
+
 class Scene(Fold):
     """Tracks (`t/id`) and spots (`s/id` of the track that left them) of one camera.
 
-    Beside the entries: names of each kind by when they were last seen, and spots by class, width and place, the oldest
-    first, so a row looks at few of them however many there are.
+    Beside the entries: names of each kind by when they were last seen, a window's coordinates in order, and spots by class, width and place, and there in
+    cells of nearly equal boxes, the oldest first. Of most cells all or no boxes fit a row's box, which the cell's bounds
+    tell, so a row looks at few spots however many there are.
     """
 
     def __init__(self, rules: Motion, entries: dict[str, Any] | None = None):
         super().__init__(entries)
         self.rules = rules
         self.order: dict[str, OrderedDict[str, None]] = {"t": OrderedDict(), "s": OrderedDict()}
-        self.places: dict[tuple, list] = {}
+        self.places: dict[tuple, dict[tuple | None, list]] = {}
+        self.where: dict[str, tuple] = {}
+        self.ascending: dict[str, tuple[list[float], list[float]]] = {}
         for n in sorted(self.entries, key=lambda n: self.entries[n]["seen"]):
             self.order[n[0]][n] = None
             if n[0] == "s":
-                insort(self.places.setdefault(self._place(self.entries[n]), []), (self.entries[n]["first"], n))
+                self._placed(n, _place(self.entries[n]["class"], self.entries[n]["box"]))
 
     def _touched(self, name: str) -> None:
         self.order[name[0]].pop(name, None)
         self.order[name[0]][name] = None
 
-    def _place(self, spot: dict) -> tuple:
-        """A cell is wider than the spots in it."""
-        width = spot["box"][2] - spot["box"][0]
-        level = frexp(width)[1] if width > 0 else None
-        return spot["class"], level, floor((spot["box"][0] + spot["box"][2]) / 2 / 2.0**level) if level is not None else 0
+    def _placed(self, name: str, place: tuple) -> None:
+        self.where[name] = place
+        cells = self.places.setdefault(place[0], {})
+        if place[1] not in cells:
+            cells[place[1]] = [_bounds(*place), []]
+        insort(cells[place[1]][1], (self.entries[name]["first"], name))
 
     def _unplaced(self, name: str) -> None:
-        spot = self.entries[name]
-        own = self.places[key := self._place(spot)]
-        del own[bisect_left(own, (spot["first"], name))]
+        key, cell = self.where.pop(name)
+        own = (cells := self.places[key])[cell][1]
+        del own[bisect_left(own, (self.entries[name]["first"], name))]
         if not own:
+            del cells[cell]
+        if not cells:
             del self.places[key]
 
     def _gone(self, name: str) -> None:
         if name[0] == "s":
             self._unplaced(name)
+        self.ascending.pop(name, None)
         del self.entries[name], self.order[name[0]][name]
 
-    def _lists(self, kind: str, box: list[float]) -> list[list]:
-        """The spots that can overlap the box enough: widths differ no more than by the overlap asked, and centres by their mean."""
+    def _lists(self, kind: str, box: list[float]) -> list[dict]:
+        """The cells of spots that can overlap the box enough: widths differ no more than by the overlap asked, and centres by their mean."""
         least, width = self.rules.overlap, box[2] - box[0]
-        if least <= 0 or width <= 0:
+        if least <= 0 or not 0 < width < inf:
             return [own for key, own in self.places.items() if key[0] == kind] if least <= 0 else []
         out, middle = [], (box[0] + box[2]) / 2
         for level in range(frexp(width * least)[1] - 1, frexp(width / least)[1] + 2):
@@ -125,18 +165,54 @@ class Scene(Fold):
             out += [own for c in range(floor((middle - reach) / cell), floor((middle + reach) / cell) + 1) if (own := self.places.get((kind, level, c)))]
         return out
 
+    def _cells(self, kind: str, box: list[float]) -> tuple[list[list], list[list]]:
+        """Spots in cells whose boxes all overlap the box enough, and those in cells where each has to be measured."""
+        sure, open_ = [], []
+        least, (x1, y1, x2, y2) = self.rules.overlap, box
+        low, high, area = least - ROUNDING, least + ROUNDING, (x2 - x1) * (y2 - y1)
+        for cells in self._lists(kind, box):
+            for bounds, spots in cells.values():
+                if bounds is None or least <= 0:
+                    open_.append(spots)
+                    continue
+                a, a_in, b_in, b, c, c_in, d_in, d, smallest, largest = bounds
+                w, h = (x2 if x2 < b else b) - (x1 if x1 > a else a), (y2 if y2 < d else d) - (y1 if y1 > c else c)
+                if w <= 0 or h <= 0 or w * h < low * (area + smallest - w * h):
+                    continue
+                w, h = (x2 if x2 < b_in else b_in) - (x1 if x1 > a_in else a_in), (y2 if y2 < d_in else d_in) - (y1 if y1 > c_in else c_in)
+                (sure if w > 0 and h > 0 and w * h >= high * (area + largest - w * h) else open_).append(spots)
+        return sure, open_
+
+    def _lives(self, name: str, now: int) -> bool:
+        return now - self.entries[name]["seen"] <= self.rules.spot_us
+
     def _fits(self, name: str, box: list[float], now: int) -> bool:
-        spot = self.entries[name]
-        return now - spot["seen"] <= self.rules.spot_us and overlap(box, spot["box"]) >= self.rules.overlap
+        return self._lives(name, now) and overlap(box, self.entries[name]["box"]) >= self.rules.overlap
 
     def _spots(self, kind: str, box: list[float], now: int) -> list[str]:
         """Names of the living spots of that class under the box."""
-        return [n for own in self._lists(kind, box) for _, n in own if self._fits(n, box, now)]
+        sure, open_ = self._cells(kind, box)
+        return [n for own in sure for _, n in own if self._lives(n, now)] + [n for own in open_ for _, n in own if self._fits(n, box, now)]
 
     def _oldest(self, kind: str, box: list[float], now: int) -> str | None:
-        """The oldest of them."""
-        firsts = (next((x for x in own if self._fits(x[1], box, now)), None) for own in self._lists(kind, box))
-        return min((x for x in firsts if x), default=(None, None))[1]
+        """The oldest of them; what is measured has to be older than what is sure."""
+        sure, open_ = self._cells(kind, box)
+        oldest = None
+        for own in sure:
+            for x in own:
+                if oldest is not None and x >= oldest:
+                    break
+                if self._lives(x[1], now):
+                    oldest = x
+                    break
+        for own in open_:
+            for x in own:
+                if oldest is not None and x >= oldest:
+                    break
+                if self._fits(x[1], box, now):
+                    oldest = x
+                    break
+        return oldest[1] if oldest else None
 
     def _knows_travel(self, spot: dict | None, now: int) -> bool:
         return bool(spot and spot["travelled"] and now - spot["travelled"] < self.rules.moved_us)
@@ -145,11 +221,13 @@ class Scene(Fold):
         """A still sighting refreshes the spot of its track."""
         at, old = row["at_us"], self.entries.get("s" + name[1:])
         first = old["first"] if old else [at, row["detection_id"]]
-        own = "s" + name[1:]
-        if old:
+        own, place = "s" + name[1:], _place(row["class_name"], box)
+        stays = bool(old) and self.where[own] == place
+        if old and not stays:
             self._unplaced(own)
         self.entries[own] = {"class": row["class_name"], "box": box, "since": track["since"], "seen": at, "travelled": track["travelled"], "first": first}
-        insort(self.places.setdefault(self._place(self.entries[own]), []), (first, own))
+        if not stays:
+            self._placed(own, place)
         self._touched(own)
 
     def _began(self, row: dict, box: list[float], x: float, y: float, spot: dict | None) -> dict:
@@ -159,7 +237,21 @@ class Scene(Fold):
             "moved": known, "arrived": known, "travelled": spot["travelled"] if spot else 0,
         }
 
-    def _advanced(self, track: dict, row: dict, box: list[float], x: float, y: float) -> bool:
+    def _window(self, name: str, track: dict, at: int, x: float, y: float) -> tuple[list, list[float], list[float]]:
+        """The track's points with the new one, without those before the window, and their x and y in ascending order."""
+        points = track["points"]
+        xs, ys = self.ascending.get(name) or self.ascending.setdefault(name, (sorted(p[1] for p in points), sorted(p[2] for p in points)))
+        points.append([at, x, y])
+        insort(xs, x)
+        insort(ys, y)
+        if len(points) > 2:  # two points stay, however old
+            old = bisect_left(points, [at - self.rules.window_us])
+            for _, past_x, past_y in points[:old]:
+                del xs[bisect_left(xs, past_x)], ys[bisect_left(ys, past_y)]
+            del points[:old]
+        return points, xs, ys
+
+    def _advanced(self, name: str, track: dict, row: dict, box: list[float], x: float, y: float) -> bool:
         """Take the sighting into the track; true where it leaves a stillness."""
         rules, at, size = self.rules, row["at_us"], hypot(box[2] - box[0], box[3] - box[1])
         track["seen"] = at
@@ -169,17 +261,14 @@ class Scene(Fold):
         track["arrived"] |= way >= rules.arrived_share * size
         if way >= rules.moved_share * size:
             track["moved"], track["travelled"] = True, at
-        points = [*track["points"], [at, x, y]]
-        if len(points) > 2:  # two points stay, however old
-            points = [p for p in points[:-1] if p[0] >= at - rules.window_us] + points[-1:]
-        track["points"] = points
-        median = upper_median([p[1] for p in points]), upper_median([p[2] for p in points])
+        points, xs, ys = self._window(name, track, at, x, y)
+        median = xs[len(xs) // 2], ys[len(ys) // 2]
         radius = max(rules.still_least, rules.still_share * size)
         track["away"] = track["away"] + 1 if hypot(x - median[0], y - median[1]) > 2 * radius else 0
         grown = at - track["born"] >= rules.window_us
         leaves = grown and track["away"] >= rules.departures
         if track["state"] == ACTIVE:
-            if grown and spread_of(points, median) <= radius:
+            if grown and still(points, xs, ys, median, radius):
                 track["state"], track["since"] = STATIONARY, at
         elif leaves:
             track["state"], track["since"] = ACTIVE, at
@@ -203,7 +292,7 @@ class Scene(Fold):
                 self.entries[name] = shown = self._began(row, box, x, y, spot)
             else:
                 shown = track
-                if self._advanced(track, row, box, x, y):
+                if self._advanced(name, track, row, box, x, y):
                     for gone in {*self._spots(row["class_name"], box, at), "s" + name[1:]}:
                         if gone in self.entries:
                             self._gone(gone)
