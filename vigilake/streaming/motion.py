@@ -83,26 +83,26 @@ def still(points: list[list[float]], xs: list[float], ys: list[float], median: t
 
 
 def _place(kind: str, box: list[float]) -> tuple:
-    """(class, width's power of two, place) and the cell there: coordinates in sixteenths of the width's and height's powers.
+    """Class and width's power of two, the place, and the cell there: coordinates in sixteenths of the width's and height's powers.
 
     A place is wider than the spots in it. Without a finite extent there is no cell, or no place either.
     """
     width, height = box[2] - box[0], box[3] - box[1]
     if not 0 < width < inf:
-        return (kind, None, 0), None
+        return (kind, None), 0, None
     level = frexp(width)[1]
-    key = kind, level, floor((box[0] + box[2]) / 2 / 2.0**level)
+    key, c = (kind, level), floor((box[0] + box[2]) / 2 / 2.0**level)
     if not 0 < height < inf:
-        return key, None
+        return key, c, None
     x, y = 2.0**level / CELLS, 2.0 ** (tall := frexp(height)[1]) / CELLS
-    return key, (tall, floor(box[0] / x), floor(box[2] / x), floor(box[1] / y), floor(box[3] / y))
+    return key, c, (tall, floor(box[0] / x), floor(box[2] / x), floor(box[1] / y), floor(box[3] / y))
 
 
-def _bounds(key: tuple, cell: tuple | None) -> tuple | None:
+def _bounds(level: int | None, cell: tuple | None) -> tuple | None:
     """Least and greatest x1, x2, y1 and y2 of a cell's boxes, and of their areas."""
     if cell is None:
         return None
-    x, y = 2.0 ** key[1] / CELLS, 2.0 ** cell[0] / CELLS
+    x, y = 2.0**level / CELLS, 2.0 ** cell[0] / CELLS
     a, b, c, d = cell[1] * x, cell[2] * x, cell[3] * y, cell[4] * y
     return a, a + x, b, b + x, c, c + y, d, d + y, max(0.0, b - a - x) * max(0.0, d - c - y), (b + x - a) * (d + y - c)
 
@@ -119,7 +119,7 @@ class Scene(Fold):
         super().__init__(entries)
         self.rules = rules
         self.order: dict[str, OrderedDict[str, None]] = {"t": OrderedDict(), "s": OrderedDict()}
-        self.places: dict[tuple, dict[tuple | None, list]] = {}
+        self.places: dict[tuple, dict[int, dict[tuple | None, list]]] = {}
         self.where: dict[str, tuple] = {}
         self.ascending: dict[str, tuple[list[float], list[float]]] = {}
         for n in sorted(self.entries, key=lambda n: self.entries[n]["seen"]):
@@ -132,19 +132,21 @@ class Scene(Fold):
         self.order[name[0]][name] = None
 
     def _placed(self, name: str, place: tuple) -> None:
-        self.where[name] = place
-        cells = self.places.setdefault(place[0], {})
-        if place[1] not in cells:
-            cells[place[1]] = [_bounds(*place), []]
-        insort(cells[place[1]][1], (self.entries[name]["first"], name))
+        self.where[name] = key, c, cell = place
+        cells = self.places.setdefault(key, {}).setdefault(c, {})
+        if cell not in cells:
+            cells[cell] = [_bounds(key[1], cell), []]
+        insort(cells[cell][1], (self.entries[name]["first"], name))
 
     def _unplaced(self, name: str) -> None:
-        key, cell = self.where.pop(name)
-        own = (cells := self.places[key])[cell][1]
+        key, c, cell = self.where.pop(name)
+        own = (cells := (at := self.places[key])[c])[cell][1]
         del own[bisect_left(own, (self.entries[name]["first"], name))]
         if not own:
             del cells[cell]
         if not cells:
+            del at[c]
+        if not at:
             del self.places[key]
 
     def _gone(self, name: str) -> None:
@@ -157,12 +159,13 @@ class Scene(Fold):
         """The cells of spots that can overlap the box enough: widths differ no more than by the overlap asked, and centres by their mean."""
         least, width = self.rules.overlap, box[2] - box[0]
         if least <= 0 or not 0 < width < inf:
-            return [own for key, own in self.places.items() if key[0] == kind] if least <= 0 else []
+            return [own for key, at in self.places.items() if key[0] == kind for own in at.values()] if least <= 0 else []
         out, middle = [], (box[0] + box[2]) / 2
         for level in range(frexp(width * least)[1] - 1, frexp(width / least)[1] + 2):
-            cell = 2.0**level
-            reach = (width + cell) / 2
-            out += [own for c in range(floor((middle - reach) / cell), floor((middle + reach) / cell) + 1) if (own := self.places.get((kind, level, c)))]
+            if at := self.places.get((kind, level)):
+                cell = 2.0**level
+                reach = (width + cell) / 2
+                out += [own for c in range(floor((middle - reach) / cell), floor((middle + reach) / cell) + 1) if (own := at.get(c))]
         return out
 
     def _cells(self, kind: str, box: list[float]) -> tuple[list[list], list[list]]:
@@ -256,7 +259,7 @@ class Scene(Fold):
         rules, at, size = self.rules, row["at_us"], hypot(box[2] - box[0], box[3] - box[1])
         track["seen"] = at
         a, b, c, d = track["reach"]
-        track["reach"] = reach = [min(a, x), min(b, y), max(c, x), max(d, y)]
+        track["reach"] = reach = [x if x < a else a, y if y < b else b, x if x > c else c, y if y > d else d]
         way = hypot(reach[2] - reach[0], reach[3] - reach[1])
         track["arrived"] |= way >= rules.arrived_share * size
         if way >= rules.moved_share * size:
